@@ -1,4 +1,4 @@
 """All registered queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import cleaning  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
