@@ -62,7 +62,7 @@ def compare_to_anchor(pairs: DataFrame, diffs: DataFrame, confidences: DataFrame
     names = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
     g = d.groupBy("capture_id").agg(names(F.col("field")).alias("changed"), names(F.when(doubt, F.col("field"))).alias("uncertain"), F.min(worth).alias("worth"))
     j = pairs.join(g, "capture_id", "left")
-    status = F.when(~F.col("read_status").eqNullSafe("READ"), "INCONCLUSIVE").when("same_hash", "MATCH").when(F.coalesce("uncertain", F.lit("")) != "", "INCONCLUSIVE").otherwise("MISMATCH")
+    status = F.when(~F.col("read_status").eqNullSafe("READ"), "INCONCLUSIVE").when(F.col("same_hash"), "MATCH").when(F.coalesce("uncertain", F.lit("")) != "", "INCONCLUSIVE").otherwise("MISMATCH")
     j = j.withColumn("status", status)
     score = F.when(F.col("status") == "MATCH", 1.0).when(F.col("status") == "MISMATCH", F.coalesce(F.col("worth") / 100, F.lit(0.0))).otherwise(0.0)
     blank = lambda c: F.when(F.col("status") == "MATCH", "").otherwise(F.coalesce(c, F.lit("")))
