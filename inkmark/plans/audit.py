@@ -69,22 +69,22 @@ def limited(requests, window_seconds: int, allowed: int):
     return r.withColumn("n", F.row_number().over(order)).withColumn("limited", F.col("n") > allowed)
 
 
-@query("with w as (select event_id as id, user_id as client, (epoch(ts) // 86400)::bigint * 86400 as window_start, ts from events), n as (select *, row_number() over (partition by client, window_start order by ts, id)::int as n from w) select id, client, window_start, n, n > 2 as limited from n")
+@query("with w as (select event_id as id, user_id as client, floor(epoch(ts) / 86400)::bigint * 86400 as window_start, ts from events), n as (select *, row_number() over (partition by client, window_start order by ts, id)::int as n from w) select id, client, window_start, n, n > 2 as limited from n")
 def rate_limit(spark, d):
     r = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), "ts")
     return limited(r, 86400, 2).select("id", "client", "window_start", "n", "limited")
 
 
 def rolled_up(checks):
-    """checks (at, component, state) -> at, status: degraded if any component is down (missing and timed out ones are); not
+    """checks (hour_at, component, state) -> hour_at, status: degraded if any component is down (missing and timed out ones are); not
     configured is not down."""
     down = ~F.coalesce(F.col("state").isin("ok", "not_configured"), F.lit(False))
-    return checks.groupBy("at").agg(F.when(F.bool_or(down), "degraded").otherwise("ok").alias("status"), F.count_if(down).alias("down"))
+    return checks.groupBy("hour_at").agg(F.when(F.bool_or(down), "degraded").otherwise("ok").alias("status"), F.count_if(down).alias("down"))
 
 
-@query("""with c as (select date_trunc('hour', ts) as at, case user_id % 4 when 0 then 'ok' when 1 then 'not_configured' when 2 then case when event_type = 'error' then 'timeout' else 'ok' end else case when value > 95 then null else 'ok' end end as state from events)
-  select at, case when bool_or(coalesce(state not in ('ok', 'not_configured'), true)) then 'degraded' else 'ok' end as status, count(*) filter (coalesce(state not in ('ok', 'not_configured'), true)) as down from c group by 1""")
+@query("""with c as (select date_trunc('hour', ts) as hour_at, case user_id % 4 when 0 then 'ok' when 1 then 'not_configured' when 2 then case when event_type = 'error' then 'timeout' else 'ok' end else case when value > 95 then null else 'ok' end end as state from events)
+  select hour_at, case when bool_or(coalesce(state not in ('ok', 'not_configured'), true)) then 'degraded' else 'ok' end as status, count(*) filter (coalesce(state not in ('ok', 'not_configured'), true)) as down from c group by 1""")
 def health_rollup(spark, d):
     u = F.col("user_id") % 4
     state = F.when(u == 0, "ok").when(u == 1, "not_configured").when(u == 2, F.when(F.col("event_type") == "error", "timeout").otherwise("ok")).otherwise(F.when(F.col("value") > 95, F.lit(None)).otherwise("ok"))
-    return rolled_up(table(spark, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at"), u.alias("component"), state.alias("state")))
+    return rolled_up(table(spark, d, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_at"), u.alias("component"), state.alias("state")))

@@ -45,7 +45,7 @@ def match_labels(spark, d):
 
 @query("""with b as (select c_custkey as doc_id, c_name, c_mktsegment from customer)
   select * from (
-   select doc_id, 'holder' as field, case when doc_id % 4 <> 1 and (doc_id % 6 <> 0) then c_name end as value, case when doc_id % 6 = 0 then 60.0 else 92.0 end as confidence, case when doc_id % 4 = 1 then 'ambiguous' when doc_id % 6 = 0 then 'low_confidence' end as problem from b
+   select doc_id, 'holder' as field, case when doc_id % 4 <> 1 and (doc_id % 6 <> 0) then c_name end as value, case when doc_id % 6 = 0 then 60.0::double else 92.0 end as confidence, case when doc_id % 4 = 1 then 'ambiguous' when doc_id % 6 = 0 then 'low_confidence' end as problem from b
    union all select doc_id, 'idNumber', 'B' || lpad(doc_id::varchar, 6, '0') || 'CS', 90.0, null from b
    union all select doc_id, 'issuedOn', case when doc_id % 5 <> 0 then '2024-01-01' end, 90.0, case when doc_id % 5 = 0 then 'unreadable' end from b
    union all select doc_id, 'payload.dob', null, null, 'missing' from b
