@@ -16,6 +16,8 @@ from .common import arrow_rows
 SAMPLE_BYTES = 262_144
 #: Longest context, in bytes.
 ORDER = 3
+#: Code lengths of the model at most (contexts * symbols * languages); beyond, the rarest long contexts are left out.
+MAX_CELLS = 24_000_000
 #: Bytes scored at once.
 SLICE = 1 << 20
 
@@ -61,12 +63,14 @@ class PPM:
         return out
 
 
-def train(samples: dict[str, bytes]) -> PPM:
+def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM:
     """Count the contexts of up to ORDER bytes in each language's sample and freeze the code lengths.
 
     A symbol seen c times in a context of n symbols, d of them different, has probability c / (n + d) there; the escape
     to the next shorter context has d / (n + d) (method C, without exclusion). Below the empty context all 256
     bytes are equally likely. A context that a language has not seen costs it nothing and leaves the next shorter one.
+    The trees share one set of contexts, cut to the most frequent ones where it would pass max_cells, so the model that is sent
+    to the executors is of bounded size (four bytes a cell).
     """
     languages = sorted(samples)
     seen = np.zeros(256, dtype=bool)
@@ -90,16 +94,24 @@ def train(samples: dict[str, bytes]) -> PPM:
     codes = [np.zeros(1, dtype=np.int64)]
     for k in range(1, ORDER + 1):
         codes.append(np.unique(np.concatenate([code(s, k) for s in grams.values()] + [np.zeros(0, dtype=np.int64)])))
-    for k in range(ORDER, 1, -1):
-        codes[k - 1] = np.union1d(codes[k - 1], codes[k] % a ** (k - 1))
+    room = max_cells // (n_sym * len(languages)) - 1
+    for k in range(1, ORDER + 1):
+        if len(codes[k]) > max(room, 0):
+            times = sum(np.bincount(np.searchsorted(codes[k], code(s, k)), minlength=len(codes[k])) for s in grams.values())
+            codes[k] = np.sort(codes[k][np.lexsort((codes[k], -times))[: max(room, 0)]])
+        if k > 1:
+            codes[k] = codes[k][np.isin(codes[k] % a ** (k - 1), codes[k - 1])]
+        room -= len(codes[k])
     base = np.cumsum([0] + [len(c) for c in codes])
     bits = np.zeros((base[-1], n_sym, len(languages)), dtype=np.float32)
     for at, lang in enumerate(languages):
         s = grams[lang]
         lower = np.full((1, n_sym), 8.0)
         for k in range(ORDER + 1):
-            ctx = np.searchsorted(codes[k], code(s, k))
-            pair, times = np.unique(ctx * n_sym + s[k:], return_counts=True)
+            seen_code = code(s, k)
+            ctx = np.searchsorted(codes[k], seen_code)
+            there = np.isin(seen_code, codes[k])
+            pair, times = np.unique(ctx[there] * n_sym + s[k:][there], return_counts=True)
             count = np.zeros(len(codes[k]) * n_sym)
             count[pair] = times
             count = count.reshape(-1, n_sym)

@@ -64,6 +64,17 @@ def test_language(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_the_model_is_bounded():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    samples = {x: bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)) for x in "ab"}
+    small = langid.train(samples, max_cells=300_000)
+    assert small.bits.size <= 300_000 + 2 * 257
+    got = small.lengths(np.frombuffer(samples["a"][:5000], dtype=np.uint8), np.array([0, 5000]))[0]
+    assert got[0] < got[1]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
