@@ -31,7 +31,7 @@ def test_pseudonyms(spark):
 
 
 def test_pseudonyms_are_linked_and_valid(spark):
-    texts = ["4111 1111 1111 1111", "x 4111-1111-1111-1111 y", "4111111111111112", "on 2024-02-29", "29.02.2024", "31/02/2024", "10.0.0.1 and 300.1.1.1", "+1 (017) 555-7713", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "me@a.example.com", "123-45-6789 000-45-6789"]
+    texts = ["4111 1111 1111 1111", "x 4111-1111-1111-1111 y", "4111111111111112", "on 2024-02-29", "29.02.2024", "31/02/2024", "10.0.0.1 and 300.1.1.1", "+1 (017) 555-7713", "GB82 WEST 1234 5698 7654 32", "GB83WEST12345698765432", "me@a.example.com", "123-45-6789 000-45-6789", "Ends.4111111111111111 12 and 4111111111111111 5500005555555559."]
     run = lambda key: [r["text"] for r in pii.pseudonymise(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), key).orderBy("doc_id").collect()]
     a, b = run("k"), run("other")
     assert a[0].replace(" ", "") == a[1][2:-2].replace("-", "") and a[0] != texts[0] and len(a[0]) == 19
@@ -40,6 +40,7 @@ def test_pseudonyms_are_linked_and_valid(spark):
     assert a[4] == f"{d[2]}.{d[1]}.{d[0]}" and a[4] != texts[4]
     assert a[6].endswith(" and 300.1.1.1") and a[7].startswith("+1 (") and a[10].endswith("@a.example.com") and a[11].endswith(" 000-45-6789")
     assert all(x != y for x, y, t in zip(a, b, texts) if x != t)
+    assert "4111111111111111" not in a[12] and "5500005555555559" not in a[12] and a[12][5:21] == a[12][29:45] == a[0].replace(" ", "") and a[12][21:29] == " 12 and "
     again = pii.pseudonymise(docs(spark, [(0, a[0] + " " + a[8], None, None, None)]), "k").first()
     assert again["n_private"] == 2  # pseudonyms pass the same checks as the values
 
