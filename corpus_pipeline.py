@@ -34,7 +34,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids_sha256 and whether decoding gives the text back, per row of the mix."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    out = bpe.decoded(bpe.encoded(docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("was")), path, pattern).drop("text"), path, pattern)
+    rows = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"))
+    out = bpe.encoded(rows, path, pattern, with_decoded=True)
     return out.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("was")).alias("round_trip"))
 
 

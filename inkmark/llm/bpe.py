@@ -38,10 +38,21 @@ def boundaries(text: str, pattern: str, upto: int | None = None) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str, pattern: str) -> list[bytes]:
+    enc = encoding(path, pattern)
+    return [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
+
+
 def encode(text: str, enc: tiktoken.Encoding) -> np.ndarray:
     return np.array(enc.encode_ordinary(text), dtype="<u4")
 
 
+def decode(ids: bytes, table: list[bytes]) -> bytes:
+    """The raw bytes of all ids, joined."""
+    return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
+
 def tail_boundaries(text: str, pattern: str, start: int) -> list[int]:
     """Starts of pre-tokens from position start on that a longer text would have, too.
 
@@ -60,8 +71,8 @@ def joins(heads: list[list[int]], tails: list[list[int]]) -> list[int | None]:
     return [min(set(t) & set(h), default=None) for t, h in zip(tails[:-1], heads[1:], strict=True)]
 
 
-def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """_row, ids and n_tokens of each row (_row unique, _text longer than chunk)."""
+def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int, with_decoded: bool) -> DataFrame:
+    """_row, ids, n_tokens and decoded of each row (_row unique, _text longer than chunk)."""
     n = F.ceil(F.length("_text") / chunk).cast("int")
     chunks = long.select("_row", "_text", F.explode(F.sequence(F.lit(0), n - 1)).alias("_no"))
     chunks = chunks.select("_row", "_no", F.substring("_text", F.col("_no") * chunk + 1, F.lit(chunk + overlap)).alias("_text"))
@@ -107,13 +118,14 @@ def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap:
                 out.append(encode("".join(run), enc).tobytes())
                 run = []
         ids = b"".join(out)
-        return pd.DataFrame({"_row": [pdf["_row"].iloc[0]], "ids": [ids], "n_tokens": [len(ids) // 4]})
+        back = decode(ids, token_bytes(path, pattern)) if with_decoded else None
+        return pd.DataFrame({"_row": [pdf["_row"].iloc[0]], "ids": [ids], "n_tokens": [len(ids) // 4], "decoded": [back]})
 
     done = chunks.join(seams, ["_row", "_no"]).mapInPandas(pieces, "_row long, _no int, ids binary, piece string, open boolean")
-    return done.groupBy("_row").applyInPandas(together, "_row long, ids binary, n_tokens long")
+    return done.groupBy("_row").applyInPandas(together, "_row long, ids binary, n_tokens long, decoded binary")
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, with_decoded: bool = False) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit) and n_tokens added; columns of these names are replaced.
 
     Each match of the pattern is encoded separately, without special tokens; null counts as empty (no ids). Texts up
@@ -122,9 +134,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overla
     within their overlap they are cut, and each encodes its own piece; where they don't (a pre-token longer than the
     overlap), the pieces on both sides are encoded as one when the text's ids are put together. Long rows are numbered
     before they are cut, so repeated rows and ids don't matter.
+
+    with_decoded: also decode the ids, in the same pass, to the column ``decoded`` (binary).
     """
     arrow_rows(docs.sparkSession, 512)
-    keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
+    added = ["ids", "n_tokens", *(["decoded"] if with_decoded else [])]
+    keep = [c for c in docs.columns if c not in added]
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
 
@@ -132,15 +147,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overla
         enc = encoding(path, pattern)
         for b in batches:
             ids = [encode(t, enc) for t in b.column(b.num_columns - 1).to_pylist()]
-            columns = [*b.columns[:-1], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ids", "n_tokens"])
+            back = [decode(i.tobytes(), token_bytes(path, pattern)) if with_decoded else None for i in ids]
+            columns = [*b.columns[:-1], pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), pa.array(back, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "ids", "n_tokens", "decoded"])
 
     short = rows.filter(F.length("_text") <= chunk)
-    short = short.mapInArrow(whole, rows.drop("_text").schema.add("ids", "binary").add("n_tokens", "long"))
+    short = short.mapInArrow(whole, rows.drop("_text").schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"))
     long, _ = written(rows.filter(F.length("_text") > chunk).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
-    ids = _encode_long(long.select("_row", "_text"), path, pattern, chunk, overlap)
+    ids = _encode_long(long.select("_row", "_text"), path, pattern, chunk, overlap, with_decoded)
     both = short.unionByName(long.drop("_text").join(ids, "_row").drop("_row"))
-    return both.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "ids", "n_tokens")
+    return both.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *added)
 
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -151,10 +167,9 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     inner = rows.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col("ids").alias("_ids"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path, pattern)
-        table = [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
+        table = token_bytes(path, pattern)
         for b in batches:
-            out = [b"".join([table[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) if x is not None else None for x in b.column(b.num_columns - 1).to_pylist()]
+            out = [decode(x, table) if x is not None else None for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "decoded"])
 
     got = inner.mapInArrow(join, inner.drop("_ids").schema.add("decoded", "binary"))

@@ -74,8 +74,7 @@ def op9_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encoded(docs, path, pattern).select("doc_id", "ids", "n_tokens")
-    out = bpe.decoded(ids, path, pattern)
+    out = bpe.encoded(docs, path, pattern, with_decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -120,10 +119,28 @@ m as (select *, epochs + case when rest > 0 and pos + size / 2.0 <= rest then 1
 
 _SHARDS = "select doc_id, source, octet_length(encode(text))::bigint as text_bytes, sha256(text) as text_sha256 from documents"
 
+_B32 = " || ".join(f"to_base(('0x' || substr(sha1(p.h), {1 + 10 * i}, 10))::bigint, 32, 8)" for i in range(4))
+_WARC = f"""
+with p as (select page_id, coalesce(html, '') as h from pages), g as (select h, min(page_id) as f from p group by h)
+select page_id, octet_length(encode(p.h))::bigint as payload_bytes, translate(upper({_B32}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+  case when page_id = f then 'response' else 'revisit' end as record_type, case when page_id <> f then f end as refers_to
+from p join g on p.h = g.h
+"""
+
+# The main text of pages whose article holds headings, paragraphs, line breaks and inline marks only, as the given ones do.
+_MAIN_TEXT = r"""
+with t as (select page_id, url, array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '</?(?:h[1-6]|p)>'),
+  lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br */?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from pages)
+select page_id, url, text, length(text)::bigint as n_chars from t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_maxscore": _TOPK,
         "op5_exact_dedup": _DEDUP,
         "op6_mixing": "with " + _MIX_OF.format(docs="documents") + " select doc_id, size, source_size, target, cast(size * copies as bigint) as taken from m",
+        "op7_warc": _WARC,
+        "op8_main_text": _MAIN_TEXT,
         "op9_compaction": _SHARDS,
     }
