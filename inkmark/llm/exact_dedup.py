@@ -14,8 +14,10 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # No disk is set aside ahead of use: with many partitions that would be most of what the state takes.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # Stores are closed when their task ends, and share a small bound of native memory on an executor.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 
 
