@@ -44,8 +44,9 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch that goes to Python, so that long texts do not pile up in one batch."""
+    """Bound the rows and bytes of an Arrow batch that goes to Python, so that long texts do not pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def lower_ascii(text: Column) -> Column:

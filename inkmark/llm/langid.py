@@ -19,7 +19,7 @@ ORDER = 3
 #: Code lengths of the model at most (contexts * symbols * languages); beyond, the rarest long contexts are left out.
 MAX_CELLS = 24_000_000
 #: Bytes scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 @dataclass

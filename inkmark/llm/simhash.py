@@ -106,7 +106,7 @@ def compare(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.nda
         near = np.flatnonzero(np.abs(tile[:, i:] - tile[:, i : i + 1]).sum(axis=0) <= radius) + i
         rows = np.arange(first[i], last[i])
         cols = np.concatenate([np.arange(first[j], last[j]) for j in near])
-        step = max(1, 2_000_000 // len(cols))
+        step = max(1, 500_000 // len(cols))
         for at in range(0, len(rows), step):
             r = rows[at : at + step]
             u, v = np.nonzero(np.bitwise_count(both[r][:, None] ^ both[cols][None, :]) <= radius)
