@@ -10,10 +10,11 @@ from .base import query, table
 ACT = "case event_type when 'error' then 'LOGIN' when 'purchase' then 'ISSUE' when 'view' then 'VERIFY' when 'click' then 'VERIFY' else 'REVOKE' end"
 
 
-def audit(spark, d):
+def audit(spark, d, rows=None):
     e = F.col("event_type")
     action = F.when(e == "error", "LOGIN").when(e == "purchase", "ISSUE").when(e.isin("view", "click"), "VERIFY").otherwise("REVOKE")
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), action.alias("action"), F.when(e == "error", "FAILED").otherwise("SUCCESS").alias("outcome"), F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    rows = table(spark, d, "events") if rows is None else rows
+    return rows.select(F.col("event_id").alias("id"), action.alias("action"), F.when(e == "error", "FAILED").otherwise("SUCCESS").alias("outcome"), F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
 
 
 WITH = f"with a as (select event_id as id, {ACT} as action, case event_type when 'error' then 'FAILED' else 'SUCCESS' end as outcome, user_id as document_id, ts as created_at from events) "

@@ -49,10 +49,11 @@ LOG = """lg as (select user_id as record_id, event_id as seq, case event_type wh
 EDGES = ", ".join(f"('{a}', '{b}')" for a, b in L.MOVES)
 
 
-def status_log(spark, d):
+def status_log(spark, d, rows=None, *more):
     e = F.col("event_type")
     s = F.when(e == "error", "FAILED").when(e == "purchase", "STORED").when(e == "view", "PENDING").when(e == "click", "BLOCKCHAIN_PENDING").otherwise("ISSUED")
-    return table(spark, d, "events").select(F.col("user_id").alias("record_id"), F.col("event_id").alias("seq"), s.alias("status"))
+    rows = table(spark, d, "events") if rows is None else rows
+    return rows.select(F.col("user_id").alias("record_id"), F.col("event_id").alias("seq"), s.alias("status"), *more)
 
 
 @query(f"""with {LOG}, p as (select *, lag(status) over (partition by record_id order by seq) as previous from lg), ed(a, b) as (values {EDGES})
