@@ -22,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id."""
+    """Of each group of near copies (five words, similarity 0.8) the row with the smallest doc_id."""
     return simhash.apply_near_dedup(docs)
 
 
