@@ -89,6 +89,8 @@ def resolve(docs: DataFrame) -> DataFrame:
     whole, whole_path = written(whole, "dedup-hits")
     stays = whole.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("kept_t"))
     differ = whole.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest", "doc_id", "t")
+    # Written here, so that nothing after the comparison needs a digest's rows together and a hot one can be split.
+    differ, _ = written(differ, "dedup-differ")
     apart = differ.groupBy("digest", "t").agg(F.max("doc_id").alias("a_keep"), F.count(F.lit(1)).alias("a_size"))
     apart = differ.join(apart, ["digest", "t"]).groupBy("digest", "doc_id", "a_keep").agg(F.first("a_size").alias("a_size"), F.count(F.lit(1)).alias("rows"))
     apart, _ = written(apart, "dedup-apart")
