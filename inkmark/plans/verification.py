@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkmark.operators import matching as M
 from inkmark.operators import records as R
 from inkmark.operators import verdict as V
+from inkmark.sources.shared import materialised
 
 from .base import query, table
 from .cleaning import FIELDS, HASH, LOOKUP, REC, canon, field_records
@@ -43,32 +44,38 @@ def presented(spark, d):
     return c.select("*", F.col("doc_id").alias("capture_id"), F.sha2(file, 256).alias("file_hash"), F.when((k == 1) & (F.col("doc_id") % 3 == 0), "UNREADABLE").otherwise("READ").alias("read_status"))
 
 
-def looked_up(spark, d):
-    return M.cascade_lookup(presented(spark, d).select("capture_id", "file_hash", "content_hash", "lookup_key", "read_status"), anchored(spark, d).select("record_id", "file_hash", "content_hash", "lookup_key", "status", "created_at"))
+def looked_up(p, a):
+    return M.cascade_lookup(p.select("capture_id", "file_hash", "content_hash", "lookup_key", "read_status"), a.select("record_id", "file_hash", "content_hash", "lookup_key", "status", "created_at"))
+
+
+def matched(spark, d):
+    """Presented, anchored, and what the lookup found; each is read several times, so each is written once."""
+    p, a = materialised(presented(spark, d), "presented"), materialised(anchored(spark, d), "anchored")
+    return p, a, materialised(looked_up(p, a), "hits")
 
 
 @query(HEAD + "select * from hit")
 def cascade_lookup(spark, d):
-    return looked_up(spark, d)
+    return looked_up(materialised(presented(spark, d), "presented"), materialised(anchored(spark, d), "anchored"))
 
 
-def differences(spark, d, hits):
-    a = R.flatten_record(anchored(spark, d), "record_id").join(hits.select("capture_id", "record_id"), "record_id").select("capture_id", "field", "value")
-    p = R.flatten_record(presented(spark, d), "capture_id").join(hits.filter("record_id is not null").select("capture_id"), "capture_id", "left_semi")
+def differences(p, a, hits):
+    a = R.flatten_record(a, "record_id").join(hits.select("capture_id", "record_id"), "record_id").select("capture_id", "field", "value")
+    p = R.flatten_record(p, "capture_id").join(hits.filter("record_id is not null").select("capture_id"), "capture_id", "left_semi")
     return R.diff_records(a, p, "capture_id")
 
 
 @query(HEAD + FLAT + "select * from dif")
 def diff_records(spark, d):
-    return differences(spark, d, looked_up(spark, d))
+    return differences(*matched(spark, d))
 
 
 def compared(spark, d):
-    hits = looked_up(spark, d)
-    diffs = differences(spark, d, hits)
+    p, a, hits = matched(spark, d)
+    diffs = materialised(differences(p, a, hits), "diffs")
     conf = diffs.select("capture_id", "field", F.when(F.col("capture_id") % 10 == 7, 70.0).otherwise(95.0).alias("confidence"))
-    p = presented(spark, d).select("capture_id", "read_status", F.col("content_hash").alias("p_hash"), F.col("file_hash").alias("p_file"))
-    a = anchored(spark, d).select("record_id", F.col("content_hash").alias("a_hash"), F.col("file_hash").alias("a_file"), "status")
+    p = p.select("capture_id", "read_status", F.col("content_hash").alias("p_hash"), F.col("file_hash").alias("p_file"))
+    a = a.select("record_id", F.col("content_hash").alias("a_hash"), F.col("file_hash").alias("a_file"), "status")
     pairs = hits.join(p, "capture_id").join(a, "record_id", "left").withColumn("same_hash", F.coalesce(F.col("p_hash") == F.col("a_hash"), F.lit(False)))
     return pairs, M.compare_to_anchor(pairs.select("capture_id", "read_status", "same_hash"), diffs, conf)
 
@@ -110,7 +117,7 @@ def verdict_audit_events(spark, d):
 def public_view(spark, d):
     """Differences as a reader sees them: issuers (even captures) see both sides, others only what they presented."""
     issuer = F.col("capture_id") % 2 == 0
-    return differences(spark, d, looked_up(spark, d)).select("capture_id", "field", F.when(issuer, F.col("anchored")).alias("anchored"), "presented", (~issuer).alias("anchored_withheld"))
+    return differences(*matched(spark, d)).select("capture_id", "field", F.when(issuer, F.col("anchored")).alias("anchored"), "presented", (~issuer).alias("anchored_withheld"))
 
 
 @query(HEAD + """, s as (select doc_id, case when doc_id % 50 = 0 then sha256('bad' || doc_id) else h end as stored, h from a) select doc_id as record_id, stored = h as trustworthy, case when stored = h then '' else 'withheld' end as record_values from s""")
