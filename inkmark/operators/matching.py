@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmark.sources.shared import materialised
+
 ANCHORED = ("ISSUED", "REVOKED")
 
 
@@ -107,25 +109,16 @@ def near_duplicates(signatures: DataFrame, radius: int = 7) -> DataFrame:
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id each id of the pairs (a, b) is connected with.
 
-    Rounds of taking the smallest label of the neighbours and of the label's own label; every round is checkpointed to the
-    shared folder, so a lost executor costs one round at most.
+    Rounds of taking the smallest label of the neighbours and then the label's own label, until none changes; every
+    round is written to the shared folder, so a lost executor costs one round at most.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkmark-"))
-    elif spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("cluster")).withColumnRenamed("a", "id").checkpoint()
+    both = materialised(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = materialised(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("cluster")), "labels")
     while True:
-        seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("m"))
-        step = label.join(seen.withColumnRenamed("a", "id"), "id").select("id", F.least("cluster", "m").alias("l"), F.col("cluster").alias("was"))
+        seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
+        step = label.join(seen, "id").select("id", F.least("cluster", "m").alias("l"), F.col("cluster").alias("was"))
         up = step.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        step = step.join(up, "l").select("id", "was", F.least("l", "ll").alias("cluster")).checkpoint()
+        step = materialised(step.join(up, "l").select("id", "was", F.least("l", "ll").alias("cluster")), "labels")
         if step.filter("cluster <> was").isEmpty():
             return step.select("id", "cluster")
         label = step.select("id", "cluster")
