@@ -83,7 +83,11 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Writer:
-    """A file that appears under its name only when it is whole; a task that runs again replaces it by an equal one."""
+    """A file that appears under its name only when it is whole.
+
+    Names hold an id of the attempt: a task that runs again, or twice at once, writes another file, and only the one
+    whose rows Spark takes is ever named by a capture or a part.
+    """
 
     def __init__(self, uri: str):
         self.fs, self.path = _open(uri)
@@ -119,7 +123,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
     p = p.join(groups, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{root}/archives/{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"{root}/archives/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
         out = None
         for b in batches:
             out = out or _Writer(name)
@@ -146,7 +150,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
     keyed = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").select("key", "page_id", "file", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = f"{root}/index/{TaskContext.get().partitionId():06d}"
+        name = f"{root}/index/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
         out, lines, directory, entries = None, [], [], 0
 
         def close() -> None:
