@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkmark.operators import matching as M
 from inkmark.operators import metrics as G
 from inkmark.operators import verdict as V
+from inkmark.sources.shared import materialised
 
 from .base import query, table
 
@@ -32,7 +33,8 @@ def signatures(spark, d, turned: bool = False):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     if turned:
         e = e.select("id", F.transform("x", lambda v, i: F.when((i * 7 + F.col("id")) % 13 == 0, -v).otherwise(v)).alias("x"))
-    return G.median_signature(e, "id", "x")
+    # Written once: later steps use a signature many times, and it would be computed anew in each place.
+    return materialised(G.median_signature(e, "id", "x"), "signatures")
 
 
 def union(spark, d):
