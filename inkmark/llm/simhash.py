@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -169,26 +170,31 @@ def _dealt(tiled: DataFrame, steps: list[tuple[int, ...]], forest, schema: str)
     return edges
 
 
-#: Bits of a wide fingerprint, and how many may differ between texts of similarity 0.8 (on average 78; 98 % differ in 94 at most).
-WIDE_BITS, WIDE_RADIUS = 512, 94
+#: Bits of a wide fingerprint, and how many may differ between candidates: texts of similarity 0.8 differ in 78 on average with a
+#: standard deviation of 8; of sets under FEW shingles in 96 (four against five) with one of 9.
+WIDE_BITS, WIDE_RADIUS = 512, 128
+FEW, FEW_RADIUS = 16, 152
 #: Tiles of wide fingerprints are those of like numbers of shingles: so many to a factor of 1 / 0.8.
 STEPS, SIMILAR = 4, 0.8
+#: Shingles of the sets that are compared exactly in one group, each set counting as SET_ROW more.
+SET_BLOCK, SET_ROW = 1 << 18, 200
 
 
-def wide_fingerprint(text: bytes, words: int) -> tuple[bytes, int]:
-    """A SimHash of WIDE_BITS bits over the set of a text's word shingles, and the number of shingles in it.
-
-    Each shingle's XXH64 is spread over WIDE_BITS / 64 words by mixing it with the word's number.
-    """
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The different XXH64 of a text's word shingles, in order."""
     w = text.lower().split()
     if not w:
-        return bytes(WIDE_BITS // 8), 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(w)
     size = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
     start = np.cumsum(size + 1) - size - 1
     k = min(words, len(w))
     h = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([h(line[a:b], 42) for a, b in zip(start[: len(w) - k + 1].tolist(), (start + size)[k - 1 :].tolist())], dtype=np.uint64))
+    return np.unique(np.array([h(line[a:b], 42) for a, b in zip(start[: len(w) - k + 1].tolist(), (start + size)[k - 1 :].tolist())], dtype=np.uint64))
+
+
+def spread(hashes: np.ndarray) -> bytes:
+    """A SimHash of WIDE_BITS bits over a set of hashes: each is spread over WIDE_BITS / 64 words by mixing it with the word's number."""
     n = len(hashes)
     count = np.zeros(WIDE_BITS, dtype=np.int64)
     for at in range(0, n, 255 * 16):
@@ -201,29 +207,45 @@ def wide_fingerprint(text: bytes, words: int) -> tuple[bytes, int]:
         if full:
             count += bits[:full].reshape(-1, 255, WIDE_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         count += bits[full:].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * count > n).tobytes(), n
+    return np.packbits(2 * count > n).tobytes()
+
+
+def wide_fingerprint(text: bytes, words: int) -> tuple[bytes, int]:
+    """A SimHash of WIDE_BITS bits over the set of a text's word shingles, and the number of shingles in it."""
+    hashes = shingles(text, words)
+    return spread(hashes), len(hashes)
+
+
+def _node(hashes: np.ndarray) -> bytes:
+    """What stands for a set of shingles: its wide fingerprint, its size and a digest of 128 bits."""
+    return spread(hashes) + len(hashes).to_bytes(8, "little") + hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def compare_wide(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``compare``, for rows of several 64-bit words: row numbers (in home, then visitors) of linked rows and of their part's first."""
+def compare_wide(home: np.ndarray, visitors: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``compare``, for rows of several 64-bit words: row numbers (in home, then visitors) of linked rows and of their part's first.
+
+    radius: one for all, or each row's own, of which the larger holds for a pair.
+    """
     both = np.concatenate((home, visitors))
     total = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
     n, label = len(home), np.arange(len(both))
     order = np.concatenate((np.argsort(total[:n], kind="stable"), n + np.argsort(total[n:], kind="stable")))
     both, total = np.ascontiguousarray(both[order]), total[order]
+    reach = np.broadcast_to(np.asarray(radius, dtype=np.uint16), len(order))[order]
+    most = int(reach.max(initial=0))
     words = np.ascontiguousarray(both.T)
     for at in range(0, n, 64):
         rows = np.arange(at, min(at + 64, n))
         for lo, hi in ((at, n), (n, len(both))):
             # Bit counts that differ by more than the radius: out of reach.
-            lo_at = lo + np.searchsorted(total[lo:hi], total[rows[0]] - radius)
-            hi_at = lo + np.searchsorted(total[lo:hi], total[rows[-1]] + radius, side="right")
+            lo_at = lo + np.searchsorted(total[lo:hi], total[rows[0]] - most)
+            hi_at = lo + np.searchsorted(total[lo:hi], total[rows[-1]] + most, side="right")
             for c in range(lo_at, hi_at, 4096):
                 d = min(c + 4096, hi_at)
                 far = np.zeros((len(rows), d - c), dtype=np.uint16)
                 for word in words:
                     far += np.bitwise_count(word[rows][:, None] ^ word[None, c:d])
-                u, v = np.nonzero(far <= radius)
+                u, v = np.nonzero(far <= np.maximum(reach[rows][:, None], reach[None, c:d]))
                 if len(u):
                     u, v = rows[u], c + v
                     go = label[u] != label[v]
@@ -232,20 +254,107 @@ def compare_wide(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[n
     return order[linked], order[label[linked]]
 
 
+def confirm(root: np.ndarray, sets: list[np.ndarray], known: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """Of each row the first row of its part, where rows of one root are linked if the Jaccard similarity of their sets is SIMILAR.
+
+    known: rows with equal numbers are of one part already. Rows that are away are compared with the others only. The
+    comparison is exact (in integers), and leaves out only pairs whose sizes rule it out or that hang together already.
+    """
+    n = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(np.append(0, n))
+    label = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
+    mark = np.zeros(len(ids), dtype=bool)
+    order = np.argsort(root, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1])))
+    for rows in np.split(order, first[1:]):
+        for i in rows[~away[rows] & (n[rows] > 0)]:
+            j = rows[(away[rows] | (rows > i)) & (label[rows] != label[i]) & (4 * n[rows] <= 5 * n[i]) & (5 * n[rows] >= 4 * n[i])]
+            if not len(j):
+                continue
+            own = ids[start[i] : start[i + 1]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[np.concatenate([ids[start[k] : start[k + 1]] for k in j])], np.cumsum(n[j]) - n[j], dtype=np.int64)
+            mark[own] = False
+            j = j[5 * shared >= 4 * (n[i] + n[j] - shared)]
+            if len(j):
+                _merge(label, np.full(len(j), i), j)
+    return label
+
+
+def confirmed(docs: DataFrame, apart: DataFrame, rough: DataFrame, words: int) -> DataFrame:
+    """Edges (u, v) with the components of all pairs of a similarity of SIMILAR within the components of ``rough`` (node, label).
+
+    apart: fp and low, a doc_id by which a text of the node is found in docs. Components are cut in blocks of about SET_BLOCK
+    shingles, small ones share a block; blocks are linked inside and with four pivots of their component. Of components
+    that still fall apart, all rows outside the largest part are then compared with all others. So a group of copies costs
+    one pass over its rows, and no pair is left out.
+    """
+    spark = docs.sparkSession
+    wanted = rough.join(apart.withColumnRenamed("fp", "node"), "node").select("node", "label", "low")
+    ids = wanted.select("low").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in got], pa.binary()), pa.array([g.tobytes() for g in got], pa.binary())], names=["node", "shingles"])
+
+    found = texts.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(read, "node binary, shingles binary").dropDuplicates(["node"])
+    sets, sets_path = written(found.join(wanted.select("node", "label"), "node").withColumn("weight", F.octet_length("shingles") / 8 + SET_ROW), "simhash-sets")
+    cut = lambda weight: F.ceil(weight / SET_BLOCK).cast("int")
+    pick = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(4)])
+    big, big_path = written(sets.groupBy("label").agg(F.sum("weight").alias("weight"), pick.alias("pivots")).filter(F.col("weight") > SET_BLOCK).select("label", "pivots", cut(F.col("weight")).alias("blocks")), "simhash-big")
+    buckets = sets.agg(cut(F.coalesce(F.sum("weight"), F.lit(0)))).first()[0] or 1
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].to_numpy()
+        got = confirm(pd.factorize(pdf["label"])[0], [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]], pd.factorize(pdf["part"])[0], pdf["away"].to_numpy(bool))
+        on = np.flatnonzero(got != np.arange(len(got)))
+        return pd.DataFrame({"u": node[on], "v": node[got[on]]})
+
+    cols = ["node", "label", "shingles", F.col("node").alias("part"), F.lit(False).alias("away")]
+    bucket = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.xxhash64("label"))
+    block = F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).cast("int")
+    rows = sets.join(big, "label", "left").select(*cols, bucket.alias("bucket"), block.alias("block"))
+    pivots = big.select("label", "blocks", F.explode("pivots").alias("node")).distinct().join(sets.select("node", "shingles"), "node")
+    pivots = pivots.select(*cols, F.xxhash64("label").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    edges, _ = written(rows.unionByName(pivots).groupBy("bucket", "block").applyInPandas(link, "u binary, v binary"), "simhash-confirmed")
+    if big.isEmpty():
+        discard(spark, sets_path, big_path)
+        return edges
+
+    parts = sets.select("node", "label", "weight").join(big.select("label", "blocks"), "label")
+    parts = parts.join(components(edges).withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts, parts_path = written(parts, "simhash-parts")
+    sizes = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    rest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("k"))
+    rest, rest_path = written(rest.filter("k > 1").select("label", "main", F.greatest(F.lit(1), cut(F.col("all") - F.col("most"))).alias("homes")), "simhash-rest")
+    both = parts.join(rest, "label").join(sets.select("node", "shingles"), "node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(6)), F.col(n)).cast("int")
+    home = both.filter("part <> main").select("label", "node", "part", "shingles", F.lit(False).alias("away"), dealt("homes").alias("home"), every("blocks").alias("block"))
+    away = both.select("label", "node", "part", "shingles", F.lit(True).alias("away"), dealt("blocks").alias("block"), every("homes").alias("home"))
+    more, _ = written(home.unionByName(away).groupBy("label", "home", "block").applyInPandas(link, "u binary, v binary"), "simhash-confirmed")
+    discard(spark, sets_path, big_path, parts_path, rest_path)
+    return edges.unionByName(more)
+
+
 def similar(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (binary) and component_id of every row: near duplicates of a shingle similarity of about 0.8 or more.
+    """doc_id, fp (binary, stands for the set of shingles) and component_id of every row: near duplicates of a shingle similarity of 0.8 or more.
 
-    A fingerprint of 64 bits is too coarse for that: texts of similarity 0.8 differ in 6 to 14 of its bits. These have WIDE_BITS,
-    and link within WIDE_RADIUS: 98 % of the pairs of similarity 0.8, more of closer ones, and a third of those of 0.7. Texts of such a
-    similarity have numbers of different shingles within a factor of 0.8, so tiles are made by that number, and only tiles
-    within the factor are compared. Nulls, ids and empty texts as in ``near_duplicates``.
+    Fingerprints of WIDE_BITS within WIDE_RADIUS (FEW_RADIUS where a text has under FEW shingles) give the candidates; the shingles
+    of the texts in their components are then compared exactly, and only pairs whose Jaccard similarity is SIMILAR or more link.
+    Texts of such a similarity have numbers of different shingles within a factor of 0.8, so tiles are made by that number, and
+    only tiles within the factor are compared. Shingles are equal if their XXH64 is. Nulls, ids and empty texts as in
+    ``near_duplicates``, but that a text without a word links with its like only.
     """
     arrow_rows(docs.sparkSession, 512)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64())], names=["doc_id", "fp", "n"])
+            got = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(g) for g in got], pa.binary()), pa.array([len(g) for g in got], pa.int64())], names=["doc_id", "fp", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, fp binary, n long")
     prints, _ = written(rows, "simhash-wide")
@@ -256,11 +365,13 @@ def similar(docs: DataFrame, words: int = 5) -> DataFrame:
         away = pdf["visits"].to_numpy(bool)
         fp = pd.concat((pdf["fp"][~away], pdf["fp"][away])).tolist()
         grid = np.frombuffer(b"".join(fp), dtype=np.uint64).reshape(len(fp), -1)
-        u, v = compare_wide(grid[: int((~away).sum())], grid[int((~away).sum()) :], WIDE_RADIUS)
+        home, bits = int((~away).sum()), grid[:, : WIDE_BITS // 64]
+        u, v = compare_wide(bits[:home], bits[home:], np.where(grid[:, WIDE_BITS // 64] < FEW, FEW_RADIUS, WIDE_RADIUS))
         return pd.DataFrame({"u": [fp[i] for i in u], "v": [fp[i] for i in v]})
 
-    edges = _dealt(apart.select("fp", F.array(step).alias("key")), [(i,) for i in range(1, STEPS + 1)], forest, "u binary, v binary")
-    return _named(prints, apart, edges)
+    near = _dealt(apart.select("fp", F.array(step).alias("key")), [(i,) for i in range(1, STEPS + 1)], forest, "u binary, v binary")
+    rough, _ = written(components(near), "simhash-rough")
+    return _named(prints, apart, confirmed(docs, apart, rough, words))
 
 
 def _named(prints: DataFrame, apart: DataFrame, edges: DataFrame) -> DataFrame:
