@@ -137,24 +137,32 @@ def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM:
 
 
 def sample(labelled: DataFrame, bytes_per_language: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """A bounded sample of the rows (doc_id, text, lang): distinct texts of each language in the order of a hash.
+    """A bounded sample of the rows (doc_id, text, lang): each language's distinct texts in the order of a hash, until the bound is full.
 
-    The share of a language's rows that is drawn is set from its number of bytes, so that about 1.5 times the bound is
-    drawn and at most the bound is used; of one text at most the bound.
+    A language's share of hashes is set from what its rows can give (of one text at most the bound), so that about 1.5
+    times the bound is drawn; a language that stays below the bound, as of copies, is drawn again with a larger share,
+    up to all of it. The order doesn't depend on the share, so neither does the sample.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    totals = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).filter("n > 0").collect()
-    if not totals:
-        return {}
-    share = F.create_map(*[x for r in totals for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * bytes_per_language / r["n"] + 1e-4)))])
-    drawn = rows.withColumn("_h", F.xxhash64("doc_id", "text")).filter(F.pmod("_h", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
-    drawn = drawn.groupBy("lang", F.substring("text", 1, bytes_per_language).alias("text")).agg(F.min("_h").alias("_h"))
-    out: dict[str, bytearray] = {}
-    for r in drawn.orderBy("lang", "_h", "text").toLocalIterator():
-        part = out.setdefault(r["lang"], bytearray())
-        if len(part) < bytes_per_language:
-            part += (b"\n" if part else b"") + r["text"].encode()
-    return {k: bytes(v[:bytes_per_language]) for k, v in out.items() if v}
+    totals = rows.groupBy("lang").agg(F.sum(F.least(F.octet_length("text"), F.lit(bytes_per_language))).alias("n")).filter("n > 0").collect()
+    share = {r["lang"]: min(1.0, 1.5 * bytes_per_language / r["n"]) for r in totals}
+    rows = rows.select("lang", F.substring("text", 1, bytes_per_language).alias("text")).withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    out: dict[str, bytes] = {}
+    while share:
+        bound = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v * (1 << 40))])
+        drawn = rows.filter(F.col("_h") < bound[F.col("lang")]).groupBy("lang", "text").agg(F.min("_h").alias("_h"))
+        got = {k: bytearray() for k in share}
+        for r in drawn.orderBy("lang", "_h", "text").toLocalIterator():
+            part = got[r["lang"]]
+            if len(part) < bytes_per_language:
+                part += (b"\n" if part else b"") + r["text"].encode()
+        for k, v in got.items():
+            if len(v) >= bytes_per_language or share[k] >= 1:
+                out[k] = bytes(v[:bytes_per_language])
+                del share[k]
+            else:
+                share[k] = min(1.0, share[k] * max(4, min(64, 2 * bytes_per_language // max(len(v), 1))))
+    return {k: v for k, v in out.items() if v}
 
 
 def predict(docs: DataFrame, model: PPM | None) -> DataFrame:
