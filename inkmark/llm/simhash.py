@@ -170,39 +170,81 @@ def _dealt(tiled: DataFrame, steps: list[tuple[int, ...]], forest, schema: str)
     return edges
 
 
-#: Bits of a wide fingerprint, and how many may differ between candidates: texts of similarity 0.8 differ in 78 on average with a
-#: standard deviation of 8; of sets under FEW shingles in 96 (four against five) with one of 9.
-WIDE_BITS, WIDE_RADIUS = 512, 128
-FEW, FEW_RADIUS = 16, 152
-#: Tiles of wide fingerprints are those of like numbers of shingles: so many to a factor of 1 / 0.8.
-STEPS, SIMILAR = 4, 0.8
-#: Shingles of the sets that are compared exactly in one group, each set counting as SET_ROW more.
-SET_BLOCK, SET_ROW = 1 << 18, 200
+#: Bits of a wide fingerprint, and how many may differ between candidates: texts of similarity 0.8 differ in 19 on average with a
+#: standard deviation of 4; of sets under FEW shingles in 24 (four against five) with one of 5.
+WIDE_BITS, WIDE_RADIUS = 128, 46
+FEW, FEW_RADIUS = 16, 56
+#: Candidates: similarity, the number of tiles a set is in, and the smallest hashes that the sets of a tile have in common.
+SIMILAR, BANDS, ROWS = 0.8, 20, 4
+#: Rows of the tiles that one task compares, and shingles of the sets that one task compares exactly, each set counting as SET_ROW more.
+TILE_BLOCK, SET_BLOCK, SET_ROW = 16_384, 1 << 18, 200
+_FACTORS = np.frombuffer(hashlib.shake_256(b"inkmark tiles").digest(BANDS * ROWS * 4), dtype=np.uint32) | np.uint32(1)
+
+
+def _keyed(name: str, n: int) -> np.ndarray:
+    """n fixed odd numbers of 64 bits, made from a name."""
+    return np.frombuffer(hashlib.shake_256(f"inkmark {name}".encode()).digest(8 * n), dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+_FOLD = _keyed("bands", ROWS + BANDS)
+#: Texts are hashed in pieces of about so many bytes, cut between words.
+PIECE = 1 << 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BYTE = _keyed("bytes", 256).copy()
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_NEAR, _FAR, _ORDER = _keyed("near", 4096), _keyed("far", 4096).copy(), _keyed("order", 64)
+_FAR[0] = 1
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of 64 bits of each word of a text, A-Z as a-z: a sum of keyed bytes, each times keys of its place in the word, mixed."""
+    if len(text) > PIECE:
+        cut = next((i for i in range(PIECE, len(text)) if _SPACE[text[i]]), len(text))
+        parts = [text[:cut]]
+        while cut < len(text):
+            to = next((i for i in range(cut + PIECE, len(text)) if _SPACE[text[i]]), len(text))
+            parts.append(text[cut:to])
+            cut = to
+        if len(parts) > 1:
+            return np.concatenate([word_hashes(x) for x in parts])
+    b = np.frombuffer(text, dtype=np.uint8)
+    inside = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
+    size = edge[1::2] - edge[::2]
+    if not len(size):
+        return np.zeros(0, dtype=np.uint64)
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(first, size)
+    z = _BYTE[b[inside]] * _NEAR[at & 4095]
+    if size.max() > 4096:
+        z *= _FAR[(at >> 12) & 4095] * (at.astype(np.uint64) >> np.uint64(24) | np.uint64(1))
+    return _mixed(np.add.reduceat(z, first))
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
-    """The different XXH64 of a text's word shingles, in order."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    line = b" ".join(w)
-    size = np.fromiter(map(len, w), dtype=np.int64, count=len(w))
-    start = np.cumsum(size + 1) - size - 1
+    """The different hashes of a text's word shingles (fewer words: the whole sequence), in order; ``words`` is at most 64."""
+    w = word_hashes(text)
     k = min(words, len(w))
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(line[a:b], 42) for a, b in zip(start[: len(w) - k + 1].tolist(), (start + size)[k - 1 :].tolist())], dtype=np.uint64))
+    if not k:
+        return w
+    out = sum((w[i : len(w) - k + 1 + i] * _ORDER[i] for i in range(1, k)), w[: len(w) - k + 1] * _ORDER[0])
+    out = np.sort(_mixed(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def spread(hashes: np.ndarray) -> bytes:
     """A SimHash of WIDE_BITS bits over a set of hashes: each is spread over WIDE_BITS / 64 words by mixing it with the word's number."""
     n = len(hashes)
     count = np.zeros(WIDE_BITS, dtype=np.int64)
-    for at in range(0, n, 255 * 16):
-        z = hashes[at : at + 255 * 16, None] + np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        bits = np.unpackbits(z.view(np.uint8), axis=1)
+    for at in range(0, n, 255 * 64):
+        z = hashes[at : at + 255 * 64, None] + np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        bits = np.unpackbits(_mixed(z).view(np.uint8), axis=1)
         full = len(bits) // 255 * 255
         if full:
             count += bits[:full].reshape(-1, 255, WIDE_BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
@@ -216,42 +258,46 @@ def wide_fingerprint(text: bytes, words: int) -> tuple[bytes, int]:
     return spread(hashes), len(hashes)
 
 
-def _node(hashes: np.ndarray) -> bytes:
-    """What stands for a set of shingles: its wide fingerprint, its size and a digest of 128 bits."""
-    return spread(hashes) + len(hashes).to_bytes(8, "little") + hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def tiles_of(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS tiles of a set: each is named by the smallest values that ROWS keyed hashes take on the set.
 
+    Two sets of similarity s are in one given tile with probability s ** ROWS, so those of 0.8 miss all of 20 tiles once
+    in 38,000 pairs; sets that share one passage of many hardly ever meet. No hashes: no tiles.
+    """
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    h = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    low = np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
+    for at in range(0, len(h), 2048):
+        low = np.minimum(low, (h[at : at + 2048, None] * _FACTORS[None, :]).min(axis=0))
+    named = (low.reshape(BANDS, ROWS).astype(np.uint64) * _FOLD[:ROWS]).sum(axis=1, dtype=np.uint64) + _FOLD[ROWS:]
+    return ((named ^ (named >> np.uint64(29))) * _FOLD[0]).view(np.int64)
 
-def compare_wide(home: np.ndarray, visitors: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``compare``, for rows of several 64-bit words: row numbers (in home, then visitors) of linked rows and of their part's first.
 
-    radius: one for all, or each row's own, of which the larger holds for a pair.
+def near(tile: np.ndarray, bits: np.ndarray, size: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """Of each row the first row of its part, where rows of one tile are linked if their fingerprints are within the radius.
+
+    bits: a row of 64-bit words each; size: the number of shingles; rows that are away are compared with the others only.
+    The rows of a tile are in the order of their bit counts: those whose counts differ by more than the radius are skipped.
     """
-    both = np.concatenate((home, visitors))
-    total = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-    n, label = len(home), np.arange(len(both))
-    order = np.concatenate((np.argsort(total[:n], kind="stable"), n + np.argsort(total[n:], kind="stable")))
-    both, total = np.ascontiguousarray(both[order]), total[order]
-    reach = np.broadcast_to(np.asarray(radius, dtype=np.uint16), len(order))[order]
-    most = int(reach.max(initial=0))
-    words = np.ascontiguousarray(both.T)
-    for at in range(0, n, 64):
-        rows = np.arange(at, min(at + 64, n))
-        for lo, hi in ((at, n), (n, len(both))):
-            # Bit counts that differ by more than the radius: out of reach.
-            lo_at = lo + np.searchsorted(total[lo:hi], total[rows[0]] - most)
-            hi_at = lo + np.searchsorted(total[lo:hi], total[rows[-1]] + most, side="right")
-            for c in range(lo_at, hi_at, 4096):
-                d = min(c + 4096, hi_at)
-                far = np.zeros((len(rows), d - c), dtype=np.uint16)
-                for word in words:
-                    far += np.bitwise_count(word[rows][:, None] ^ word[None, c:d])
-                u, v = np.nonzero(far <= np.maximum(reach[rows][:, None], reach[None, c:d]))
-                if len(u):
-                    u, v = rows[u], c + v
-                    go = label[u] != label[v]
-                    _merge(label, u[go], v[go])
-    linked = np.flatnonzero(label != np.arange(len(both)))
-    return order[linked], order[label[linked]]
+    total = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((total, tile))
+    tile, bits, total, away = tile[order], bits[order], total[order], away[order]
+    reach = np.where(size < FEW, FEW_RADIUS, WIDE_RADIUS)[order]
+    most, label = int(reach.max(initial=0)), np.arange(len(tile))
+    now, step = np.arange(len(tile)), 0
+    while len(now):
+        step += 1
+        now = now[: np.searchsorted(now, len(tile) - step)]
+        now = now[(tile[now + step] == tile[now]) & (total[now + step] - total[now] <= most)]
+        u = now[(label[now] != label[now + step]) & ~(away[now] & away[now + step])]
+        far = np.bitwise_count(bits[u] ^ bits[u + step]).sum(axis=1, dtype=np.int64)
+        u = u[far <= np.maximum(reach[u], reach[u + step])]
+        if len(u):
+            _merge(label, u, u + step)
+    out = np.arange(len(tile))
+    out[order] = order[label]
+    return out
 
 
 def confirm(root: np.ndarray, sets: list[np.ndarray], known: np.ndarray, away: np.ndarray) -> np.ndarray:
@@ -282,96 +328,116 @@ def confirm(root: np.ndarray, sets: list[np.ndarray], known: np.ndarray, away: n
     return label
 
 
-def confirmed(docs: DataFrame, apart: DataFrame, rough: DataFrame, words: int) -> DataFrame:
-    """Edges (u, v) with the components of all pairs of a similarity of SIMILAR within the components of ``rough`` (node, label).
+def linked(rows: DataFrame, block: int, parts_of) -> DataFrame:
+    """Edges (u, v) with the components of all links between rows of one label.
 
-    apart: fp and low, a doc_id by which a text of the node is found in docs. Components are cut in blocks of about SET_BLOCK
-    shingles, small ones share a block; blocks are linked inside and with four pivots of their component. Of components
-    that still fall apart, all rows outside the largest part are then compared with all others. So a group of copies costs
-    one pass over its rows, and no pair is left out.
+    rows: node (binary), label, weight, data (binary); a node has one row in a label. parts_of(label numbers, data, known part numbers,
+    away) gives each row the first row of its part. Labels are cut in blocks of about ``block`` weight, small ones share
+    a block; blocks are linked inside and with four pivots of their label. Of labels that still fall apart, all rows
+    outside the largest part are then compared with all others. So a group of copies costs one pass over its rows,
+    and no pair is left out.
     """
-    spark = docs.sparkSession
-    wanted = rough.join(apart.withColumnRenamed("fp", "node"), "node").select("node", "label", "low")
-    ids = wanted.select("low").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in got], pa.binary()), pa.array([g.tobytes() for g in got], pa.binary())], names=["node", "shingles"])
-
-    found = texts.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(read, "node binary, shingles binary").dropDuplicates(["node"])
-    sets, sets_path = written(found.join(wanted.select("node", "label"), "node").withColumn("weight", F.octet_length("shingles") / 8 + SET_ROW), "simhash-sets")
-    cut = lambda weight: F.ceil(weight / SET_BLOCK).cast("int")
+    spark = rows.sparkSession
+    cut = lambda weight: F.ceil(weight / block).cast("int")
     pick = F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(4)])
-    big, big_path = written(sets.groupBy("label").agg(F.sum("weight").alias("weight"), pick.alias("pivots")).filter(F.col("weight") > SET_BLOCK).select("label", "pivots", cut(F.col("weight")).alias("blocks")), "simhash-big")
-    buckets = sets.agg(cut(F.coalesce(F.sum("weight"), F.lit(0)))).first()[0] or 1
+    sizes = rows.groupBy("label").agg(F.sum("weight").alias("weight"), pick.alias("pivots"))
+    big, big_path = written(sizes.filter(F.col("weight") > block).select("label", "pivots", cut(F.col("weight")).alias("blocks")), "simhash-big")
+    buckets = rows.agg(cut(F.coalesce(F.sum("weight"), F.lit(0)))).first()[0] or 1
+    schema = "u binary, v binary"
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
-        got = confirm(pd.factorize(pdf["label"])[0], [np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"]], pd.factorize(pdf["part"])[0], pdf["away"].to_numpy(bool))
+        got = parts_of(pd.factorize(pdf["label"])[0], pdf["data"].tolist(), pd.factorize(pdf["part"])[0], pdf["away"].to_numpy(bool))
         on = np.flatnonzero(got != np.arange(len(got)))
         return pd.DataFrame({"u": node[on], "v": node[got[on]]})
 
-    cols = ["node", "label", "shingles", F.col("node").alias("part"), F.lit(False).alias("away")]
-    bucket = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.xxhash64("label"))
-    block = F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).cast("int")
-    rows = sets.join(big, "label", "left").select(*cols, bucket.alias("bucket"), block.alias("block"))
-    pivots = big.select("label", "blocks", F.explode("pivots").alias("node")).distinct().join(sets.select("node", "shingles"), "node")
-    pivots = pivots.select(*cols, F.xxhash64("label").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    edges, _ = written(rows.unionByName(pivots).groupBy("bucket", "block").applyInPandas(link, "u binary, v binary"), "simhash-confirmed")
+    cols = ["node", "label", "data", F.col("node").alias("part"), F.lit(False).alias("away")]
     if big.isEmpty():
-        discard(spark, sets_path, big_path)
-        return edges
+        discard(spark, big_path)
+        dealt = rows.select(*cols, F.pmod(F.xxhash64("label"), F.lit(buckets)).alias("bucket"))
+        return written(dealt.groupBy("bucket").applyInPandas(link, schema), "simhash-links")[0]
+    bucket = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.xxhash64("label"))
+    own = F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks"))).cast("int")
+    dealt = rows.join(big, "label", "left").select(*cols, bucket.alias("bucket"), own.alias("block"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pivots = big.select("label", "blocks", F.explode("pivots").alias("node")).distinct().join(rows.select("node", "label", "data"), ["label", "node"])
+    pivots = pivots.select(*cols, F.xxhash64("label").alias("bucket"), every("blocks").alias("block"))
+    edges, _ = written(dealt.unionByName(pivots).groupBy("bucket", "block").applyInPandas(link, schema), "simhash-links")
 
-    parts = sets.select("node", "label", "weight").join(big.select("label", "blocks"), "label")
+    parts = rows.select("node", "label", "weight").join(big.select("label", "blocks"), "label")
     parts = parts.join(components(edges).withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parts, parts_path = written(parts, "simhash-parts")
     sizes = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     rest = sizes.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("weight").alias("all"), F.max_by("weight", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("k"))
     rest, rest_path = written(rest.filter("k > 1").select("label", "main", F.greatest(F.lit(1), cut(F.col("all") - F.col("most"))).alias("homes")), "simhash-rest")
-    both = parts.join(rest, "label").join(sets.select("node", "shingles"), "node")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = parts.join(rest, "label").join(rows.select("node", "label", "data"), ["label", "node"])
     dealt = lambda n: F.pmod(F.xxhash64("node", F.lit(6)), F.col(n)).cast("int")
-    home = both.filter("part <> main").select("label", "node", "part", "shingles", F.lit(False).alias("away"), dealt("homes").alias("home"), every("blocks").alias("block"))
-    away = both.select("label", "node", "part", "shingles", F.lit(True).alias("away"), dealt("blocks").alias("block"), every("homes").alias("home"))
-    more, _ = written(home.unionByName(away).groupBy("label", "home", "block").applyInPandas(link, "u binary, v binary"), "simhash-confirmed")
-    discard(spark, sets_path, big_path, parts_path, rest_path)
+    home = both.filter("part <> main").select("label", "node", "part", "data", F.lit(False).alias("away"), dealt("homes").alias("home"), every("blocks").alias("block"))
+    away = both.select("label", "node", "part", "data", F.lit(True).alias("away"), dealt("blocks").alias("block"), every("homes").alias("home"))
+    more, _ = written(home.unionByName(away).groupBy("label", "home", "block").applyInPandas(link, schema), "simhash-links")
+    discard(spark, big_path, parts_path, rest_path)
     return edges.unionByName(more)
 
 
-def similar(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp (binary, stands for the set of shingles) and component_id of every row: near duplicates of a shingle similarity of 0.8 or more.
+def _tile_parts(tile: np.ndarray, data: list[bytes], known: np.ndarray, away: np.ndarray) -> np.ndarray:
+    grid = np.frombuffer(b"".join(data), dtype=np.uint64).reshape(len(data), -1)
+    return near(tile, grid[:, :-1], grid[:, -1], away)
 
-    Fingerprints of WIDE_BITS within WIDE_RADIUS (FEW_RADIUS where a text has under FEW shingles) give the candidates; the shingles
-    of the texts in their components are then compared exactly, and only pairs whose Jaccard similarity is SIMILAR or more link.
-    Texts of such a similarity have numbers of different shingles within a factor of 0.8, so tiles are made by that number, and
-    only tiles within the factor are compared. Shingles are equal if their XXH64 is. Nulls, ids and empty texts as in
-    ``near_duplicates``, but that a text without a word links with its like only.
+
+def _set_parts(root: np.ndarray, data: list[bytes], known: np.ndarray, away: np.ndarray) -> np.ndarray:
+    return confirm(root, [np.frombuffer(s, dtype=np.uint64) for s in data], known, away)
+
+
+def similar(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, fp (binary, a digest of the set of shingles) and component_id of every row: near duplicates of a shingle similarity of 0.8 or more.
+
+    Texts with one set of shingles become one node. Nodes are dealt to tiles (``tiles_of``), so that what a node is
+    compared with doesn't grow with the corpus; inside a tile, fingerprints of WIDE_BITS within WIDE_RADIUS (FEW_RADIUS
+    where a text has under FEW shingles) are linked. The shingles of the texts in the components of these candidates
+    are then compared exactly, and only pairs whose Jaccard similarity is SIMILAR or more link. Shingles are equal if their hashes of 64 bits
+    are. Null, empty and blank texts link with their like only. component_id: the smallest doc_id that can be reached,
+    the row's own included (null doc_ids don't count, and it is null if there are no others). Whole texts are read,
+    however long; repeated rows come out as often as they came in; columns other than doc_id and text are ignored; an
+    empty table gives an empty result.
     """
     arrow_rows(docs.sparkSession, 512)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(g) for g in got], pa.binary()), pa.array([len(g) for g in got], pa.int64())], names=["doc_id", "fp", "n"])
+            bands = [tiles_of(g) for g in got]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *bands])))
+            bits = pa.array([spread(g) + len(g).to_bytes(8, "little") for g in got], pa.binary())
+            node = pa.array([hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), node, bits, lists], names=["doc_id", "fp", "bits", "tiles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, fp binary, bits binary, tiles array<long>")
+    prints, prints_path = written(rows, "simhash-wide")
+    # A node's name begins with its smallest doc_id, so that the smallest name of a component holds the smallest doc_id.
+    rank = F.when(F.col("low").isNull(), F.lit("F" * 16)).otherwise(F.lpad(F.hex(F.col("low").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    apart = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first(F.struct("bits", "tiles")).alias("d"))
+    apart, apart_path = written(apart.select(F.concat(F.unhex(rank), "fp").alias("node"), "fp", "low", "d.bits", "d.tiles"), "simhash-distinct")
+    tiles = apart.select("node", F.col("bits").alias("data"), F.explode("tiles").alias("label"))
+    shared = tiles.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+    tiles, tiles_path = written(tiles.join(shared, "label").withColumn("weight", F.lit(1)), "simhash-tiles")
+    rough = components(linked(tiles, TILE_BLOCK, _tile_parts))
+
+    wanted, wanted_path = written(rough.join(apart.select("node", "fp", "low"), "node"), "simhash-rough")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, fp binary, n long")
-    prints, _ = written(rows, "simhash-wide")
-    apart, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")), "simhash-distinct")
-    step = F.floor(F.log(F.greatest("n", F.lit(1))) / float(np.log(1 / SIMILAR)) * STEPS).cast("int")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        away = pdf["visits"].to_numpy(bool)
-        fp = pd.concat((pdf["fp"][~away], pdf["fp"][away])).tolist()
-        grid = np.frombuffer(b"".join(fp), dtype=np.uint64).reshape(len(fp), -1)
-        home, bits = int((~away).sum()), grid[:, : WIDE_BITS // 64]
-        u, v = compare_wide(bits[:home], bits[home:], np.where(grid[:, WIDE_BITS // 64] < FEW, FEW_RADIUS, WIDE_RADIUS))
-        return pd.DataFrame({"u": [fp[i] for i in u], "v": [fp[i] for i in v]})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"", words).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(g, digest_size=16).digest() for g in got], pa.binary()), pa.array(got, pa.binary())], names=["fp", "data"])
 
-    near = _dealt(apart.select("fp", F.array(step).alias("key")), [(i,) for i in range(1, STEPS + 1)], forest, "u binary, v binary")
-    rough, _ = written(components(near), "simhash-rough")
-    return _named(prints, apart, confirmed(docs, apart, rough, words))
+    found = texts.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(read, "fp binary, data binary").dropDuplicates(["fp"])
+    sets, sets_path = written(found.join(wanted.select("fp", "node", "label"), "fp").select("node", "label", "data", (F.octet_length("data") / 8 + SET_ROW).alias("weight")), "simhash-sets")
+    of = components(linked(sets, SET_BLOCK, _set_parts))
+    low = lambda node: F.when(F.hex(F.substring(node, 1, 8)) != "F" * 16, F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))))
+    named = apart.select("fp", "node").join(of, "node", "left").select("fp", low(F.coalesce("label", "node")).alias("component_id"))
+    named, _ = written(named, "simhash-named")
+    discard(docs.sparkSession, apart_path, tiles_path, wanted_path, sets_path)
+    return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _named(prints: DataFrame, apart: DataFrame, edges: DataFrame) -> DataFrame:
@@ -392,22 +458,22 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     tidy = lambda e: e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, path = written(tidy(edges), "components")
-    mark = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    before = mark(now)
-    while before["n"]:
+
+    def done() -> bool:
+        """Whether every node has one edge, to a node that has none to a smaller one."""
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+    while not done():
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, large_path = written(tidy(large), "components")
+        large = tidy(ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large, large_path = written(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small, small_path = written(tidy(small), "components")
         discard(spark, path, large_path)
         now, path = small, small_path
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     out = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     return out.unionByName(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label")))
 
@@ -428,6 +494,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> Da
 
 
 def apply_near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs with the row of the smallest doc_id of each group of ``similar`` only."""
-    gone = similar(docs, words).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with the row of the smallest doc_id of each group of ``similar`` only; all columns are kept, whatever their names.
+
+    Rows that repeat a doc_id that goes all go, and those that repeat one that stays all stay.
+    """
+    gone = similar(docs, words).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("id"))
+    left = own.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    return left.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkmark.llm import bpe, langid, queries, simhash, warc
+from inkmark.llm import bpe, langid, queries, warc
 from tests.conftest import plain
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -184,21 +184,11 @@ def test_stages_against_brute_force(spark, sf):
     left = {max(v) for v in groups.values()}
     assert {r["doc_id"] for r in exact.collect()} == left and exact.columns == cols
     near = corpus_pipeline.near(spark, docs, sf)
-    wide = [np.frombuffer(simhash.wide_fingerprint((r["text"] or "").encode(), 5)[0], dtype=np.uint64) for r in rows]
-    sizes = [simhash.wide_fingerprint((r["text"] or "").encode(), 5)[1] for r in rows]
-    grid = np.stack(wide)
-    far = sum(np.bitwise_count(grid[:, k][:, None] ^ grid[:, k][None, :]).astype(int) for k in range(grid.shape[1]))
-    ratio = np.minimum.outer(sizes, sizes) / np.maximum.outer(sizes, sizes)
-    linked = lambda least: smallest([(i, j) for i, j in zip(*np.nonzero((far <= simhash.WIDE_RADIUS) & (ratio >= least))) if i < j], [r["doc_id"] for r in rows])
+    # Exactly the texts that hang together by a similarity of 0.8 or more of their five-word shingles lose all but one.
+    shingles = [set(zip(*[t[i:] for i in range(min(5, len(t)))])) for t in ((r["text"] or "").translate(LOWER).split() for r in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if shingles[i] and 5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j])]
     left = {r["doc_id"] for r in near.collect()}
-    # All links of texts whose sizes allow the similarity; tiles may also find some beyond.
-    assert linked(0.7) <= left <= linked(0.8) and near.columns == cols
-    # Pairs of a true similarity of 0.8 or more lose one of the two; clean texts stay.
-    shingles = [set(zip(*[t[i:] for i in range(5)])) for t in ((r["text"] or "").translate(LOWER).split() for r in rows)]
-    for i in range(len(rows)):
-        for j in range(i):
-            if shingles[i] and shingles[j] and len(shingles[i] & shingles[j]) >= 0.85 * len(shingles[i] | shingles[j]):
-                assert not {rows[i]["doc_id"], rows[j]["doc_id"]} <= left
+    assert left == smallest(pairs, [r["doc_id"] for r in rows]) and near.columns == cols
     alone = [r["doc_id"] for i, r in enumerate(rows) if shingles[i] and not any(i != j and shingles[i] & shingles[j] for j in range(len(rows)))]
     assert set(alone) <= left and len(alone) > 20
     mixed = corpus_pipeline.mixed(spark, docs, sf)
