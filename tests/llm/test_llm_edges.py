@@ -201,29 +201,6 @@ def test_main_text(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_repeated_runs_against_brute_force():
-    import random
-
-    rng = random.Random(3)
-    streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 25))] for _ in range(12)] + [["a"] * 9]
-    for need, pages in ((4, 3), (3, 2), (6, 2)):
-        got = html_extract.repeated(streams, need, pages)
-        distinct = set(map(tuple, streams))
-        for s, cover in zip(streams, got, strict=True):
-            want = [False] * len(s)
-            for i in range(len(s) - need + 1):
-                run = tuple(s[i : i + need])
-                if sum(any(t[j : j + need] == run for j in range(len(t))) for t in distinct) >= pages:
-                    want[i : i + need] = [True] * need
-            assert cover.tolist() == want
-
-
-def test_boilerplate_without_marks_goes(spark):
-    page = "<div>Welcome to the site of all things</div><div>%s is told here at length</div><div>Write to us at the usual place</div>"
-    got = html_extract.extract([page % f"Story {i}" for i in range(5)])
-    assert got == [f"Story {i} is told here at length" for i in range(5)]
-
-
 def test_shards(spark):
     store = sharding.ShardStore(spark, shared_dir(spark, "t"), base_bytes=2000, target_bytes=1 << 20, fan_in=3)
     assert store.read() is None and store.append(empty(spark)).files is not None
