@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 
-# The shapes that are looked for, in order of precedence.
+# The shapes that are looked for, in order of precedence. Groups repeat a bounded number of times, as Java recurses on each.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.){1,60}[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
-    "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9/-]|\.[0-9])",
+    "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}([./-])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    r"|(?<![0-9A-Za-z+.,-])(?<![0-9] )[2-9][0-9]{2} ?[2-9][0-9]{2} ?[0-9]{4}(?![0-9A-Za-z]|[.,-][0-9]| [0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
-ANY = "|".join(SHAPES.values())
+# In one pattern a reference to a group counts from the first shape, so the date's two are spelled out there.
+ANY = "|".join(SHAPES.values()).replace(SHAPES["date"], "|".join(SHAPES["date"].replace("([./-])", c).replace(r"\1", c).replace(r"\2", c) for c in ("-", "/", r"\.")))
 #: First day and number of days of the dates that are permuted: 400 Gregorian years, 189 * 773 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+#: How often a pseudonym that isn't of the value's own class is permuted again at most; beyond what ever happens (0.64 ** 200 is 1e-39).
+WALK = 200
 
 
 def _alnum(c: Column) -> Column:
@@ -48,10 +52,26 @@ def iban_digits(country: Column, account: Column) -> Column:
     return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
+def _month_first(m: Column) -> Column:
+    """Whether a date is real only if its first number is the month."""
+    return ~m.rlike("^[0-9]{4}") & (F.substring(m, 4, 2).try_cast("int") > 12)
+
+
 def _date(m: Column) -> Column:
-    iso = F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))
-    day_first = F.try_to_timestamp(F.regexp_replace(m, "[./]", "-"), F.lit("dd-MM-yyyy"))
-    return F.when(m.rlike("^[0-9]{4}-"), iso).otherwise(day_first).cast("date")
+    """The day of a date: year first; else day first, or month first where the second number is beyond 12."""
+    s = F.regexp_replace(m, "[./]", "-")
+    shape = lambda p: F.try_to_timestamp(s, F.lit(p))
+    return F.when(m.rlike("^[0-9]{4}"), shape("yyyy-MM-dd")).when(_month_first(m), shape("MM-dd-yyyy")).otherwise(shape("dd-MM-yyyy")).cast("date")
+
+
+def _national(digits: Column) -> Column:
+    """Whether ten digits are a number whose area and exchange begin with 2 to 9."""
+    return digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+
+
+def walked(first: Column, again, fits) -> Column:
+    """first, or the first of its successors under ``again`` that fits: so a permutation of all values is one of those that fit."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, _: F.when(fits(s), s).otherwise(again(s)))
 
 
 def kind_of(m: Column) -> Column:
@@ -125,8 +145,10 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The pseudonym of one match of this kind in its own format; the match itself where it has no kind.
 
     Values that differ only in separators (``4111 1111...`` and ``4111-1111...``) have pseudonyms that differ only
-    there, so they stay linked. Dates stay real dates within 1800-2199 in the form they were written in; card numbers
-    and IBANs get fitting check digits; e-mail addresses keep the domain; +country codes stay.
+    there, so they stay linked. Dates stay real dates within 1800-2199 in the form they were written in (day first, but month first
+    where only that is a date; such a one stays so); card numbers and IBANs get fitting check digits; SSNs stay valid; e-mail
+    addresses keep the domain, which is part of the key; +country codes stay; ten-digit telephone numbers keep whether area and
+    exchange begin with 2 to 9. Each of these classes is permuted within itself, so no two values share a pseudonym.
     """
     digits = _digits(m)
     text = lambda v, k: feistel_text(v, key, F.lit(k))
@@ -134,21 +156,41 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     iban = F.regexp_replace(m, " ", "")
     account = text(F.substring(iban, 5, 40), "iban")
     country = F.substring(iban, 1, 2)
-    local = F.regexp_extract(m, "^([^@]*)@", 1)
+    local, domain = F.regexp_extract(m, "^([^@]*)@", 1), F.regexp_extract(m, "@(.*)$", 1)
+
     prefix = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])[ .-]?|\+)?", 0)
     number = F.substring(m, F.length(prefix) + 1, F.length(m))
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(F.datediff(_date(m), F.lit(FIRST_DAY).cast("date")), DAYS_A, DAYS_B, key, "date").cast("int"))
-    shown = F.when(m.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(day, "dd"), F.substring(m, 3, 1), F.date_format(day, "MM"), F.substring(m, 6, 1), F.date_format(day, "yyyy")))
+    ten = _digits(number)
+    cut = lambda at, n: F.substring(ten, at, n).cast("long")
+    dialled = feistel_number(((cut(1, 3) - 200) * 800 + cut(4, 3) - 200) * 10_000 + cut(7, 4), 640_000, 10_000, key, "phone")
+    half = F.floor(dialled / 10_000)
+    national = F.concat((F.floor(half / 800) + 200).cast("string"), (half % 800 + 200).cast("string"), F.lpad((dialled % 10_000).cast("string"), 4, "0"))
+    other = walked(text(ten, "phone"), lambda s: text(s, "phone"), lambda s: ~_national(s))
+
+    # An SSN is a number of 898 areas (001 to 899 but 666), 99 groups and 9,999 serials.
+    area, group, serial = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 2).cast("long"), F.substring(digits, 6, 4).cast("long")
+    place = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+    new = feistel_number(place, 898 * 99, 9999, key, "ssn")
+    new_area = F.floor(new / (99 * 9999)) + 1
+    ssn = F.format_string("%03d%02d%04d", F.when(new_area >= 666, new_area + 1).otherwise(new_area), F.floor(new / 9999) % 99 + 1, new % 9999 + 1)
+
+    first = F.lit(FIRST_DAY).cast("date")
+    day_number = F.datediff(_date(m), first).cast("long")
+    step = lambda d: feistel_number(d, DAYS_A, DAYS_B, key, "date")
+    late = walked(step(day_number), step, lambda d: F.dayofmonth(F.date_add(first, d.cast("int"))) > 12)
+    day = F.date_add(first, F.when(_month_first(m), late).otherwise(step(day_number)).cast("int"))
+    spelled = F.when(m.rlike("^[0-9]{4}"), F.date_format(day, "yyyyMMdd")).when(_month_first(m), F.date_format(day, "MMddyyyy")).otherwise(F.date_format(day, "ddMMyyyy"))
+
     octets = F.split(m, r"\.")
     ip = feistel_number(F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long")), 65536, 65536, key, "ip")
     dotted = F.concat_ws(".", *[(F.shiftright(ip, s) % 256).cast("string") for s in (24, 16, 8, 0)])
     return (
-        F.when(kind == "email", F.concat(poured(local, text(_alnum(local), "email")), F.lit("@"), F.regexp_extract(m, "@(.*)$", 1)))
+        F.when(kind == "email", F.concat(poured(local, feistel_text(_alnum(local), key, F.concat(F.lit("email@"), F.lower(domain)))), F.lit("@"), domain))
         .when(kind == "iban", poured(m, F.concat(country, iban_digits(country, account), account)))
-        .when(kind == "date", shown)
+        .when(kind == "date", poured(m, spelled))
         .when(kind == "ip", dotted)
-        .when(kind == "phone", F.concat(prefix, poured(number, text(_digits(number), "phone"))))
-        .when(kind == "ssn", poured(m, text(digits, "ssn")))
+        .when(kind == "phone", F.concat(prefix, poured(number, F.when(_national(ten), national).when(F.length(ten) == 10, other).otherwise(text(ten, "phone")))))
+        .when(kind == "ssn", poured(m, ssn))
         .when(kind == "card", poured(m, F.concat(card, luhn_digit(card))))
         .otherwise(m)
     )
@@ -160,19 +202,24 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     Every valid value is replaced wherever it stands, by a permutation under ``key`` of all values of its format:
     equal values have equal pseudonyms in all documents, different ones different pseudonyms. Anything that is not
     valid (a 16-digit number that fails Luhn's test, 31 February, an octet of 300) stays as it is. Texts without a
-    match are passed through untouched; null stays null with 0 values; an existing n_private is replaced. Whole texts
-    are read. The work is done where the row is: no shuffle, and no Python.
+    match are passed through untouched; null and empty texts stay so with 0 values; repeated rows stay repeated; an empty table
+    gives an empty result; an existing n_private is replaced, other columns are kept whatever their names. Whole texts
+    are read, however long. The work is done where the row is: no shuffle, and no Python.
     """
-    text = F.col(column)
+    keep = [c for c in docs.columns if c != "n_private"]
+    names = [f"c{i}" for i in range(len(keep))]
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)])
+    text = F.col(names[keep.index(column)])
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     gaps = F.split(text, ANY, -1)
     # Every shape holds an @ or three digits; a scan for these spares most texts the search for the shapes.
     near = text.rlike("@|[0-9][^A-Za-z]{0,2}[0-9][^A-Za-z]{0,2}[0-9]")
-    hit = docs.withColumn("_f", F.when(near & text.rlike(ANY), F.struct(found.alias("m"), gaps.alias("g"))))
-    hit = hit.withColumn("_k", F.transform("_f.m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
-    new = F.transform("_k", lambda x: F.coalesce(pseudonym(x["m"], x["k"], key), x["m"]))
-    count = F.size(F.filter("_k", lambda x: x["k"].isNotNull())).cast("long")
-    hit = hit.withColumn("_new", F.when(F.col("_f").isNotNull(), new))
-    hit = hit.withColumn("n_private", F.when(F.col("_f").isNotNull(), count).otherwise(F.lit(0).cast("long")))
-    rebuilt = F.array_join(F.flatten(F.zip_with(F.col("_f.g"), F.col("_new"), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    return hit.withColumn(column, F.when(F.col("_f").isNotNull(), rebuilt).otherwise(text)).drop("_f", "_k", "_new")
+    hit = own.withColumn("found", F.when(near & text.rlike(ANY), F.struct(found.alias("m"), gaps.alias("g"))))
+    hit = hit.withColumn("kinds", F.transform("found.m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
+    new = F.transform("kinds", lambda x: F.coalesce(pseudonym(x["m"], x["k"], key), x["m"]))
+    count = F.size(F.filter("kinds", lambda x: x["k"].isNotNull())).cast("long")
+    hit = hit.withColumn("new", F.when(F.col("found").isNotNull(), new))
+    rebuilt = F.array_join(F.flatten(F.zip_with(F.col("found.g"), F.col("new"), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+    shown = F.when(F.col("found").isNotNull(), rebuilt).otherwise(text)
+    private = F.when(F.col("found").isNotNull(), count).otherwise(F.lit(0).cast("long"))
+    return hit.select(*[(shown if c == column else F.col(n)).alias(c) for c, n in zip(keep, names)], private.alias("n_private"))
