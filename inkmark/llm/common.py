@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +45,45 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows and bytes of an Arrow batch that goes to Python, so that long texts do not pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound the rows and bytes of an Arrow batch that goes to Python, so that long texts do not pile up in one batch.
+
+    Spark reads the two settings when a plan runs, which is after this returns, so they are lowered and stay so; smaller ones of the
+    session's are left alone.
+    """
+    batch = "spark.sql.execution.arrow.max{}PerBatch".format
+    if not 0 < int(spark.conf.get(batch("Records"))) <= rows:
+        spark.conf.set(batch("Records"), str(rows))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(batch("Bytes"))) > 4 << 20:
+        spark.conf.set(batch("Bytes"), str(4 << 20))
+
+
+def open_file(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
+class WholeFile:
+    """A file that appears under its name only when it is whole.
+
+    Names hold an id of the attempt: a task that runs again, or twice at once, writes another file, and only the one
+    whose rows Spark takes is ever named by them.
+    """
+
+    def __init__(self, uri: str):
+        self.fs, self.path = open_file(uri)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.draft = f"{self.path}.{uuid.uuid4().hex}.draft"
+        self.stream, self.at = self.fs.open_output_stream(self.draft), 0
+
+    def add(self, data: bytes) -> int:
+        """Where data begins."""
+        start = self.at
+        self.stream.write(data)
+        self.at += len(data)
+        return start
+
+    def done(self) -> None:
+        self.stream.close()
+        self.fs.move(self.draft, self.path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -16,7 +16,7 @@ from .common import arrow_rows
 SAMPLE_BYTES = 262_144
 #: Longest context, in bytes.
 ORDER = 3
-#: Code lengths of the model at most (contexts * symbols * languages); beyond, the rarest long contexts are left out.
+#: Up to so many code lengths (contexts * symbols * languages) the model is one table; beyond, the trees are kept apart, with the same lengths.
 MAX_CELLS = 24_000_000
 #: Bytes scored at once.
 SLICE = 1 << 18
@@ -39,7 +39,7 @@ class PPM:
     def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length in bits of each text data[starts[i]:starts[i + 1]] under each language."""
         out = np.zeros((len(starts) - 1, len(self.languages)))
-        a, n_sym = self.symbol.max() + 2, self.bits.shape[1]
+        a, n_sym = self.context.shape[0], self.bits.shape[1]
         outside = a - 1
         flat = self.context.reshape(-1)
         bits = self.bits.reshape(-1, len(self.languages))
@@ -63,14 +63,71 @@ class PPM:
         return out
 
 
-def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM:
+@dataclass
+class Trees:
+    """The context trees of all languages, each by itself: its size is that of the samples, whatever the number of languages.
+
+    trees: of each language and order the contexts with their escapes, and the pairs of context and next byte with their lengths, in order of
+    their codes (the bytes before, and the next byte, as one number).
+    """
+
+    languages: list[str]
+    trees: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+    def lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Code length in bits of each text data[starts[i]:starts[i + 1]] under each language."""
+        out = np.zeros((len(starts) - 1, len(self.languages)))
+        for lo in range(0, len(data), SLICE):
+            hi = min(lo + SLICE, len(data))
+            back = min(lo, ORDER)
+            s = np.zeros(hi - lo + ORDER, dtype=np.uint32)
+            s[ORDER - back :] = data[lo - back : hi]
+            owner = np.searchsorted(starts, np.arange(lo, hi), side="right") - 1
+            far = np.arange(lo, hi) - starts[owner]  # bytes of the text before this one
+            code = [np.zeros(hi - lo, dtype=np.uint32)]
+            for k in range(1, ORDER + 1):
+                code.append(code[-1] | s[ORDER - k : len(s) - k] << np.uint32(8 * (k - 1)))
+            for at, tree in enumerate(self.trees):
+                cost = np.full(hi - lo, 8.0, dtype=np.float32)
+                for k, (contexts, escape, pairs, bits) in enumerate(tree):
+                    if not len(contexts):
+                        continue
+                    pair = code[k] << np.uint32(8) | s[ORDER:]
+                    i, j = np.searchsorted(pairs, pair), np.searchsorted(contexts, code[k])
+                    i, j = np.minimum(i, len(pairs) - 1), np.minimum(j, len(contexts) - 1)
+                    here = np.where(pairs[i] == pair, bits[i], cost + np.where(contexts[j] == code[k], escape[j], np.float32(0)))
+                    cost = np.where(far >= k, here, cost)
+                out[:, at] += np.bincount(owner, weights=cost, minlength=len(out))
+        return out
+
+
+def _trees(samples: dict[str, bytes]) -> Trees:
+    languages, trees = sorted(samples), []
+    for lang in languages:
+        s, tree = np.frombuffer(samples[lang], dtype=np.uint8).astype(np.uint32), []
+        for k in range(ORDER + 1):
+            n = max(len(s) - k, 0)
+            code = np.zeros(n, dtype=np.uint32)
+            for j in range(k):
+                code = code << np.uint32(8) | s[j : j + n]
+            pairs, times = np.unique(code << np.uint32(8) | s[k : k + n], return_counts=True)
+            contexts, group = np.unique(pairs >> np.uint32(8), return_inverse=True)
+            total, different = np.bincount(group, weights=times, minlength=len(contexts)), np.bincount(group, minlength=len(contexts))
+            escape = np.log2((total + different) / different) if len(contexts) else total
+            bits = np.log2((total + different)[group] / times) if len(pairs) else times
+            tree.append((contexts, escape.astype(np.float32), pairs, bits.astype(np.float32)))
+        trees.append(tree)
+    return Trees(languages, trees)
+
+
+def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM | Trees:
     """Count the contexts of up to ORDER bytes in each language's sample and freeze the code lengths.
 
     A symbol seen c times in a context of n symbols, d of them different, has probability c / (n + d) there; the escape
     to the next shorter context has d / (n + d) (method C, without exclusion). Below the empty context all 256
     bytes are equally likely. A context that a language has not seen costs it nothing and leaves the next shorter one.
-    The trees share one set of contexts, cut to the most frequent ones where it would pass max_cells, so the model that is sent
-    to the executors is of bounded size (four bytes a cell).
+    The trees share one set of contexts where that takes max_cells lengths at most (four bytes each). Beyond (many languages) they
+    are kept apart, at most 12 bytes for each order and byte of the samples: no context is left out, and code lengths are the same.
     """
     languages = sorted(samples)
     seen = np.zeros(256, dtype=bool)
@@ -94,14 +151,8 @@ def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM:
     codes = [np.zeros(1, dtype=np.int64)]
     for k in range(1, ORDER + 1):
         codes.append(np.unique(np.concatenate([code(s, k) for s in grams.values()] + [np.zeros(0, dtype=np.int64)])))
-    room = max_cells // (n_sym * len(languages)) - 1
-    for k in range(1, ORDER + 1):
-        if len(codes[k]) > max(room, 0):
-            times = sum(np.bincount(np.searchsorted(codes[k], code(s, k)), minlength=len(codes[k])) for s in grams.values())
-            codes[k] = np.sort(codes[k][np.lexsort((codes[k], -times))[: max(room, 0)]])
-        if k > 1:
-            codes[k] = codes[k][np.isin(codes[k] % a ** (k - 1), codes[k - 1])]
-        room -= len(codes[k])
+    if sum(map(len, codes)) * n_sym * len(languages) > max_cells:
+        return _trees(samples)
     base = np.cumsum([0] + [len(c) for c in codes])
     bits = np.zeros((base[-1], n_sym, len(languages)), dtype=np.float32)
     for at, lang in enumerate(languages):
@@ -110,8 +161,7 @@ def train(samples: dict[str, bytes], max_cells: int = MAX_CELLS) -> PPM:
         for k in range(ORDER + 1):
             seen_code = code(s, k)
             ctx = np.searchsorted(codes[k], seen_code)
-            there = np.isin(seen_code, codes[k])
-            pair, times = np.unique(ctx[there] * n_sym + s[k:][there], return_counts=True)
+            pair, times = np.unique(ctx * n_sym + s[k:], return_counts=True)
             count = np.zeros(len(codes[k]) * n_sym)
             count[pair] = times
             count = count.reshape(-1, n_sym)
@@ -165,13 +215,14 @@ def sample(labelled: DataFrame, bytes_per_language: int = SAMPLE_BYTES) -> dict[
     return {k: v for k, v in out.items() if v}
 
 
-def predict(docs: DataFrame, model: PPM | None) -> DataFrame:
+def predict(docs: DataFrame, model: PPM | Trees | None) -> DataFrame:
     """docs with lang_pred, score and bits_per_byte added (columns of these names are replaced).
 
     lang_pred: the language that codes the whole text in the fewest bits (ties: the first by name); ``und`` with score
     0 if the text is null or empty, has no letter, or no language was learned. score: the share of that language
     when each weighs 2^-bits, from 0 to 1. Long texts are scored in slices that carry the context over. Rows are
-    scored where they are, without a shuffle. Only the text decides.
+    scored where they are, without a shuffle. Only the text decides. Repeated rows come out as often as they came in; an empty
+    table gives an empty result; other columns are kept whatever their names.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 512)
@@ -209,7 +260,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame) -> PPM | None:
+def fit(docs: DataFrame) -> PPM | Trees | None:
     got = sample(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return train(got) if got else None
 

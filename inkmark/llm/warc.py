@@ -14,13 +14,12 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import arrow_rows, discard, shared_dir, written
+from .common import WholeFile, arrow_rows, discard, open_file, shared_dir, written
 
 #: Captures of an index block.
 LINES = 512
@@ -78,35 +77,6 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
-class _Writer:
-    """A file that appears under its name only when it is whole.
-
-    Names hold an id of the attempt: a task that runs again, or twice at once, writes another file, and only the one
-    whose rows Spark takes is ever named by a capture or a part.
-    """
-
-    def __init__(self, uri: str):
-        self.fs, self.path = _open(uri)
-        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
-        self.draft = f"{self.path}.{uuid.uuid4().hex}.draft"
-        self.stream, self.at = self.fs.open_output_stream(self.draft), 0
-
-    def add(self, data: bytes) -> int:
-        """Where data begins."""
-        start = self.at
-        self.stream.write(data)
-        self.at += len(data)
-        return start
-
-    def done(self) -> None:
-        self.stream.close()
-        self.fs.move(self.draft, self.path)
-
-
 def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> DataFrame:
     """Write a record per row of pages (page_id, url, html; others are ignored); returns the captures.
 
@@ -126,7 +96,7 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = 0) -> D
         name = f"{root}/archives/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
         out = None
         for b in batches:
-            out = out or _Writer(name)
+            out = out or WholeFile(name)
             rows = []
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 data = record(page_id, url, payload, digest32(payload), refers_to)
@@ -160,7 +130,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
 
         for b in batches:
             for line in zip(*(c.to_pylist() for c in b.columns)):
-                out = out or _Writer(f"{name}.blocks")
+                out = out or WholeFile(f"{name}.blocks")
                 entries += 1
                 lines.append(line)
                 if len(lines) == LINES:
@@ -169,7 +139,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
             if lines:
                 close()
             out.done()
-            side = _Writer(f"{name}.directory")
+            side = WholeFile(f"{name}.directory")
             side.add(json.dumps(directory).encode())
             side.done()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([directory[0][0]]), pa.array([entries], pa.int64())], names=["part", "first", "entries"])
@@ -181,7 +151,7 @@ class Index:
     """Reader of one part: binary search of the directory, range reads of blocks, the last block kept."""
 
     def __init__(self, part: str):
-        self.fs, path = _open(part)
+        self.fs, path = open_file(part)
         with self.fs.open_input_file(f"{path}.directory") as f:
             self.directory = json.loads(f.read())
         self.firsts = [d[0] for d in self.directory]
@@ -252,7 +222,7 @@ def look_up(keys: DataFrame, parts: DataFrame) -> DataFrame:
                         if file not in archives:
                             if len(archives) >= 64:
                                 archives.pop(next(iter(archives))).close()
-                            fs, path = _open(file)
+                            fs, path = open_file(file)
                             archives[file] = fs.open_input_file(path)
                         headers, payload = parse(archives[file].read_at(length, offset))
                         revisit = headers["WARC-Type"] == "revisit"

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, per operator."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -65,15 +66,17 @@ def test_language(spark):
     assert langid.predict(empty(spark), model).count() == 0
 
 
-def test_the_model_is_bounded():
-    import numpy as np
-
+def test_a_model_of_many_languages_has_the_same_lengths():
     rng = np.random.default_rng(2)
-    samples = {x: bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)) for x in "ab"}
-    small = langid.train(samples, max_cells=300_000)
-    assert small.bits.size <= 300_000 + 2 * 257
-    got = small.lengths(np.frombuffer(samples["a"][:5000], dtype=np.uint8), np.array([0, 5000]))[0]
-    assert got[0] < got[1]
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9), dtype=np.uint8)) for _ in range(400)]
+    samples = {x: b" ".join(rng.choice(words, 3000)) for x in "abcd"} | {"e": b"z", "f": bytes(rng.integers(0, 256, 5000, dtype=np.uint8))}
+    table, apart = langid.train(samples, max_cells=10**9), langid.train(samples, max_cells=300_000)
+    assert isinstance(table, langid.PPM) and isinstance(apart, langid.Trees)
+    texts = [b" ".join(rng.choice(words, n)) for n in (1, 5, 80, 400)] + [b"", bytes(rng.integers(0, 256, 700, dtype=np.uint8)), b"ab"]
+    data, starts = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(table.lengths(data, starts), apart.lengths(data, starts), rtol=1e-4)
+    held = sum(x.nbytes for t in apart.trees for level in t for x in level)
+    assert held <= 16 * (langid.ORDER + 1) * sum(map(len, samples.values()))  # of the samples' size, however many the languages
 
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -88,6 +91,30 @@ def test_top_k(spark):
     assert topk.top_k(v.limit(0), v, 5).count() == 0 and topk.top_k(v.limit(1), v.limit(0), 5).count() == 0
 
 
+def test_top_k_of_large_and_sparse_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 3000)
+    monkeypatch.setattr(topk, "QUERIES", 400)
+    monkeypatch.setattr(topk, "TOGETHER", 3)
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    dense = rng.normal(size=(300, 16))
+    sparse = rng.normal(size=(300, 16)) * (rng.random((300, 16)) < 0.15)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((dense, sparse)))]
+    rows += [(1000, [6e5, *[0.0] * 15]), (1050, [5e6, 3.0, *[0.0] * 14]), (1051, [-1e7, *[1.0] * 15]), (1100, [2.0**20 + 0.5, *[0.0] * 15]), (1150, [*[0.0] * 15, 1e13]), (2000, [1.0, 2.0]), (2050, [3.0, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_k(v.filter("vec_id % 50 = 0"), v, 5).orderBy("query_id", "rank").collect()]
+    w = {i: [int(np.floor(x * 256)) for x in e] for i, e in rows}
+    want = []
+    for a in sorted(w):
+        if a % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(w[a], w[b])), b) for b in w if b != a and len(w[b]) == len(w[a]))[:5]
+            want += [(a, r, b, -x) for r, (x, b) in enumerate(s, 1)]
+    assert got == want
+    with pytest.raises(Exception, match="64 bits"):
+        over = topk.quantised(spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>"))
+        topk.top_k(over, over, 5)
+
+
 def test_near_duplicates(spark):
     got = simhash.near_duplicates(docs(spark), 3).collect()
     assert len(got) == len(ODD)
@@ -107,8 +134,6 @@ def test_long_chain_of_links(spark):
 
 
 def test_tiles_miss_no_link():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
