@@ -11,24 +11,49 @@ MOVES = (
     ("PENDING", "STORED"), ("PENDING", "FAILED"), ("STORED", "BLOCKCHAIN_PENDING"), ("STORED", "FAILED"), ("BLOCKCHAIN_PENDING", "ISSUED"),
     ("BLOCKCHAIN_PENDING", "FAILED"), ("ISSUED", "REVOKED"), ("FAILED", "PENDING"), ("PENDING", "PENDING"),
 )
+FAILURES = ("S3_FAILED", "CHAIN_REVERTED", "WRONG_CONTRACT", "WRONG_DATA", "USER_REJECTED", "CLIENT_ERROR", "STUCK_PENDING")
+MIME_TYPES = ("application/pdf", "image/png", "image/jpeg")
+CHECKS = ("MATCH", "INCONCLUSIVE", "SKIPPED")
 DUPLICATE = ("STORED", "BLOCKCHAIN_PENDING", "ISSUED", "REVOKED")
 STALE_SECONDS, STUCK_SECONDS = 60, 600
 
 
 def validate_records(records: DataFrame) -> DataFrame:
-    """records with violations: the names, joined by commas, of the columns that break the record contract."""
-    rules = {
-        "record_id": F.col("record_id").isNotNull(),
-        "sha256": F.col("sha256").rlike("^[a-f0-9]{64}$"),
-        "content_hash": F.col("content_hash").isNull() | F.col("content_hash").rlike("^[a-f0-9]{64}$"),
-        "transaction_hash": F.col("transaction_hash").isNull() | F.col("transaction_hash").rlike("^0x[a-f0-9]{64}$"),
-        "status": F.col("status").isin(*STATES),
-        "size": F.col("size") >= 0,
-        "block_number": F.col("block_number").isNull() | (F.col("block_number") >= 0),
-        "revocation_reason": F.col("revocation_reason").isNull() | (F.length("revocation_reason") <= 500),
-    }
-    bad = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
-    return records.select(*rules, F.array_join(F.array_compact(bad), ",").alias("violations"))
+    """The columns of the record contract with violations: the names, joined by commas, of those that break it.
+
+    Columns that the contract doesn't know are dropped; those that a table lacks count as null. sha256, status and record_id must be there.
+    """
+    c = lambda n: F.col(n) if n in records.columns else F.lit(None).cast("string")
+    hashed, chained = "^[a-f0-9]{64}$", "^0x[a-f0-9]{64}$"
+    must = {"record_id": c("record_id").isNotNull(), "sha256": c("sha256").rlike(hashed), "status": c("status").isin(*STATES)}
+    may = {
+        "byte_hash": c("byte_hash").rlike(hashed), "content_hash": c("content_hash").rlike(hashed), "lookup_key": c("lookup_key").rlike(hashed), "ocr_check": c("ocr_check").isin(*CHECKS),
+        "mime_type": c("mime_type").isin(*MIME_TYPES), "size": c("size").cast("long") >= 0, "chain_id": c("chain_id").cast("long") >= 1, "contract_address": c("contract_address").rlike("^0x[a-fA-F0-9]{40}$"),
+        "transaction_hash": c("transaction_hash").rlike(chained), "block_number": c("block_number").cast("long") >= 0, "failure_reason": c("failure_reason").isin(*FAILURES),
+        "revocation_reason": F.length(c("revocation_reason")) <= 500, "revocation_tx": c("revocation_tx").rlike(chained),
+    }
+    rules = {**{n: F.coalesce(ok, F.lit(False)) for n, ok in must.items()}, **{n: c(n).isNull() | F.coalesce(ok, F.lit(False)) for n, ok in may.items()}}
+    bad = F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()])
+    return records.select(*[c(n).alias(n) for n in rules], F.array_join(F.array_compact(bad), ",").alias("violations"))
+
+
+def quarantined(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep the contract, rows that break it with their violations); every row is in one of the two."""
+    v = validate_records(records)
+    return v.filter("violations = ''").drop("violations"), v.filter("violations <> ''")
+
+
+def issuer_gate(anchors: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """anchors with outcome: accepted if the sender (key) is on the allow list, else rejected."""
+    there = allowed.select(F.col(key).alias("_key")).distinct()
+    j = anchors.join(there, F.col(key) == F.col("_key"), "left")
+    return j.withColumn("outcome", F.when(F.col("_key").isNotNull(), "accepted").otherwise("rejected")).drop("_key")
+
+
+def register_issuers(requests: DataFrame, issuers: DataFrame, order: str) -> DataFrame:
+    """requests (wallet and others) with outcome: registered for the first request (by ``order``) of a wallet that isn't an issuer, else already_registered."""
+    seen = append_if_absent(requests, issuers, "wallet", order)
+    return seen.withColumn("outcome", F.when(F.col("already_stored"), "already_registered").otherwise("registered")).drop("already_stored")
 
 
 def append_if_absent(batch: DataFrame, target: DataFrame, key: str, order: str) -> DataFrame:
@@ -153,7 +178,9 @@ def apply_chain_reports(reports: DataFrame, records: DataFrame) -> DataFrame:
     j = reports.withColumn("tx", F.lower("tx")).join(rec, "record_id", "left").join(used, F.col("tx") == F.col("_used"), "left")
     per_doc = F.row_number().over(Window.partitionBy("record_id").orderBy("ts", "report_id"))
     pending = F.col("kind") == "pending"
-    per_tx = F.row_number().over(Window.partitionBy("kind", "tx").orderBy("ts", "report_id"))
+    # Only pending reports claim a transaction; all others, whose tx is mostly null, are put apart by their own id.
+    claim = F.when(pending & F.col("tx").isNotNull(), F.col("tx")).otherwise(F.concat(F.lit("report "), F.col("report_id").cast("string")))
+    per_tx = F.row_number().over(Window.partitionBy(claim).orderBy("ts", "report_id"))
     j = j.withColumn("_n", per_doc).withColumn("_m", per_tx)
     outcome = (
         F.when(F.col("status").isNull(), "not_found")
@@ -190,9 +217,12 @@ def replay_registry(issuers: DataFrame, anchors: DataFrame, revokes: DataFrame)
     An anchor counts if its wallet was listed at that moment and the hash was not anchored before; a revoke counts if it comes
     from the anchoring wallet after the anchor. Removing an issuer keeps its documents valid.
     """
-    e = issuers.select("wallet", "block", "idx", "listed", F.lit(None).cast("string").alias("content_hash")).unionByName(anchors.select("wallet", "block", "idx", F.lit(None).cast("boolean").alias("listed"), "content_hash"))
-    so_far = Window.partitionBy("wallet").orderBy("block", "idx", F.col("content_hash").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    a = e.withColumn("ok", F.coalesce(F.last("listed", ignorenulls=True).over(so_far), F.lit(False))).filter("content_hash is not null")
+    # The few listings of a wallet become spans of time, so that its anchors, however many, needn't meet in one task.
+    later = Window.partitionBy("wallet").orderBy("block", "idx", "listed")
+    spans = issuers.withColumn("_end", F.lead(F.struct("block", "idx")).over(later)).filter("listed").select(F.col("wallet").alias("_issuer"), F.struct("block", "idx").alias("_begin"), "_end")
+    at = F.struct("block", "idx")
+    a = anchors.join(spans, (F.col("wallet") == F.col("_issuer")) & (at >= F.col("_begin")) & (F.col("_end").isNull() | (at < F.col("_end"))), "left")
+    a = a.withColumn("ok", F.col("_issuer").isNotNull()).drop("_issuer", "_begin", "_end")
     first = Window.partitionBy("content_hash", "ok").orderBy("block", "idx", "wallet")
     a = a.withColumn("_n", F.row_number().over(first))
     code = F.when(~F.col("ok"), "NOT_AUTHORISED_ISSUER").when(F.col("_n") > 1, "ALREADY_ANCHORED")

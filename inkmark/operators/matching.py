@@ -90,20 +90,26 @@ def hamming_pairs(anchored: DataFrame, presented: DataFrame, cell: list[str]) ->
 
 
 def near_duplicates(signatures: DataFrame, radius: int = 7) -> DataFrame:
-    """All pairs (a, b, distance), a < b, of signatures (id, h: 16 hexadecimal digits) within radius of at most 7 bits.
+    """Pairs (a, b, distance), a < b, of signatures (id, h: 16 hexadecimal digits) within radius of at most 7 bits, and membership.
+
+    Ids of one signature form a class, named by its smallest id: each other member is paired with that at distance 0, and pairs of different
+    signatures are between their classes' names. So k copies give k - 1 rows, and every pair of ids follows from the two.
 
     Of four bands of 16 bits one differs in at most one bit if the whole differs in at most 7. So one side is looked up by its
     bands, the other by its bands and their 16 one-bit variants, which misses no pair.
     """
     if not 0 <= radius <= 7:
         raise ValueError("radius must be from 0 to 7")
+    named = materialised(signatures.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    members = signatures.join(named.filter("n > 1").select("h", F.col("id").alias("a")), "h").filter(F.col("id") != F.col("a"))
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.conv(F.substring("h", 4 * i + 1, 4), 16, 10).cast("int").alias("bits")) for i in range(4)])
-    s = signatures.select("id", "h")
+    s = named.select("id", "h")
     left = s.select(F.col("id").alias("a"), F.col("h").alias("ah"), F.explode(bands).alias("k")).select("a", "ah", "k.band", "k.bits")
     flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
     right = s.select(F.col("id").alias("b"), F.col("h").alias("bh"), F.explode(bands).alias("k")).select("b", "bh", "k.band", F.explode(F.transform(flips, lambda f: F.col("k.bits").bitwiseXOR(f))).alias("bits"))
     j = left.join(right, ["band", "bits"]).filter("a < b").withColumn("distance", hex_distance(F.col("ah"), F.col("bh")).cast("int"))
-    return j.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    pairs = j.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    return pairs.unionByName(members.select("a", F.col("id").alias("b"), F.lit(0).alias("distance")))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

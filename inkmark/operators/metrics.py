@@ -12,22 +12,32 @@ def confusion_matrix(cases: DataFrame, expected: str, actual: str, values: list)
 
 
 def evaluate_samples(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Both (sample_id, verdict, fields array, regions array): verdict right, named fields the same set, expected regions all flagged."""
-    a = actual.select("sample_id", F.col("verdict").alias("_v"), F.col("fields").alias("_f"), F.col("regions").alias("_r"))
+    """Both (sample_id, verdict, fields array, regions array, values map): verdict right, named fields the same set, every expected value of a
+    field the one that was read, expected regions all flagged. A sample that isn't in ``actual`` has named and read nothing."""
+    a = actual.select("sample_id", *[F.col(c).alias(f"_{c}") for c in ("verdict", "fields", "regions", "values")])
     j = expected.join(a, "sample_id", "left")
-    none = F.array().cast("array<string>")
-    return j.select("sample_id", F.coalesce(F.col("verdict") == F.col("_v"), F.lit(False)).alias("verdict_ok"), (F.array_sort(F.coalesce("fields", none)) == F.array_sort(F.coalesce("_f", none))).alias("fields_ok"), (F.size(F.array_except(F.coalesce("regions", none), F.coalesce("_r", none))) == 0).alias("regions_ok"))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    read = F.forall(F.map_entries(F.coalesce("values", empty)), lambda e: F.element_at(F.coalesce("_values", empty), e["key"]).eqNullSafe(e["value"]))
+    return j.select(
+        "sample_id", F.coalesce(F.col("verdict") == F.col("_verdict"), F.lit(False)).alias("verdict_ok"), (names("fields") == names("_fields")).alias("fields_ok"),
+        read.alias("values_ok"), (F.size(F.array_except(F.coalesce("regions", none), F.coalesce("_regions", none))) == 0).alias("regions_ok"),
+    )
 
 
 def threshold_search(cases: DataFrame, grid: DataFrame) -> DataFrame:
-    """cases (kind, cell, region), grid (cell_far, region_far) -> each combination's false reviews and catches, best first in rank.
+    """cases (kind, cells array of distances, region), grid (cell_far, region_far, max_cells) -> each combination's false reviews and catches,
+    best first in rank.
 
-    The grid is a few hundred rows, so it is broadcast; cases are first counted by their three values.
+    A case with more than max_cells cells beyond cell_far is UNCLEAR; one with some cell, or its region, beyond the limits is for REVIEW: a
+    false one of a recapture, a catch of a swap. The grid is a few hundred rows, so it is broadcast; cases are first counted by their values.
     """
-    c = cases.groupBy("kind", "cell", "region").agg(F.count(F.lit(1)).alias("n"))
-    hit = (F.col("cell") > F.col("cell_far")) | (F.col("region") > F.col("region_far"))
-    s = c.crossJoin(F.broadcast(grid)).groupBy("cell_far", "region_far").agg(F.sum(F.when(hit & (F.col("kind") == "recapture"), F.col("n")).otherwise(0)).alias("false_review"), F.sum(F.when(hit & (F.col("kind") == "swap"), F.col("n")).otherwise(0)).alias("caught"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy("false_review", F.desc("caught"), F.desc("region_far"), F.desc("cell_far"))))
+    c = cases.groupBy("kind", F.sort_array("cells", asc=False).alias("cells"), "region").agg(F.count(F.lit(1)).alias("n"))
+    far = F.size(F.filter("cells", lambda x: x > F.col("cell_far")))
+    review = (far <= F.col("max_cells")) & ((far > 0) | (F.col("region") > F.col("region_far")))
+    hits = lambda kind: F.sum(F.when(review & (F.col("kind") == kind), F.col("n")).otherwise(0))
+    s = c.crossJoin(F.broadcast(grid)).groupBy("cell_far", "region_far", "max_cells").agg(hits("recapture").alias("false_review"), hits("swap").alias("caught"))
+    return s.withColumn("rank", F.row_number().over(Window.orderBy("false_review", F.desc("caught"), F.desc("region_far"), F.desc("cell_far"), "max_cells")))
 
 
 def best_split(values: DataFrame, group: str, value: str, default: int = 128) -> DataFrame:
@@ -56,24 +66,34 @@ def percentile_stretch(values: DataFrame, group: str, value: str, share: float =
     return j.withColumn("stretched", F.when(F.col("high") - F.col("low") < least, F.col(value).cast("double")).otherwise(F.least(F.lit(255), F.greatest(F.lit(0), x)).cast("double"))).drop("low", "high")
 
 
-def content_bounds(cells: DataFrame, group: str, dark: int = 128, need: int = 3) -> DataFrame:
-    """cells (group, x, y, v) -> x0, x1, y0, y1: the extent of rows and columns that hold at least ``need`` dark cells."""
+def content_bounds(cells: DataFrame, group: str, width: int, height: int, dark: int = 128, need: int = 3, pad: float = 0.02) -> DataFrame:
+    """cells (group, x, y, v) -> x0, x1, y0, y1: the extent of rows and columns that hold at least ``need`` dark cells, wider by ``pad`` of
+    itself on each side but within width and height. A group without such an extent has its whole area."""
     d = cells.filter(F.col("v") < dark)
-    span = lambda c: d.groupBy(group, c).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).groupBy(group).agg(F.min(c).alias(f"{c}0"), F.max(c).alias(f"{c}1"))
-    return span("x").join(span("y"), group)
+    span = lambda c: d.groupBy(group, c).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).groupBy(group).agg(F.min(c).alias(f"_{c}0"), F.max(c).alias(f"_{c}1"))
+    j = cells.select(group).distinct().join(span("x"), group, "left").join(span("y"), group, "left")
+    found = F.coalesce((F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0")), F.lit(False))
+
+    def wider(c: str, size: int):
+        lo, hi = F.col(f"_{c}0"), F.col(f"_{c}1")
+        by = F.floor((hi - lo + 1) * pad + 0.5)
+        return F.when(found, F.greatest(F.lit(0), lo - by)).otherwise(0).alias(f"{c}0"), F.when(found, F.least(F.lit(size - 1), hi + by)).otherwise(size - 1).alias(f"{c}1")
+
+    return j.select(group, *wider("x", width), *wider("y", height))
 
 
 def median_signature(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     """A 64-bit signature (16 hexadecimal digits) of a vector of 64: bit i is set if value i is above the lower middle of values 1..63;
     bit 0 is not set."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    middle = F.array_sort(F.slice(x, 2, 63))[31]
+    # Columns of their own, each used more than once, so that the vector is cast and sorted once a row.
+    r = rows.filter(F.size(vector) == 64).select(id_col, F.transform(vector, lambda v: v.cast("double")).alias("x"))
+    r = r.withColumn("middle", F.array_sort(F.slice("x", 2, 63))[31])
 
     def half(start: int):
-        bits = F.transform(F.sequence(F.lit(start), F.lit(start + 31)), lambda i: F.when((i > 0) & (F.element_at(x, i + 1) > middle), 1).otherwise(0).cast("long"))
+        bits = F.transform(F.sequence(F.lit(start), F.lit(start + 31)), lambda i: F.when((i > 0) & (F.element_at("x", i + 1) > F.col("middle")), 1).otherwise(0).cast("long"))
         return F.lower(F.lpad(F.hex(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a * 2 + b)), 8, "0"))
 
-    return rows.filter(F.size(vector) == 64).select(id_col, F.concat(half(0), half(32)).alias("h"))
+    return r.select(id_col, F.concat(half(0), half(32)).alias("h"))
 
 
 def value_runs(rows: DataFrame, group: str, position: str, holds) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.functions.text import iso_date, nfkc, norm, norm_id, norm_value
+from inkmark.functions.text import iso_date, month_number, nfkc, norm, norm_id, norm_value
 
 REQUIRED = ("docType", "issuer", "holder", "idNumber", "issuedOn")
 TAG, LOOKUP_TAG = "inkmark:content:v1\n", "inkmark:lookup:v1\n"
@@ -55,36 +55,36 @@ def diff_records(anchored: DataFrame, presented: DataFrame, key: str) -> DataFra
     return a.join(p, [key, "field"], "full").filter(~F.col("anchored").eqNullSafe(F.col("presented"))).select(key, "field", "anchored", "presented")
 
 
-# The typed schemas: document type, field, type, required.
-SCHEMAS = (
-    ("RESIDENT_ID", (("docType", "text"), ("issuer", "text"), ("holder", "text"), ("idNumber", "alnum"), ("dob", "date")), ()),
-    ("DEGREE", (("docType", "text"), ("issuer", "text"), ("holder", "text"), ("idNumber", "alnum"), ("programme", "text"), ("issuedOn", "date"), ("grade", "text")), ("grade",)),
-)
 # Characters that stand for digits in typed ids.
 CONFUSED = ("OoQDIli|ZzSsGTBgq", "00001111225567899")
 
 
-def typed_schema(spark) -> DataFrame:
-    rows = [(doc, f, t, f not in optional) for doc, fields, optional in SCHEMAS for f, t in fields]
+def typed_schema(spark, schemas: dict[str, dict[str, str]]) -> DataFrame:
+    """A table of fields from {document schema: {field: type}}; a type that ends in ? is of a field that may be absent."""
+    rows = [(doc, f, t.rstrip("?"), not t.endswith("?")) for doc, fields in schemas.items() for f, t in fields.items()]
     return spark.createDataFrame(rows, "doc_schema string, field string, type string, required boolean")
 
 
+def typed_date(s: Column) -> Column:
+    """yyyy-MM-dd of year, month and day (or day, month or its name, and year; or eight digits), of which month and day are in range."""
+    eight = s.rlike(r"^\d{8}$")
+    parts = F.when(eight, F.array(F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))).otherwise(F.split(s, "[-/. ]"))
+    first = F.length(parts[0]) == 4
+    year, day = F.when(first, parts[0]).otherwise(F.get(parts, F.lit(2))), F.when(first, F.get(parts, F.lit(2))).otherwise(parts[0])
+    middle = F.get(parts, F.lit(1))
+    month = F.when(middle.rlike(r"^\d{1,2}$"), middle.try_cast("int")).when(~first & middle.rlike("^[A-Z]{3,}$"), month_number(middle).cast("int"))
+    real = (F.size(parts) == 3) & year.rlike(r"^\d{4}$") & day.rlike(r"^\d{1,2}$") & month.between(1, 12) & day.try_cast("int").between(1, 31)
+    return F.when(real, F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
+
+
 def typed_value(value: Column, kind: Column) -> Column:
     """A value in the form of its type: text, alnum, numeric or date; null for a date that can't be read."""
-    base = F.trim(F.regexp_replace(F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}]", ""), r"\s+", " "))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.upper(base), "[^A-Z0-9 ]", ""), r"\s+", " "))
-    alnum = F.regexp_replace(F.upper(F.translate(F.regexp_replace(base, r"[\s\-/.]", ""), *CONFUSED)), "[^A-Z0-9]", "")
-    s = F.upper(base)
-    shapes = ((r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", 3, 2, 1), (r"^(\d{1,2})[-/. ]([A-Z]{3})[A-Z]*[-/. ](\d{4})$", 3, 2, 1), (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3))
-    date = F.lit(None).cast("string")
-    for i, (shape, y, m, d) in reversed(list(enumerate(shapes))):
-        from inkmark.functions.text import month_number
-
-        month = month_number(F.regexp_extract(s, shape, m)).cast("int") if i == 2 else F.regexp_extract(s, shape, m).try_cast("int")
-        day = F.regexp_extract(s, shape, d).try_cast("int")
-        real = month.between(1, 12) & day.between(1, 31)
-        date = F.when(s.rlike(shape), F.when(real, F.concat_ws("-", F.lpad(F.regexp_extract(s, shape, y), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")))).otherwise(date)
-    return F.when(kind == "alnum", alnum).when(kind == "numeric", F.regexp_replace(alnum, "[^0-9]", "")).when(kind == "date", date).otherwise(text)
+    base = F.upper(F.trim(F.regexp_replace(F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}]", ""), r"\s+", " ")))
+    kept = lambda c, what: F.regexp_replace(c, f"[^{what}]", "")
+    bare = F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}\s\-/.]", "")
+    alnum = kept(F.upper(F.translate(bare, *CONFUSED)), "A-Z0-9")
+    text = F.trim(F.regexp_replace(kept(base, "A-Z0-9 "), " +", " "))
+    return F.when(kind == "alnum", alnum).when(kind == "numeric", kept(alnum, "0-9")).when(kind == "date", typed_date(base)).otherwise(text)
 
 
 def typed_canonical_hash(fields: DataFrame, schema: DataFrame, min_confidence: float = 0.75) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkmark.functions.text import mask_ip
+
 from .base import query, table
 
 ACT = "case event_type when 'error' then 'LOGIN' when 'purchase' then 'ISSUE' when 'view' then 'VERIFY' when 'click' then 'VERIFY' else 'REVOKE' end"
@@ -34,6 +36,22 @@ def retention_filter(spark, d):
     return retained(audit(spark, d), "2024-01-31", 10).select("id", "action", "created_at")
 
 
+# What a reader of the audit log may see.
+SHOWN = ("action", "outcome", "reason", "actor_name", "document_id", "ip", "created_at")
+
+
+def audit_view(events):
+    """The columns of audit events that a reader may see; addresses are masked, ids of events and actors don't come out."""
+    return events.withColumn("ip", mask_ip(F.col("ip"))).select(*[c for c in SHOWN if c in events.columns])
+
+
+@query(WITH + "select action, outcome, 'user ' || document_id as actor_name, document_id, '10.1.' || document_id % 256 || '.0' as ip, created_at from a")
+def reader_view(spark, d):
+    u = F.col("document_id")
+    e = audit(spark, d).withColumns({"actor_id": u, "actor_name": F.concat(F.lit("user "), u.cast("string")), "ip": F.concat(F.lit("10.1."), (u % 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))})
+    return audit_view(e)
+
+
 def history(events, limit: int = 100):
     """Each document's newest events, at most ``limit`` of them: the report's own bound."""
     newest = Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("id"))

@@ -89,20 +89,26 @@ def normalise_values(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.norm_value(v).alias("value"))
 
 
-@query("""with f as (select c_custkey as doc_id, 'RESIDENT_ID' as sc, upper(c_mktsegment) as dt, upper(regexp_replace(n_name, '[^A-Za-z0-9 ]', '', 'g')) as iss, upper(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) as h,
-    translate(upper('C' || c_custkey::varchar || 'SB'), 'OQDILZSTBG', '0001125786') as idn, case when c_custkey % 5 = 0 then null when c_custkey % 7 = 0 then '' else '19' || lpad((c_custkey % 90 + 10)::varchar, 2, '0') || '-' || lpad((c_custkey % 12 + 1)::varchar, 2, '0') || '-' || lpad((c_custkey % 31 + 1)::varchar, 2, '0') end as dob, c_custkey
+# A document schema of the queries' own.
+PARTY = {"PARTY_CARD": {"kind": "text", "issuer": "text", "name": "text", "number": "alnum", "born": "date", "points": "numeric?"}}
+
+
+@query("""with f as (select c_custkey as doc_id, 'PARTY_CARD' as sc, upper(c_mktsegment) as dt, upper(regexp_replace(n_name, '[^A-Za-z0-9 ]', '', 'g')) as iss, upper(regexp_replace(c_name, '[^A-Za-z0-9 ]', '', 'g')) as h,
+    translate(upper('C' || c_custkey::varchar || 'SB'), 'OQDILZSTBG', '0001125786') as idn, case when c_custkey % 5 = 0 then null when c_custkey % 7 = 0 then '' else '19' || lpad((c_custkey % 90 + 10)::varchar, 2, '0') || '-' || lpad((c_custkey % 12 + 1)::varchar, 2, '0') || '-' || lpad((c_custkey % 31 + 1)::varchar, 2, '0') end as dob, c_custkey,
+    case when c_custkey % 4 = 0 then '' else regexp_replace(c_acctbal::decimal(12,2)::varchar, '[^0-9]', '', 'g') end as pts
     from customer join nation on c_nationkey = n_nationkey)
-  select doc_id, sc as doc_schema, case when dob is null then 'dob' else '' end as missing, case when c_custkey % 3 = 0 then 'holder' else '' end as low_confidence, case when dob = '' then 'dob' else '' end as unparsable,
+  select doc_id, sc as doc_schema, case when dob is null then 'born' else '' end as missing, case when c_custkey % 3 = 0 then 'name' else '' end as low_confidence, case when dob = '' then 'born' else '' end as unparsable,
     coalesce(c_custkey % 3 <> 0 and dob <> '', false) as confident,
-    case when dob is not null then '0x' || sha256('3:dob=' || length(dob) || ':' || dob || ';7:docType=' || length(dt) || ':' || dt || ';6:holder=' || length(h) || ':' || h || ';8:idNumber=' || length(idn) || ':' || idn || ';6:issuer=' || length(iss) || ':' || iss || ';') end as content_hash from f""")
+    case when dob is not null then '0x' || sha256('4:born=' || length(dob) || ':' || dob || ';6:issuer=' || length(iss) || ':' || iss || ';4:kind=' || length(dt) || ':' || dt || ';4:name=' || length(h) || ':' || h || ';6:number=' || length(idn) || ':' || idn || ';6:points=' || length(pts) || ':' || pts || ';') end as content_hash from f""")
 def typed_canonical_hash(spark, d):
     k = F.col("c_custkey")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     dob = F.when(k % 5 == 0, F.lit(" ")).when(k % 7 == 0, F.lit("99-99-1999")).otherwise(F.concat_ws("/", two(k % 31 + 1), two(k % 12 + 1), F.concat(F.lit("19"), two(k % 90 + 10))))
-    values = {"docType": F.col("c_mktsegment"), "issuer": F.concat(F.lower("n_name"), F.lit(".")), "holder": F.col("c_name"), "idNumber": F.concat(F.lit("C-"), k.cast("string"), F.lit(" SB")), "dob": dob}
+    points = F.when(k % 4 != 0, F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    values = {"kind": F.col("c_mktsegment"), "issuer": F.concat(F.lower("n_name"), F.lit(".")), "name": F.col("c_name"), "number": F.concat(F.lit("C-"), k.cast("string"), F.lit(" SB")), "born": dob, "points": points}
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    f = c.select(k.alias("doc_id"), F.lit("RESIDENT_ID").alias("doc_schema"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), F.when((k % 3 == 0) & F.lit(n == "holder"), 0.5).otherwise(0.9).alias("confidence")) for n, v in values.items()])).alias("f"))
-    return R.typed_canonical_hash(f.select("doc_id", "doc_schema", "f.*"), R.typed_schema(spark))
+    f = c.select(k.alias("doc_id"), F.lit("PARTY_CARD").alias("doc_schema"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value"), F.when((k % 3 == 0) & F.lit(n == "name"), 0.5).otherwise(0.9).alias("confidence")) for n, v in values.items()])).alias("f"))
+    return R.typed_canonical_hash(f.select("doc_id", "doc_schema", "f.*"), R.typed_schema(spark, PARTY))
 
 
 ID_SQL = "case when c_custkey % 4 = 0 then 'X' || c_custkey else 'B' || replace(replace(lpad(c_custkey::varchar, 6, '0'), '0', 'O'), '5', 's') || '-C5' end"
@@ -116,13 +122,17 @@ def repair_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.repair_id(raw, F.lit("LDDDDDDLL")).alias("id"))
 
 
-@query("""with dg as (select c_custkey, lpad((c_custkey * 7919 + 100000000000)::varchar, 12, '0') as n from customer),
+@query("""with dg as (select c_custkey, case when c_custkey % 4 = 0 then lpad((c_custkey * 7919)::varchar, 11, '0') else lpad((c_custkey * 7919 + 100000000000)::varchar, 12, '0') end as n, case when c_custkey % 3 = 0 then 0.4::double else 0.9 end as conf from customer),
   t as (select [[0,1,2,3,4,5,6,7,8,9],[1,2,3,4,0,6,7,8,9,5],[2,3,4,0,1,7,8,9,5,6],[3,4,0,1,2,8,9,5,6,7],[4,0,1,2,3,9,5,6,7,8],[5,9,8,7,6,0,4,3,2,1],[6,5,9,8,7,1,0,4,3,2],[7,6,5,9,8,2,1,0,4,3],[8,7,6,5,9,3,2,1,0,4],[9,8,7,6,5,4,3,2,1,0]] as dd,
-    [[0,1,2,3,4,5,6,7,8,9],[1,5,7,6,2,8,3,0,9,4],[5,8,0,3,7,9,6,1,4,2],[8,9,1,6,0,4,3,5,2,7],[9,4,5,3,1,2,6,8,7,0],[4,2,8,6,5,7,3,9,0,1],[2,7,9,3,8,0,6,4,1,5],[7,0,4,6,9,1,3,2,5,8]] as pp)
-  select c_custkey, list_reduce(list_prepend(0, list_transform(range(12), lambda i: pp[i % 8 + 1][substr(reverse(n), (i + 1)::int, 1)::int + 1])), lambda a, x: dd[a + 1][x + 1]) = 0 as valid from dg, t""")
+    [[0,1,2,3,4,5,6,7,8,9],[1,5,7,6,2,8,3,0,9,4],[5,8,0,3,7,9,6,1,4,2],[8,9,1,6,0,4,3,5,2,7],[9,4,5,3,1,2,6,8,7,0],[4,2,8,6,5,7,3,9,0,1],[2,7,9,3,8,0,6,4,1,5],[7,0,4,6,9,1,3,2,5,8]] as pp),
+  v as (select *, list_reduce(list_prepend(0, list_transform(range(length(n)), lambda i: pp[i % 8 + 1][substr(reverse(n), (i + 1)::int, 1)::int + 1])), lambda a, x: dd[a + 1][x + 1]) = 0 as valid from dg, t)
+  select c_custkey, valid, case when length(n) >= 12 and not valid then least(conf, 0.5) else conf end as confidence from v""")
 def checksum_audit(spark, d):
-    n = F.lpad((F.col("c_custkey") * 7919 + 100000000000).cast("string"), 12, "0")
-    return table(spark, d, "customer").select("c_custkey", T.verhoeff_valid(n).alias("valid"))
+    """Checksums of ids; those of 12 digits or more that fail lower the confidence of the reading."""
+    k = F.col("c_custkey")
+    n = F.when(k % 4 == 0, F.lpad((k * 7919).cast("string"), 11, "0")).otherwise(F.lpad((k * 7919 + 100000000000).cast("string"), 12, "0"))
+    conf = F.when(k % 3 == 0, 0.4).otherwise(0.9)
+    return table(spark, d, "customer").select("c_custkey", T.verhoeff_valid(n).alias("valid"), T.capped_confidence(n, conf).alias("confidence"))
 
 
 IPS_SQL = "case event_id % 5 when 0 then '10.' || user_id || '.7.' || (event_id % 256) when 1 then '::ffff:198.51.100.' || (event_id % 256) when 2 then '2001:db8:' || user_id || ':8d3:1319:8a2e:370:7348' when 3 then '::1' else 'junk' end"
@@ -148,6 +158,26 @@ def redact_secrets(spark, d):
     return table(spark, d, "documents").select("doc_id", T.scrub(F.col("text")).alias("text"))
 
 
+@query("""select c_custkey, c_name as user_name, '[REDACTED]' as user_password, '[REDACTED]' as auth, 'id ' || c_custkey || ' token=[REDACTED]' as trace, '[REDACTED]' as first_token, 'try ' || c_custkey || ' of db://[REDACTED]' as first_note,
+  'Error' as error_name, 'no Bearer [REDACTED]' as error_message, 'E' || c_custkey % 5 as error_code, false as has_stack, '[Buffer ' || length(c_name) || ' bytes]' as body, '[REDACTED]' as api_key from customer""")
+def redact_records(spark, d):
+    """Log records with secrets under their names at any depth, in texts, in errors and in bytes."""
+    k = F.col("c_custkey").cast("string")
+    text = lambda *x: F.concat(*[y if not isinstance(y, str) else F.lit(y) for y in x])
+    log = table(spark, d, "customer").select(
+        "c_custkey", F.struct(F.col("c_name").alias("name"), F.lit("hunter2").alias("password")).alias("user"), F.create_map(F.lit("Authorization"), text("Bearer x", k), F.lit("X-Trace"), text("id ", k, " token=abc")).alias("headers"),
+        F.array(F.struct(text("t", k).alias("accessToken"), text("try ", k, " of mysql://u:p@h/d").alias("note"))).alias("attempts"),
+        F.struct(F.lit("Error").alias("name"), F.lit("no Bearer abc.def").alias("message"), text("E", (F.col("c_custkey") % 5).cast("string")).alias("code"), F.lit("at line 1").alias("stack")).alias("error"),
+        F.encode("c_name", "UTF-8").alias("body"), F.lit(7).alias("apiKey"),
+    )
+    r = T.redact_columns(log)
+    return r.select(
+        "c_custkey", F.col("user.name").alias("user_name"), F.col("user.password").alias("user_password"), F.col("headers")["Authorization"].alias("auth"), F.col("headers")["X-Trace"].alias("trace"),
+        F.col("attempts")[0]["accessToken"].alias("first_token"), F.col("attempts")[0]["note"].alias("first_note"), F.col("error.name").alias("error_name"), F.col("error.message").alias("error_message"), F.col("error.code").alias("error_code"),
+        F.lit("stack" in r.schema["error"].dataType.names).alias("has_stack"), "body", F.col("apiKey").alias("api_key"),
+    )
+
+
 @query(r"""with n as (select page_id, regexp_extract(regexp_replace(replace(url, '\', '/'), '/+$', ''), '([^/]*)$', 1) as b from pages),
   c as (select page_id, right(trim(regexp_replace(regexp_replace(regexp_replace(b, '[^A-Za-z0-9._ -]', '_', 'g'), '_{2,}', '_', 'g'), '^[.\s_-]+', '')), 100) as s from n)
   select page_id, case when s = '' then 'document' else s end as name from c""")
@@ -163,26 +193,34 @@ def link_columns(spark, d):
     return c.join(sites, "chain", "left").select("c_custkey", F.concat("site", F.lit("/tx/"), "tx").alias("link"))
 
 
-# Error names of the contract and codes of the node with the stable code, and whether to retry.
+# Error names of the contract and codes of the node with the stable code, and whether to retry; the messages are our own.
 CONTRACT_ERRORS = (
-    ("NotAuthorisedIssuer", "NOT_AUTHORISED_ISSUER"), ("NotIssuingAuthority", "NOT_ISSUING_AUTHORITY"), ("AlreadyAnchored", "ALREADY_ANCHORED"), ("NotAnchored", "NOT_ANCHORED"),
-    ("AlreadyRevoked", "ALREADY_REVOKED"), ("NotAdmin", "NOT_ADMIN"), ("ZeroHash", "INVALID_HASH"), ("ZeroAddress", "INVALID_ADDRESS"), ("EmptyName", "INVALID_NAME"),
+    ("NotAuthorisedIssuer", "NOT_AUTHORISED_ISSUER", "The sender may not issue documents."), ("NotIssuingAuthority", "NOT_ISSUING_AUTHORITY", "Only the issuer of a document can revoke it."),
+    ("AlreadyAnchored", "ALREADY_ANCHORED", "The document is on the ledger already."), ("NotAnchored", "NOT_ANCHORED", "The document is not on the ledger."), ("AlreadyRevoked", "ALREADY_REVOKED", "The document was revoked before."),
+    ("NotAdmin", "NOT_ADMIN", "Only an administrator can do this."), ("ZeroHash", "INVALID_HASH", "A hash is missing."), ("ZeroAddress", "INVALID_ADDRESS", "An address is missing."), ("EmptyName", "INVALID_NAME", "An issuer needs a name."),
 )
 NODE_ERRORS = (
-    ("INSUFFICIENT_FUNDS", "INSUFFICIENT_GAS", False), ("NETWORK_ERROR", "CHAIN_UNAVAILABLE", True), ("SERVER_ERROR", "CHAIN_UNAVAILABLE", True), ("TIMEOUT", "CHAIN_UNAVAILABLE", True),
-    ("NONCE_EXPIRED", "TX_CONFLICT", True), ("REPLACEMENT_UNDERPRICED", "TX_CONFLICT", True), ("CALL_EXCEPTION", "CALL_FAILED", False),
+    ("INSUFFICIENT_FUNDS", "INSUFFICIENT_GAS", "The wallet cannot pay the fee.", False), ("NETWORK_ERROR", "CHAIN_UNAVAILABLE", "The ledger cannot be reached now.", True), ("SERVER_ERROR", "CHAIN_UNAVAILABLE", "The ledger cannot be reached now.", True),
+    ("TIMEOUT", "CHAIN_UNAVAILABLE", "The ledger cannot be reached now.", True), ("NONCE_EXPIRED", "TX_CONFLICT", "Another transaction got in between.", True), ("REPLACEMENT_UNDERPRICED", "TX_CONFLICT", "Another transaction got in between.", True),
+    ("CALL_EXCEPTION", "CALL_FAILED", "The contract refused the call.", False),
 )
+UNKNOWN_ERROR = ("CHAIN_ERROR", "The ledger reported an error.")
+RAISED = [e[0] for e in CONTRACT_ERRORS] + [e[0] for e in NODE_ERRORS] + ["ODD"]
 
 
-@query("""select event_id, case when event_type = 'error' and user_id % 3 = 0 then 'ALREADY_ANCHORED' when event_type = 'error' and user_id % 3 = 1 then 'CHAIN_UNAVAILABLE' else 'CHAIN_ERROR' end as code,
-  event_type = 'error' and user_id % 3 = 1 as retryable from events""")
+@query("""with e as (select event_id, (event_id % 17)::int as k from events)
+  select event_id, case when k = 0 then 'NOT_AUTHORISED_ISSUER' when k = 1 then 'NOT_ISSUING_AUTHORITY' when k = 2 then 'ALREADY_ANCHORED' when k = 3 then 'NOT_ANCHORED' when k = 4 then 'ALREADY_REVOKED' when k = 5 then 'NOT_ADMIN' when k = 6 then 'INVALID_HASH'
+    when k = 7 then 'INVALID_ADDRESS' when k = 8 then 'INVALID_NAME' when k = 9 then 'INSUFFICIENT_GAS' when k in (10, 11, 12) then 'CHAIN_UNAVAILABLE' when k in (13, 14) then 'TX_CONFLICT' when k = 15 then 'CALL_FAILED' else 'CHAIN_ERROR' end as code, k between 10 and 14 as retryable,
+    case when k between 10 and 12 then 'The ledger cannot be reached now.' when k in (13, 14) then 'Another transaction got in between.' when k = 16 then 'The ledger reported an error.' when k = 15 then 'The contract refused the call.' when k = 9 then 'The wallet cannot pay the fee.'
+     else ['The sender may not issue documents.', 'Only the issuer of a document can revoke it.', 'The document is on the ledger already.', 'The document is not on the ledger.', 'The document was revoked before.', 'Only an administrator can do this.', 'A hash is missing.', 'An address is missing.', 'An issuer needs a name.'][k + 1] end as message from e""")
 def translate_errors(spark, d):
-    contract = F.broadcast(spark.createDataFrame(list(CONTRACT_ERRORS), "name string, c1 string"))
-    node = F.broadcast(spark.createDataFrame(list(NODE_ERRORS), "raw string, c2 string, again boolean"))
-    bad, u = F.col("event_type") == "error", F.col("user_id") % 3
-    e = table(spark, d, "events").select("event_id", F.when(bad & (u == 0), "AlreadyAnchored").alias("name"), F.when(bad & (u == 1), "TIMEOUT").otherwise("OTHER").alias("raw"))
-    j = e.join(contract, "name", "left").join(node, "raw", "left")
-    return j.select("event_id", F.coalesce("c1", "c2", F.lit("CHAIN_ERROR")).alias("code"), (F.col("c1").isNull() & F.coalesce("again", F.lit(False))).alias("retryable"))
+    """Raw errors of contract and node to stable codes and messages that tell nothing of the node."""
+    contract = F.broadcast(spark.createDataFrame(list(CONTRACT_ERRORS), "raw string, c1 string, m1 string"))
+    node = F.broadcast(spark.createDataFrame(list(NODE_ERRORS), "raw string, c2 string, m2 string, again boolean"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in RAISED]), (F.col("event_id") % len(RAISED) + 1).cast("int"))
+    j = table(spark, d, "events").select("event_id", raw.alias("raw")).join(contract, "raw", "left").join(node, "raw", "left")
+    code, message = UNKNOWN_ERROR
+    return j.select("event_id", F.coalesce("c1", "c2", F.lit(code)).alias("code"), (F.col("c1").isNull() & F.coalesce("again", F.lit(False))).alias("retryable"), F.coalesce("m1", "m2", F.lit(message)).alias("message"))
 
 
 @query("""with q as (select c_custkey, case c_custkey % 9 when 0 then '' when 1 then repeat('x', 301) when 2 then 'not json' when 3 then '[1]' when 4 then '{"v":1,"contentHash":"' || sha256(c_custkey::varchar) || '","chainId":7,"contractAddress":"0x' || repeat('aB', 20) || '","more":1}'

@@ -18,30 +18,36 @@ def confusion_matrix(spark, d):
 
 
 @query("""with o as (select o_orderkey as sample_id, o_orderstatus as v, o_custkey as c from orders)
-  select sample_id, v = case when c % 9 = 0 then 'X' else v end as verdict_ok, c % 4 <> 0 or sample_id % 2 = 0 as fields_ok, c % 3 <> 0 as regions_ok from o""")
+  select sample_id, v = case when c % 9 = 0 then 'X' else v end as verdict_ok, c % 4 <> 0 or sample_id % 2 = 0 as fields_ok, c % 5 <> 0 as values_ok, c % 3 <> 0 as regions_ok from o""")
 def evaluate_samples(spark, d):
     c, k = F.col("o_custkey"), F.col("o_orderkey")
     s = lambda *x: F.array(*[F.lit(v) for v in x])
     o = table(spark, d, "orders")
-    expected = o.select(k.alias("sample_id"), F.col("o_orderstatus").alias("verdict"), F.when(k % 2 == 0, s("a", "b")).otherwise(s("a")).alias("fields"), s("r1").alias("regions"))
-    actual = o.select(k.alias("sample_id"), F.when(c % 9 == 0, "X").otherwise(F.col("o_orderstatus")).alias("verdict"), F.when(k % 2 == 0, s("b", "a")).when(c % 4 == 0, s("b")).otherwise(s("a")).alias("fields"), F.when(c % 3 == 0, s("r2")).otherwise(s("r1", "r2")).alias("regions"))
+    expected = o.select(k.alias("sample_id"), F.col("o_orderstatus").alias("verdict"), F.when(k % 2 == 0, s("a", "b")).otherwise(s("a")).alias("fields"), s("r1").alias("regions"), F.create_map(F.lit("a"), F.col("o_orderpriority")).alias("values"))
+    actual = o.select(k.alias("sample_id"), F.when(c % 9 == 0, "X").otherwise(F.col("o_orderstatus")).alias("verdict"), F.when(k % 2 == 0, s("b", "a")).when(c % 4 == 0, s("b")).otherwise(s("a")).alias("fields"), F.when(c % 3 == 0, s("r2")).otherwise(s("r1", "r2")).alias("regions"), F.when(c % 5 != 0, F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.col("o_orderpriority"))).otherwise(F.create_map(F.lit("a"), F.lit("misread"))).alias("values"))
     return G.evaluate_samples(expected, actual)
 
 
-CASES = "k as (select case when l_returnflag = 'R' then 'swap' else 'recapture' end as kind, (case when l_returnflag = 'R' then 9 + l_quantity % 14 else l_quantity % 11 end)::int as cell, (case when l_returnflag = 'R' then 14 + l_linenumber * 3 else l_linenumber end)::int as region from lineitem)"
+CASES = "k as (select case when l_returnflag = 'R' then 'swap' else 'recapture' end as kind, (case when l_returnflag = 'R' then 9 + l_quantity % 14 else l_quantity % 11 end)::int as cell, (case when l_returnflag = 'R' then 14 + l_linenumber * 3 else l_linenumber end)::int as region, (l_quantity % 17)::int as second, (l_linenumber * 4)::int as third from lineitem)"
 
 
 def cases(spark, d):
     r, q, n = F.col("l_returnflag") == "R", F.col("l_quantity"), F.col("l_linenumber")
-    return table(spark, d, "lineitem").select(F.when(r, "swap").otherwise("recapture").alias("kind"), F.when(r, 9 + q % 14).otherwise(q % 11).cast("int").alias("cell"), F.when(r, 14 + n * 3).otherwise(n).cast("int").alias("region"))
+    return table(spark, d, "lineitem").select(F.when(r, "swap").otherwise("recapture").alias("kind"), F.when(r, 9 + q % 14).otherwise(q % 11).cast("int").alias("cell"), F.when(r, 14 + n * 3).otherwise(n).cast("int").alias("region"), (q % 17).cast("int").alias("second"), (n * 4).cast("int").alias("third"))
 
 
-@query(f"""with {CASES}, g as (select a::int as cell_far, b::int as region_far from range(6, 14) x(a), range(8, 24, 2) y(b)),
-  s as (select cell_far, region_far, count(*) filter (kind = 'recapture' and (cell > cell_far or region > region_far)) as false_review, count(*) filter (kind = 'swap' and (cell > cell_far or region > region_far)) as caught from k, g group by 1, 2)
-  select *, row_number() over (order by false_review, caught desc, region_far desc, cell_far desc)::int as rank from s""")
+# The limits that are searched.
+CELL_FAR, REGION_FAR, MAX_CELLS = (8, 10, 12, 14, 16, 20, 24, 28), (8, 10, 12, 14, 16, 18, 20), (1, 2, 3)
+
+
+@query(f"""with {CASES}, g as (select a as cell_far, b as region_far, c as max_cells from (select unnest({list(CELL_FAR)}) a), (select unnest({list(REGION_FAR)}) b), (select unnest({list(MAX_CELLS)}) c)),
+  f as (select kind, region, region_far, cell_far, max_cells, (cell > cell_far)::int + (second > cell_far)::int + (third > cell_far)::int as far from k, g),
+  s as (select cell_far, region_far, max_cells, count(*) filter (kind = 'recapture' and far <= max_cells and (far > 0 or region > region_far)) as false_review, count(*) filter (kind = 'swap' and far <= max_cells and (far > 0 or region > region_far)) as caught from f group by 1, 2, 3)
+  select *, row_number() over (order by false_review, caught desc, region_far desc, cell_far desc, max_cells)::int as rank from s""")
 def threshold_search(spark, d):
-    grid = spark.range(6, 14).select(F.col("id").cast("int").alias("cell_far")).crossJoin(spark.range(8, 24, 2).select(F.col("id").cast("int").alias("region_far")))
-    return G.threshold_search(cases(spark, d), grid)
+    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
+    grid = one("cell_far", CELL_FAR).crossJoin(one("region_far", REGION_FAR)).crossJoin(one("max_cells", MAX_CELLS))
+    return G.threshold_search(cases(spark, d).select("kind", F.array("cell", "second", "third").alias("cells"), "region"), grid)
 
 
 @query(f"with {CASES} select kind, min(cell) as min_cell, max(cell) as max_cell, min(region) as min_region, max(region) as max_region, count(*) filter (cell > 12) as far from k group by kind")
@@ -83,11 +89,12 @@ def percentile_stretch(spark, d):
 
 
 @query("""with c as (select l_suppkey as g, l_partkey % 60 as x, l_orderkey % 60 as y from lineitem where l_quantity < 10),
-  xs as (select g, min(x) as x0, max(x) as x1 from (select g, x from c group by 1, 2 having count(*) >= 3) group by g), ys as (select g, min(y) as y0, max(y) as y1 from (select g, y from c group by 1, 2 having count(*) >= 3) group by g)
-  select g as l_suppkey, x0, x1, y0, y1 from xs join ys using (g)""")
+  xs as (select g, min(x) as x0, max(x) as x1 from (select g, x from c group by 1, 2 having count(*) >= 3) group by g), ys as (select g, min(y) as y0, max(y) as y1 from (select g, y from c group by 1, 2 having count(*) >= 3) group by g),
+  j as (select s.g, x0, x1, y0, y1, coalesce(x1 > x0 and y1 > y0, false) as found, floor((x1 - x0 + 1) * 0.02::double + 0.5)::bigint as px, floor((y1 - y0 + 1) * 0.02::double + 0.5)::bigint as py from (select distinct l_suppkey as g from lineitem) s left join xs using (g) left join ys using (g))
+  select g as l_suppkey, case when found then greatest(0, x0 - px) else 0 end as x0, case when found then least(59, x1 + px) else 59 end as x1, case when found then greatest(0, y0 - py) else 0 end as y0, case when found then least(59, y1 + py) else 59 end as y1 from j""")
 def content_bounds(spark, d):
     c = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 60).alias("y"), F.col("l_quantity").alias("v"))
-    return G.content_bounds(c, "l_suppkey", dark=10, need=3)
+    return G.content_bounds(c, "l_suppkey", 60, 60, dark=10, need=3)
 
 
 @query("""with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as pos, value from events), i as (select *, pos - row_number() over (partition by user_id order by pos) as g from r where value > 20)

@@ -9,12 +9,12 @@ from inkmark.operators import extraction as X
 from .base import query, table
 
 TRIM = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
-LINES = """ln as (select conv_id, turn, role || case when turn % 2 = 0 then ': ' else ' ; ' end || text as text from conversations where text is not null and role is not null)"""
+LINES = """ln as (select conv_id, turn, coalesce(role, '') || case when turn % 2 = 0 then ': ' else ' ; ' end || coalesce(text, '') as text from conversations)"""
 
 
 def lines(spark, d):
-    c = table(spark, d, "conversations").filter("text is not null and role is not null")
-    return c.select("conv_id", "turn", F.concat("role", F.when(F.col("turn") % 2 == 0, ": ").otherwise(" ; "), "text").alias("text"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(said("role"), F.when(F.col("turn") % 2 == 0, ": ").otherwise(" ; "), said("text")).alias("text"))
 
 
 @query(f"""with {LINES}, t as (select conv_id, turn, {TRIM.format('text')} as s from ln), p as (select *, regexp_extract(s, '(?s)^([^:;]+)[:;]', 1) as label from t where regexp_matches(s, '(?s)^[^:;]+[:;]'))

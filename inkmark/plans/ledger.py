@@ -29,12 +29,46 @@ def records(spark, d):
     )
 
 
-@query(WITH + """, v as (select record_id, case when record_id % 7 = 0 then 'XYZ' else sha256 end as sha256, content_hash, tx as transaction_hash, case when record_id % 13 = 0 then 'LOST' else status end as status, record_id - 5 as size, case when record_id % 5 = 0 then -1 end as block_number, null as revocation_reason from r)
- select record_id, concat_ws(',', case when sha256 = 'XYZ' then 'sha256' end, case when status = 'LOST' then 'status' end, case when size < 0 then 'size' end, case when block_number < 0 then 'block_number' end) as violations from v""")
-def validate_records(spark, d):
+ODD = {
+    "sha256": (7, "XYZ"), "status": (13, "LOST"), "block_number": (5, "-1"), "lookup_key": (17, "abc"), "contract_address": (19, "0x12"), "chain_id": (23, "0"), "mime_type": (29, "text/html"), "failure_reason": (31, "because"),
+    "revocation_tx": (37, "0xzz"), "ocr_check": (41, "MAYBE"), "byte_hash": (43, "00"), "revocation_reason": (47, "r" * 501),
+}
+RULES = ("record_id", "sha256", "status", "byte_hash", "content_hash", "lookup_key", "ocr_check", "mime_type", "size", "chain_id", "contract_address", "transaction_hash", "block_number", "failure_reason", "revocation_reason", "revocation_tx")
+BROKEN = ", ".join(f"case when record_id % {ODD[n][0]} = 0 then '{n}' end" if n in ODD else "case when record_id < 5 then 'size' end" if n == "size" else "null" for n in RULES)
+
+
+def odd_records(spark, d):
     k = F.col("record_id")
-    r = records(spark, d).withColumns({"sha256": F.when(k % 7 == 0, "XYZ").otherwise(F.col("sha256")), "status": F.when(k % 13 == 0, "LOST").otherwise(F.col("status")), "transaction_hash": F.col("tx"), "size": k - 5, "block_number": F.when(k % 5 == 0, -1), "revocation_reason": F.lit(None).cast("string")})
-    return L.validate_records(r).select("record_id", "violations")
+    fit = {"sha256": F.col("sha256"), "status": F.col("status"), "lookup_key": F.col("sha256"), "contract_address": F.lit("0x" + "aB" * 20), "chain_id": F.lit("7"), "mime_type": F.lit("image/png"), "failure_reason": F.lit("WRONG_DATA"), "revocation_tx": F.col("tx")}
+    r = records(spark, d).withColumns({n: F.when(k % m == 0, bad).otherwise(fit.get(n, F.lit(None))) for n, (m, bad) in ODD.items()})
+    return r.withColumns({"transaction_hash": F.col("tx"), "size": k - 5})
+
+
+@query(WITH + f"select record_id, concat_ws(',', {BROKEN}) as violations from r")
+def validate_records(spark, d):
+    return L.validate_records(odd_records(spark, d)).select("record_id", "violations")
+
+
+@query(WITH + f", v as (select record_id, concat_ws(',', {BROKEN}) as violations from r) select violations <> '' as quarantined, count(*) as n, min(record_id) as first from v group by 1")
+def quarantine(spark, d):
+    """Records that keep the contract, and those that are set apart."""
+    good, bad = L.quarantined(odd_records(spark, d))
+    both = good.select("record_id", F.lit(False).alias("quarantined")).unionByName(bad.select("record_id", F.lit(True).alias("quarantined")))
+    return both.groupBy("quarantined").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
+
+
+# The columns of a record that any reader may see.
+SAFE = ("record_id", "sha256", "content_hash", "ocr_check", "mime_type", "size", "status", "failure_reason", "chain_id", "contract_address", "transaction_hash", "block_number", "revocation_reason", "revocation_tx")
+
+
+def safe_view(rows):
+    """The safe columns that rows have; others (lookup keys, owners, stored fields) don't come out."""
+    return rows.select(*[c for c in SAFE if c in rows.columns])
+
+
+@query(WITH + "select record_id, sha256, content_hash, status from r")
+def record_view(spark, d):
+    return safe_view(records(spark, d))
 
 
 @query("""with b as (select l_orderkey, l_linenumber, l_partkey, sha256(l_partkey::varchar) as h, row_number() over (partition by l_partkey order by l_orderkey * 100 + l_linenumber, l_suppkey) as n, l_suppkey from lineitem),
@@ -75,7 +109,7 @@ def replay_lifecycle(spark, d):
 
 
 @query(WITH + """, b as (select l_orderkey * 10 + l_linenumber as submission_id, l_suppkey, sha256((case when l_linenumber % 2 = 0 then l_orderkey else l_orderkey + 1000000 end)::varchar) as sha256, case when l_linenumber % 3 = 0 then sha256('c' || l_orderkey) else sha256('n' || l_orderkey || l_linenumber) end as content_hash,
-   o_orderdate + interval 30 second * (l_linenumber - 1) as ts from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <= 4),
+   o_orderdate + interval 30 second * (l_linenumber - 1) as ts from lineitem join orders on o_orderkey = l_orderkey),
  bb as (select submission_id, min(sha256) as sha256, min(content_hash) as content_hash, min(ts) as ts from b group by 1),
  f as (select bb.*, x.status as fs, x.updated_at as fu, y.status as cs, y.updated_at as cu from bb left join r x on x.sha256 = bb.sha256 left join r y on y.content_hash = bb.content_hash),
  k as (select *, case when fs in ('STORED', 'BLOCKCHAIN_PENDING', 'ISSUED', 'REVOKED') then 'duplicate_file' when fs = 'FAILED' or (fs = 'PENDING' and epoch(ts) - epoch(fu) >= 60) then 'retry' when fs is not null then 'in_progress'
@@ -84,7 +118,7 @@ def replay_lifecycle(spark, d):
  select submission_id, case when known in ('duplicate_file', 'duplicate_content', 'conflict') then known when n1 > 1 or n2 > 1 then 'in_progress' else coalesce(known, 'new') end as outcome from k""")
 def resolve_submissions(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("day"))
-    l = table(spark, d, "lineitem").filter("l_linenumber <= 4").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    l = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     s = lambda *c: F.sha2(F.concat(*[x.cast("string") for x in c]), 256)
     b = l.select((k * 10 + n).alias("submission_id"), F.when(n % 2 == 0, s(k)).otherwise(s(k + 1000000)).alias("sha256"), F.when(n % 3 == 0, s(F.lit("c"), k)).otherwise(s(F.lit("n"), k, n)).alias("content_hash"), (F.col("day") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n - 1) * 30)).alias("ts"))
@@ -141,11 +175,19 @@ def ledger_drift(spark, d):
     return L.ledger_drift(r, rg.select("content_hash", "revoked").unionByName(only))
 
 
-@query("""select l_orderkey, l_linenumber, l_partkey, s_suppkey from lineitem join supplier on s_suppkey = l_suppkey where s_suppkey % 3 <> 0""")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_suppkey in (select s_suppkey from supplier where s_suppkey % 3 <> 0) then 'accepted' else 'rejected' end as outcome from lineitem")
 def issuer_gate(spark, d):
-    """Anchors whose sender is on the allow list."""
+    """Anchors by whether their sender is on the allow list."""
     allowed = table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return table(spark, d, "lineitem").join(allowed, "l_suppkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
+    return L.issuer_gate(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), allowed, "l_suppkey")
+
+
+@query("""with q as (select event_id, user_id as wallet, row_number() over (partition by user_id order by event_id) as n from events)
+ select event_id, wallet, case when n = 1 and wallet not in (select s_suppkey from supplier where s_suppkey % 3 <> 0) then 'registered' else 'already_registered' end as outcome from q""")
+def register_issuers(spark, d):
+    """Requests to become an issuer; one that is an issuer, or has asked before, is passed over."""
+    there = table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("wallet"))
+    return L.register_issuers(table(spark, d, "events").select("event_id", F.col("user_id").alias("wallet")), there, "event_id")
 
 
 @query(WITH + """, rp as (select l_orderkey * 10 + l_linenumber as report_id, l_orderkey as record_id, case when l_linenumber % 4 = 3 then 'failed' else 'pending' end as kind, case when l_linenumber % 5 = 4 then 'bad' else '0x' || sha256('tx' || (case when l_linenumber % 2 = 0 then l_orderkey + 1 else l_orderkey end)) end as tx, case when l_suppkey % 2 = 0 then 'USER_REJECTED' else 'other' end as reason, l_linenumber as ts, l_suppkey, l_partkey from lineitem),
@@ -210,12 +252,26 @@ def find_stuck(spark, d):
     return stuck(spark, d).select("record_id", "status", "updated_at").orderBy("updated_at", "record_id")
 
 
-@query(CONFIRM + f""", w as (select r.record_id, case when r.status = 'PENDING' then 'failed_pending' when nothing then 'still_pending' when why is not null then 'failed' else 'issued' end as outcome from r left join cf using (record_id) where {STUCK})
- select outcome, count(*) as n, sha256(string_agg(record_id::varchar, ',' order by record_id)) as ids_sha256 from w group by 1""")
+RECONCILED = f"w as (select r.record_id, case when r.status = 'PENDING' then 'failed_pending' when nothing then 'still_pending' when why is not null then 'failed' else 'issued' end as outcome from r left join cf using (record_id) where {STUCK})"
+
+
+@query(CONFIRM + f", {RECONCILED} select outcome, count(*) as n, bit_xor(('0x' || substr(sha256(record_id::varchar), 1, 15))::bigint) as ids_digest from w group by 1")
 def reconcile_report(spark, d):
+    """How many stuck records have which outcome, and a digest of their ids that doesn't depend on their order."""
+    w = reconciled(spark, d)
+    return w.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 15), 16, 10).cast("long")).alias("ids_digest"))
+
+
+@query(CONFIRM + f", {RECONCILED} select record_id, outcome from w")
+def reconcile_outcomes(spark, d):
+    """Each stuck record and what became of it."""
+    return reconciled(spark, d)
+
+
+def reconciled(spark, d):
     s = stuck(spark, d).select("record_id", "status").join(confirmed(spark, d), "record_id", "left")
     o = F.when(F.col("status") == "PENDING", "failed_pending").when(F.col("state") == "pending", "still_pending").otherwise(F.col("state"))
-    return s.groupBy(o.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("record_id")), lambda x: x.cast("string")), ","), 256).alias("ids_sha256"))
+    return s.select("record_id", o.alias("outcome"))
 
 
 @query(WITH + "select issuer, arg_max(record_id, {'u': updated_at, 'i': record_id}) as record_id from r group by 1")
@@ -223,10 +279,10 @@ def newest_per_key(spark, d):
     return M.newest_per_key(records(spark, d), "issuer", "updated_at", "record_id").select("issuer", "record_id")
 
 
-@query(WITH + "select record_id, issuer, status from r where issuer < 100")
+@query(WITH + "select record_id, issuer, status from r where issuer in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def owned_rows(spark, d):
     """Rows of the callers in a caller table; those of others look absent."""
-    callers = table(spark, d, "customer").filter("c_custkey < 100").select(F.col("c_custkey").alias("issuer"))
+    callers = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("issuer"))
     return records(spark, d).join(callers, "issuer", "left_semi").select("record_id", "issuer", "status")
 
 

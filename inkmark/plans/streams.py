@@ -64,22 +64,28 @@ def stuck_stream(spark, d):
         return drained(jobs.stuck_stream(log.select("record_id", "ts", "status")), "stuck")
 
 
-@query("select min(event_id) as event_id, sha256(user_id || event_type) as sha256 from events group by user_id, event_type")
+@query("select arg_min(event_id, {'t': ts, 'e': event_id}) as event_id, sha256(user_id || event_type) as sha256 from events group by user_id, event_type")
 def dedup_stream(spark, d):
-    e = events(spark, d).select("event_id", F.sha2(F.concat(F.col("user_id").cast("string"), "event_type"), 256).alias("sha256"), F.struct("ts", "event_id").alias("ts"))
+    e = events(spark, d).select("event_id", F.sha2(F.concat(F.col("user_id").cast("string"), "event_type"), 256).alias("sha256"), F.col("ts").cast("timestamp").alias("ts"))
     path = shared_dir(spark, "dedup")
-    jobs.dedup_into(e, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    with rocksdb(spark):
+        jobs.dedup_into(e, f"{path}/out", f"{path}/checkpoint", order=("ts", "event_id")).awaitTermination()
     return spark.read.schema(e.schema).parquet(f"{path}/out/batch-*").select("event_id", "sha256")
 
 
-@query("select p.event_id as record_id, r.event_id as state from events p join events r on p.user_id = r.user_id and p.event_type = 'purchase' and r.event_type = 'click' and r.ts between p.ts and p.ts + interval 1 day")
+@query("select p.event_id as record_id, r.event_id as state from (select * from events where event_type = 'purchase') p left join events r on p.user_id = r.user_id and r.event_type = 'click' and r.ts between p.ts and p.ts + interval 1 day")
 def ledger_join_stream(spark, d):
-    """Pending transactions (purchases) with the receipts (clicks of the same user) that come within a day."""
+    """Pending transactions (purchases) with the receipts (clicks of the same user) that come within a day; those without one stay pending.
+
+    The stream tells of a missing receipt only when the watermark has passed, which the end of the source may not reach; what it hasn't
+    answered by then is pending too."""
     at = F.col("ts").cast("timestamp")
     p = events(spark, d).filter("event_type = 'purchase'").select(F.col("event_id").alias("record_id"), F.col("user_id").cast("string").alias("tx"), at.alias("sent_at"))
     r = events(spark, d).filter("event_type = 'click'").select(F.col("user_id").cast("string").alias("tx"), F.col("event_id").alias("state"), at.alias("mined_at"))
     out = drained(jobs.ledger_join_stream(p, r, "1 day"), "ledger-join")
-    return out.filter("state is not null").select("record_id", "state")
+    found = out.filter("state is not null").select("record_id", "state")
+    waiting = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("record_id")).join(found, "record_id", "left_anti")
+    return found.unionByName(waiting.withColumn("state", F.lit(None).cast("long")))
 
 
 @query(f"select event_id as id, case when {ACT} = 'REVOKE' or user_id % 10 = 0 then 'bad' else 'good' end as side from events")

@@ -11,6 +11,9 @@ from inkmark.sources.shared import materialised
 
 from .base import query, table
 from .cleaning import FIELDS, HASH, LOOKUP, REC, canon, field_records
+from .visual import ADVICE, cells_and_regions
+
+ADVICE_CTES = ADVICE.removeprefix("with ").rstrip()
 
 K = "doc_id % 10"
 SEEN = f"""pre as (select doc_id, "docType", issuer, case when {K} = 4 then 'X' || holder when {K} in (2, 3) then '  ' || lower(holder) else holder end as holder,
@@ -60,6 +63,7 @@ def cascade_lookup(spark, d):
 
 
 def differences(p, a, hits):
+    hits = hits.filter("how is null or how <> 'content'")  # found by their content hash: nothing differs
     a = R.flatten_record(a, "record_id").join(hits.select("capture_id", "record_id"), "record_id").select("capture_id", "field", "value")
     p = R.flatten_record(p, "capture_id").join(hits.filter("record_id is not null").select("capture_id"), "capture_id", "left_semi")
     return R.diff_records(a, p, "capture_id")
@@ -86,18 +90,33 @@ def compare_to_anchor(spark, d):
     return compared(spark, d)[1]
 
 
-VERDICT = HEAD + COMPARED + """, v as (select capture_id, how, case when status = 'MATCH' then '' else coalesce(changed, '') end as changed, case
+VERDICT = HEAD.replace("with rec as", "with " + ADVICE_CTES + ", rec as", 1) + COMPARED + """, qr as (select doc_id as capture_id, case doc_id % 28 when 0 then h when 7 then sha256('other' || doc_id) when 14 then h else 'junk' end as code, doc_id % 28 = 14 as elsewhere from p where doc_id % 7 = 0),
+ q as (select p.doc_id as capture_id, case when qr.code is null then null when qr.code = 'junk' or (p.rs <> 'READ' and not coalesce(st.same_file, false)) then 'UNREADABLE' when qr.elsewhere then 'ELSEWHERE' when qr.code = p.h then 'SAME' else 'DIFFERENT' end as qs from p left join qr on qr.capture_id = p.doc_id left join st on st.capture_id = p.doc_id),
+ v as (select st.capture_id, how, case when status = 'MATCH' then '' else coalesce(changed, '') end as changed, case
+   when qs in ('ELSEWHERE', 'DIFFERENT') then 'QR_MISMATCH/HIGH' when qs = 'UNREADABLE' then 'INCONCLUSIVE/LOW'
    when rs <> 'READ' and not coalesce(same_file, false) then 'INCONCLUSIVE/LOW' when record_id is null then 'NOT_REGISTERED/HIGH' when rec_status = 'REVOKED' then 'REVOKED/HIGH' when same_file then 'AUTHENTIC_ORIGINAL/HIGH'
    when status = 'INCONCLUSIVE' then 'INCONCLUSIVE/LOW' when status = 'MISMATCH' and worth >= 90 then 'TAMPERED_CONTENT/HIGH' when status = 'MISMATCH' and worth >= 80 then 'TAMPERED_CONTENT/MEDIUM' when status = 'MISMATCH' then 'INCONCLUSIVE/LOW'
-   when capture_id % 3 = 1 then 'TAMPERED_VISUAL/MEDIUM' when capture_id % 3 = 2 then 'INCONCLUSIVE/LOW' else 'AUTHENTIC_COPY/MEDIUM' end as vc from st),
+   when ad.kind is null then 'INCONCLUSIVE/LOW' when ad.kind = 'LOCALISED' then 'TAMPERED_VISUAL/MEDIUM' when ad.kind = 'GLOBAL' then 'INCONCLUSIVE/LOW' else 'AUTHENTIC_COPY/MEDIUM' end as vc from st join q on q.capture_id = st.capture_id left join ad on ad.capture_id = st.capture_id),
  w as (select capture_id, how, changed, string_split(vc, '/')[1] as verdict, string_split(vc, '/')[2] as confidence from v) """
 
 
+def qr_state(code, content_hash, elsewhere, unread):
+    """A scanned code against the document in hand: null without a code, UNREADABLE if either can't be read, ELSEWHERE if it is for another registry."""
+    unread = unread | (code == "junk")
+    return F.when(code.isNotNull(), F.when(unread, "UNREADABLE").when(elsewhere, "ELSEWHERE").when(code == content_hash, "SAME").otherwise("DIFFERENT"))
+
+
 def decided(spark, d):
+    """Bytes, content, codes and looks of each presented document, and the verdict on them."""
     pairs, status = compared(spark, d)
     e = pairs.join(status.withColumnRenamed("status", "content_status"), "capture_id")
-    advice = F.element_at(F.array(F.lit("CONSISTENT"), F.lit("REVIEW"), F.lit("UNCLEAR")), (F.col("capture_id") % 3 + 1).cast("int"))
-    e = e.select("capture_id", "how", "changed", (F.col("read_status") == "READ").alias("readable"), F.col("record_id").isNotNull().alias("registered"), (F.col("status") == "REVOKED").alias("revoked"), (F.col("p_file") == F.col("a_file")).alias("byte_match"), "content_status", F.col("mismatch_confidence").alias("content_confidence"), advice.alias("advice"))
+    # Visual evidence: the advice on the pictures that there are (one a vector); codes: on every seventh document.
+    e = e.join(V.visual_advice(*cells_and_regions(spark, d)).select("capture_id", "advice"), "capture_id", "left")
+    k, n = F.col("capture_id") % 28, F.col("capture_id") % 7
+    code = F.when(n == 0, F.when(k.isin(0, 14), F.col("p_hash")).when(k == 7, F.sha2(F.concat(F.lit("other"), F.col("capture_id").cast("string")), 256)).otherwise("junk"))
+    unread = (F.col("read_status") != "READ") & ~F.coalesce(F.col("p_file") == F.col("a_file"), F.lit(False))
+    e = e.withColumn("qr_state", qr_state(code, F.col("p_hash"), k == 14, unread))
+    e = e.select("capture_id", "how", "changed", "qr_state", "advice", (F.col("read_status") == "READ").alias("readable"), F.col("record_id").isNotNull().alias("registered"), (F.col("status") == "REVOKED").alias("revoked"), (F.col("p_file") == F.col("a_file")).alias("byte_match"), "content_status", F.col("mismatch_confidence").alias("content_confidence"))
     return V.verdicts(e)
 
 
@@ -159,7 +178,7 @@ def qr_check(spark, d):
     k = F.col("record_id")
     q = anchored(spark, d).select(k.alias("capture_id"), F.when(k % 4 == 1, F.col("content_hash")).when(k % 4 == 2, F.sha2(F.concat(F.lit("other"), k.cast("string")), 256)).when(k % 4 == 3, "junk").alias("code"), (k % 8 == 1).alias("elsewhere"))
     j = presented(spark, d).select("capture_id", "content_hash").join(q, "capture_id", "left")
-    state = F.when(F.col("code") == "junk", "UNREADABLE").when(F.col("code").isNotNull() & F.col("elsewhere"), "ELSEWHERE").when(F.col("code") == F.col("content_hash"), "SAME").when(F.col("code").isNotNull(), "DIFFERENT")
+    state = qr_state(F.col("code"), F.col("content_hash"), F.col("elsewhere"), F.lit(False))
     out = V.verdicts(j.select("capture_id", state.alias("qr_state")))
     return out.select("capture_id", "qr_state", F.when(F.col("qr_state").isin("UNREADABLE", "ELSEWHERE", "DIFFERENT"), F.col("verdict")).alias("verdict"))
 

@@ -26,7 +26,8 @@ HEX = "lpad(lower(to_hex(hi)), 8, '0') || lpad(lower(to_hex(lo)), 8, '0')"
 DIST = "(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::int"
 BOTH = f"with {ORIGINAL}, {TURNED}, {sig('e', 's')}, {sig('f', 't')} "
 ALL = BOTH + ", u as (select id * 2 as id, hi, lo from s union all select id * 2 + 1, hi, lo from t) "
-PAIRS = ALL + f", pr as (select a.id as a, b.id as b, {DIST} as distance from u a join u b on a.id < b.id and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 7) "
+PAIRS = ALL + f""", cl as (select hi, lo, min(id) as id from u group by 1, 2), pr as (select a.id as a, b.id as b, {DIST} as distance from cl a join cl b on a.id < b.id and bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 7
+  union all select cl.id, u.id, 0 from u join cl using (hi, lo) where u.id <> cl.id) """
 
 
 def signatures(spark, d, turned: bool = False):

@@ -47,7 +47,7 @@ def lifecycle_stream(moves: DataFrame) -> DataFrame:
     """moves (record_id long, seq long, status: the state asked for) -> record_id, seq, asked, status (after it), legal.
 
     State is kept per document without expiry, in RocksDB (set ROCKSDB on the session). Moves of one micro-batch are applied in
-    the order of seq.
+    the order of seq, for which a document's moves of that micro-batch are held together: bound it at the source (maxFilesPerTrigger).
     """
     known = moves.filter(F.col("status").isin(*STATES))
     return known.groupBy("record_id").transformWithStateInPandas(Lifecycle(), "record_id long, seq long, asked string, status string, legal boolean", "Append", "none")
@@ -64,7 +64,10 @@ class Timeout(StatefulProcessor):
         self.state = handle.getValueState("status", StructType([StructField("status", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("ts").iloc[-1]
+        last = None
+        for part in rows:
+            newest = part.loc[part["ts"].idxmax()]
+            last = newest if last is None or newest["ts"] > last["ts"] else last
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.state.update((last["status"],))
@@ -86,23 +89,42 @@ def stuck_stream(changes: DataFrame, wait_seconds: int = 600, late: str = "1 min
     return rows.groupBy("record_id").transformWithStateInPandas(Timeout(wait_seconds * 1000), "record_id long, failure_reason string", "Append", "EventTime")
 
 
-def dedup_into(stream: DataFrame, target: str, checkpoint: str, key: str = "sha256"):
-    """Append rows whose key is not in the Parquet table ``target`` yet; the first of a batch (by ts) wins.
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through; of those that come in one micro-batch, the one that is first by ``order``."""
 
-    A micro-batch writes to a folder of its own number, so one that runs again replaces its own rows.
-    """
-    from inkmark.operators.lifecycle import append_if_absent
+    def __init__(self, order: list[str]):
+        self.order = order
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        there = [str(s.getPath()) for s in fs.listStatus(path) if s.getPath().getName() != f"batch-{number:09d}"] if fs.exists(path) else []
-        old = spark.read.schema(batch.schema).parquet(*there) if there else batch.limit(0)
-        new = append_if_absent(batch, old, key, "ts").filter(~F.col("already_stored")).drop("already_stored")
-        new.write.mode("overwrite").parquet(f"{target}/batch-{number:09d}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", StructType([StructField("seen", StringType())]))
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            part = part.sort_values(self.order).head(1)
+            first = part if first is None else pd.concat([first, part]).sort_values(self.order).head(1)
+        if first is not None and not self.state.exists():
+            self.state.update(("y",))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_stream(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key, once. Keys are kept without expiry, in RocksDB (set ROCKSDB on the session), so that no earlier row is read
+    again; rows without a key count as one key."""
+    return rows.groupBy(key).transformWithStateInPandas(FirstSeen(order), rows.schema, "Append", "none")
+
+
+def dedup_into(stream: DataFrame, target: str, checkpoint: str, key: str = "sha256", order: tuple[str, ...] = ("ts",)):
+    """Append the first row of each key to the Parquet table ``target``.
+
+    A micro-batch writes to a folder of its own number, so one that runs again replaces its own rows.
+    """
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch-{number:09d}")
+    new = dedup_stream(stream, key, list(order))
+    return new.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ledger_join_stream(pending: DataFrame, receipts: DataFrame, wait: str = "1 hour") -> DataFrame:

@@ -62,7 +62,7 @@ def test_stuck(spark, tmp_path, rocksdb):
     assert [tuple(r) for r in got] == [(1, "STUCK_PENDING")]
 
 
-def test_dedup_is_idempotent(spark, tmp_path):
+def test_dedup_is_idempotent(spark, tmp_path, rocksdb):
     rows = [(i, f"h{i % 5}", T0 + timedelta(seconds=i)) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, sha256 string, ts timestamp")
     s = stream(spark, df, tmp_path / "in", 3)
@@ -72,6 +72,16 @@ def test_dedup_is_idempotent(spark, tmp_path):
     assert sorted(r["sha256"] for r in got) == [f"h{i}" for i in range(5)]
 
 
+def test_dedup_remembers_keys_and_takes_the_first_of_a_batch(spark, tmp_path, rocksdb):
+    arrive = lambda rows: spark.createDataFrame(rows, "id long, sha256 string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: jobs.dedup_into(spark.readStream.schema("id long, sha256 string, ts timestamp").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    arrive([(1, "a", T0 + timedelta(seconds=5)), (2, "a", T0), (3, "b", T0)])
+    run()
+    arrive([(4, "a", T0 - timedelta(days=1)), (5, "c", T0)])
+    run()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out") + "/batch-*").collect()) == [2, 3, 5]
+
+
 def test_audit_feed(spark, tmp_path):
     df = spark.createDataFrame([(1, "ISSUE", "SUCCESS"), (2, "NOPE", "SUCCESS"), (3, "VERIFY", None)], "id long, action string, outcome string")
     jobs.audit_append(stream(spark, df, tmp_path / "in"), str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
