@@ -133,7 +133,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overla
     characters; chunks are dealt over all tasks and pre-tokenised there. Where two neighbours agree on a boundary
     within their overlap they are cut, and each encodes its own piece; where they don't (a pre-token longer than the
     overlap), the pieces on both sides are encoded as one when the text's ids are put together. Long rows are numbered
-    before they are cut, so repeated rows and ids don't matter.
+    before they are cut, so repeated rows and ids don't matter. An empty table gives an empty result; other columns are kept whatever their names.
 
     with_decoded: also decode the ids, in the same pass, to the column ``decoded`` (binary).
     """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, lower_ascii, shared_dir, written
@@ -33,10 +34,18 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def arrivals(docs: DataFrame) -> DataFrame:
-    """What the stream sees of a document: digest of the normalised text, stable identifier, content locator."""
-    text = lower_ascii(F.coalesce("text", F.lit("")))
-    return docs.select(F.col("doc_id"), F.sha2(text, 256).alias("digest"), F.input_file_name().alias("locator"))
+#: Parts in which the rows of one digest are compared, so that a hot one doesn't meet in one task.
+PARTS = 16
+
+
+def arrive(docs: DataFrame, state: str) -> str:
+    """Store an arrival of docs (doc_id, text): doc_id, normalised text, its digest, and a locator (arrival#row) that no other row has."""
+    name = uuid.uuid4().hex[:12]
+    text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    rows = rows.select("doc_id", "t", F.sha2("t", 256).alias("digest"), F.concat(F.lit(f"{name}#"), F.monotonically_increasing_id().cast("string")).alias("locator"))
+    rows.write.parquet(f"{state}/content/{name}")
+    return f"{state}/content/{name}"
 
 
 def stream_state(spark: SparkSession, path: str, state: str, files_per_batch: int = 1000) -> str:
@@ -66,47 +75,47 @@ def latest(spark: SparkSession, updates: str) -> DataFrame:
     return read.groupBy("digest").agg(F.max(F.struct("copies", "top")).alias("s")).select("digest", F.col("s.top.doc_id").alias("keep_id"), F.col("s.top.locator").alias("locator"), F.col("s.copies").alias("group_size"))
 
 
-def resolve(docs: DataFrame) -> DataFrame:
+def resolve(docs: DataFrame, state: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id long, text string, others ignored).
 
     Equal texts: identical after lower-casing A-Z; null counts as empty. The row with the largest doc_id stays (a null
     doc_id is smaller than any; if all of a group are null, keep_id is null and the rows are kept). Rows that repeat
-    the largest doc_id are all kept. Empty table: empty result.
+    the largest doc_id are all kept. Whole texts count, however long. Empty table: empty result.
+
+    state: a folder that all executors share, in which the state and the texts of earlier arrivals are; docs are then decided beside
+    these, and the state is carried on. Default: a new one, for docs alone.
 
-    The stream decides by digest. Every hit is then checked against the full bytes of the row that stays: rows whose
-    text differs from it in spite of an equal digest form groups of their own by whole text.
+    The stream decides by digest. Every hit is then checked: the row that its digest's locator names is fetched, and the full bytes of
+    the others are compared with its; rows whose text differs in spite of an equal digest form groups of their own by whole text.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen, path = written(arrivals(docs), "dedup-arrivals")
-    state = latest(spark, stream_state(spark, path, shared_dir(spark, "dedup-state")))
-    state, _ = written(state, "dedup-latest")
-
-    # Full bytes of all rows whose digest came more than once, beside those of the row that stays.
-    hits = state.filter("group_size > 1").select("digest", "keep_id", "group_size")
-    text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", lower_ascii(text).alias("t")).withColumn("digest", F.sha2("t", 256)).join(hits, "digest")
-    whole, whole_path = written(whole, "dedup-hits")
-    stays = whole.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("kept_t"))
-    differ = whole.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest", "doc_id", "t")
-    # Written here, so that nothing after the comparison needs a digest's rows together and a hot one can be split.
-    differ, _ = written(differ, "dedup-differ")
-    apart = differ.groupBy("digest", "t").agg(F.max("doc_id").alias("a_keep"), F.count(F.lit(1)).alias("a_size"))
-    apart = differ.join(apart, ["digest", "t"]).groupBy("digest", "doc_id", "a_keep").agg(F.first("a_size").alias("a_size"), F.count(F.lit(1)).alias("rows"))
-    apart, _ = written(apart, "dedup-apart")
+    state = state or shared_dir(spark, "dedup-state")
+    path = arrive(docs, state)
+    schema = "doc_id long, t string, digest string, locator string"
+    now, _ = written(latest(spark, stream_state(spark, f"{state}/content/*", state)), "dedup-latest")
+
+    hits = now.filter("group_size > 1").select("digest", F.col("locator").alias("kept"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    content = spark.read.schema(schema).parquet(f"{state}/content/*").withColumn("part", F.pmod(F.xxhash64("locator"), F.lit(PARTS)).cast("int"))
+    whole, whole_path = written(content.join(hits, ["digest", "part"]), "dedup-hits")
+    stays = whole.filter(F.col("locator") == F.col("kept")).select("digest", F.col("t").alias("kept_t"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    differ, _ = written(whole.join(stays, ["digest", "part"]).filter(F.col("t") != F.col("kept_t")).select("digest", "doc_id", "t", "locator"), "dedup-differ")
+    sizes = differ.groupBy("digest", "t").agg(F.max("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
+    own, _ = written(differ.join(sizes, ["digest", "t"]).select("locator", "digest", "own_keep", "own_size"), "dedup-apart")
     discard(spark, whole_path)
 
-    lost = apart.groupBy("digest").agg(F.sum("rows").alias("lost"))
-    state = state.join(lost, "digest", "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
-    out = seen.select("doc_id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
-    own = apart.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), "a_keep", "a_size")
-    out = out.join(own, (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left")
-    keep = F.when(F.col("a_size").isNotNull(), F.col("a_keep")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("a_size", "group_size").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+    lost = own.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
+    now = now.join(lost, "digest", "left").select("digest", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"))
+    out = spark.read.schema(schema).parquet(path).select("doc_id", "digest", "locator").join(now, "digest").join(own.drop("digest"), "locator", "left")
+    keep = F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def apply_dedup(docs: DataFrame) -> DataFrame:
-    """docs without the rows that ``resolve`` drops; rows that repeat a kept doc_id and text stay once."""
-    dropped = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_sha")).distinct()
-    d = docs.withColumn("_sha0", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
-    return d.join(dropped, F.col("doc_id").eqNullSafe(F.col("_drop")) & (F.col("_sha0") == F.col("_sha")), "left_anti").select(*docs.columns)
+    """docs without the rows that ``resolve`` drops; rows that repeat a kept doc_id and text all stay. Columns are kept whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    dropped = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("drop"), F.col("text_sha256").alias("sha")).distinct()
+    own = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("doc_id").cast("long").alias("id"))
+    digest = F.sha2(lower_ascii(F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit(""))), 256)
+    # The join is on the id alone, so that only rows with an id that is dropped are hashed again.
+    left = own.join(dropped, F.col("id").eqNullSafe(F.col("drop")) & (digest <= F.col("sha")) & (digest >= F.col("sha")), "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -9,8 +9,9 @@ from .common import WORD, written
 
 #: Weights of the sources in code-point order of their names, repeating.
 CYCLE = (5, 2, 1)
-#: Key ranges per source. Their sums, not the documents, are ordered by one task.
-BUCKETS = 4096
+#: Key ranges to a doubling of the key. A key is exponential at the rate of its weight, so whatever the weights are, of one weight at most
+#: 0.4 % of a source fall in one range, and at most some 4,300 ranges are in use. Their sums, not the documents, are ordered by one task.
+RANGES = 64
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -47,22 +48,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, c
     weights: doc_id and weight > 0 (a document without a row weighs 1; of several rows the mean counts).
     A source's target holds ``floor(target / source_size)`` complete epochs of all its documents. The rest is sampled
     without replacement: documents in falling order of u^(1/weight) (Efraimidis-Spirakis; equivalently rising
-    -ln(u)/weight), as long as the middle of the document lies within the rest, so that the sum ends within half a
+    -ln(u)/weight, the key), as long as the middle of the document lies within the rest, so that the sum ends within half a
     document of the budget. Keys come from doc_id and the seed, so reruns agree.
-    Null text: size 0. Null source: a source of its own, last. Empty table: empty result. Rows with equal doc_id have
+    Whole texts count, however long. Null text: size 0. Null source: a source of its own, last. Empty table: empty result. Rows with equal doc_id have
     equal keys; those that are also of equal size are taken or left together.
     """
     added = {"size", "source_size", "target", "copies", "taken"}
     kept = [c for c in docs.columns if c not in added]
-    d = docs.select(*kept, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = d.withColumn("_u", uniform(F.col("doc_id"), seed))
+    names = [f"c{i}" for i in range(len(kept))]
+    text, doc_id, source = (F.col(names[kept.index(c)]) for c in ("text", "doc_id", "source"))
+    d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)])
+    d = d.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "source": source, "_u": uniform(doc_id, seed)})
     if weights is not None:
         w = weights.groupBy(F.col("doc_id").alias("_wid")).agg(F.avg("weight").alias("_w"))
-        d = d.join(w, F.col("doc_id") == F.col("_wid"), "left").drop("_wid").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
+        d = d.join(w, doc_id == F.col("_wid"), "left").drop("_wid").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
     else:
         d = d.withColumn("_w", F.lit(1.0))
-    d = d.withColumn("_k", F.pow("_u", 1 / F.col("_w"))).withColumn("_b", F.floor((1 - F.col("_k")) * BUCKETS).cast("int"))
-    d = d.withColumn("_place", F.struct((-F.col("_k")).alias("k"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("size").alias("n"))).drop("_u", "_w", "_k")
+    d = d.withColumn("_k", -F.log("_u") / F.col("_w")).withColumn("_b", F.floor(F.log2("_k") * RANGES).cast("int"))
+    d = d.withColumn("_place", F.struct(F.col("_k").alias("k"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("id"), F.col("size").alias("n"))).drop("_u", "_w", "_k")
 
     # Sums per source and key range come first, so no task sees a hot source's documents together.
     slim, _ = written(d.select("source", "size", "_b", "_place"), "mix-keys")
@@ -88,7 +91,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, c
     j = d.join(plan, F.col("source").eqNullSafe(F.col("_gsrc")))
     chosen = (F.col("_b") < F.col("_eb")) | ((F.col("_b") == F.col("_eb")) & (F.col("_place") <= F.col("_last")))
     copies = F.col("epochs") + F.when(chosen, 1).otherwise(0)
-    return j.select(*kept, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return j.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:

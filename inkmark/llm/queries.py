@@ -61,11 +61,17 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
+#: Bytes of text of an arrival, and the fewest arrivals.
+ARRIVAL_BYTES, ARRIVALS = 256 << 20, 16
+
+
 def op9_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in 16 batches (by a hash of doc_id), are compacted as they come, and are read back."""
+    """Documents arrive in batches (by a hash of doc_id) of one size, the more the larger the table, are compacted as they come, and are read back."""
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, shared_dir(spark, "shards"), base_bytes=4 << 20, target_bytes=32 << 20, fan_in=4)
-    store.append(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(16))), "arrival")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    arrival = next(c for c in (f"arrival{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(max(ARRIVALS, -(-size // ARRIVAL_BYTES))))), arrival)
     live = store.read()
     live = docs.limit(0) if live is None else live
     return live.select("doc_id", "source", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2(F.col("text"), 256).alias("text_sha256"))

@@ -33,14 +33,18 @@ class Manifest:
 class ShardStore:
     """A table of immutable Parquet shards.
 
-    base_bytes: runs below it are tier 0; each tier holds runs ``fan_in`` times larger. A tier with ``fan_in`` runs is
-    merged into one run of files of about target_bytes; runs of target_bytes * fan_in or more are left alone, so the
-    work per byte is bounded by the number of tiers. A manifest version lists all live files; it is published by one
-    rename that fails if the version exists, so of two writers one wins and the other can retry on the new version.
-    Readers see the old or the new version, never half a merge. Shards that no retained version names are removed.
+    base_bytes: runs below it are tier 0; each tier holds runs ``fan_in`` times larger. A tier with ``fan_in`` runs of less than target_bytes is
+    merged into one run of files of about target_bytes; a run beyond target_bytes whose files are on average below half of it is merged
+    alone, whatever its size; runs of such files are finished, so a byte is written once a tier at most. A manifest version lists
+    all live files; it is published by one rename that fails if the version exists, so of two writers one wins and the other
+    can retry on the new version. Readers see the old or the new version, never half a merge: shards are removed only when none of the
+    last keep_versions versions names them, so a reader has that many commits to finish.
+
+    Rows come back as they were appended: nulls, empty and long texts, ties and repeated rows alike; column names are the user's own but for the
+    arrival column, which isn't stored. An empty table adds no run; a store without runs reads as None.
     """
 
-    def __init__(self, spark: SparkSession, root: str, base_bytes: int = 16 << 20, target_bytes: int = 256 << 20, fan_in: int = 4, keep_versions: int = 1, codec: str = "zstd"):
+    def __init__(self, spark: SparkSession, root: str, base_bytes: int = 16 << 20, target_bytes: int = 256 << 20, fan_in: int = 4, keep_versions: int = 2, codec: str = "zstd"):
         self.spark, self.root, self.base_bytes, self.target_bytes, self.fan_in, self.keep_versions, self.codec = spark, root.rstrip("/"), base_bytes, target_bytes, fan_in, keep_versions, codec
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -107,24 +111,31 @@ class ShardStore:
     def tier(self, run: Run) -> int:
         return 0 if run.bytes < self.base_bytes else 1 + int(math.log(run.bytes / self.base_bytes, self.fan_in))
 
+    def finished(self, run: Run) -> bool:
+        return run.bytes >= self.target_bytes and run.bytes / len(run.files) >= self.target_bytes / 2
+
+    def due(self, runs: list[Run]) -> list[Run]:
+        """The runs that are to be merged next; none if all is in order."""
+        tiers: dict[int, list[Run]] = {}
+        for r in runs:
+            if self.finished(r):
+                continue
+            if r.bytes >= self.target_bytes:
+                return [r]
+            tiers.setdefault(self.tier(r), []).append(r)
+        return next((rs[: self.fan_in] for _, rs in sorted(tiers.items()) if len(rs) >= self.fan_in), [])
+
     def compact(self, m: Manifest | None = None) -> Manifest:
-        """Merge while a tier holds fan_in runs; one commit a merge."""
+        """Merge while runs are due; one commit a merge."""
         m = m or self.manifest()
-        while True:
-            tiers: dict[int, list[Run]] = {}
-            for r in m.runs:
-                if r.bytes < self.target_bytes * self.fan_in:
-                    tiers.setdefault(self.tier(r), []).append(r)
-            full = next((rs for _, rs in sorted(tiers.items()) if len(rs) >= self.fan_in), None)
-            if not full:
-                return m
-            old = full[: self.fan_in]
+        while old := self.due(m.runs):
             folder = f"{self.root}/shards/{uuid.uuid4().hex[:12]}"
-            n = max(1, round(sum(r.bytes for r in old) / self.target_bytes))
+            n = max(1, int(sum(r.bytes for r in old) / self.target_bytes))
             merged = self.spark.read.parquet(*[f"{r.folder}/{f}" for r in old for f in r.files])
             merged.coalesce(n).write.option("compression", self.codec).parquet(folder)
             m = self.commit([r for r in m.runs if r not in old] + [self._run(folder)], m)
             self.vacuum()
+        return m
 
     def vacuum(self) -> None:
         """Forget versions beyond keep_versions, then delete shards that only they name."""

@@ -8,7 +8,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -115,7 +115,7 @@ def write_index(captures: DataFrame, root: str) -> DataFrame:
     Captures are sorted by key over all parts. A part is a file of gzip-compressed blocks of LINES captures each, one
     JSON line a capture, and beside it the sparse directory: of each block the first key, offset and length.
     """
-    arrow_rows(captures.sparkSession, 4096)
+    arrow_rows(captures.sparkSession, 256)
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").select("key", "page_id", "file", "offset", "length")
 
@@ -163,50 +163,47 @@ class Index:
             self.held = (i, [json.loads(x) for x in gzip.decompress(self.file.read_at(length, offset)).decode().split("\n")])
         return self.held[1]
 
-    def find(self, key: str) -> Iterator[list]:
-        """All captures of key, in order. Equal keys may run over several blocks, the first of which may begin below key."""
+    def holding(self, key: str) -> Iterator[int]:
+        """The blocks that may hold captures of key. Equal keys may run over several blocks, the first of which may begin below key."""
         i = bisect_right(self.firsts, key) - 1
         while i > 0 and self.firsts[i] == key:
             i -= 1
         for i in range(max(i, 0), len(self.firsts)):
             if self.firsts[i] > key:
                 return
-            lines = self.block(i)
-            at = bisect_right([x[0] for x in lines], key)
-            lo = at
-            while lo and lines[lo - 1][0] == key:
-                lo -= 1
-            yield from lines[lo:at]
+            yield i
+
+    def find(self, key: str, i: int) -> list[list]:
+        """The captures of key in block i, in order."""
+        lines = self.block(i)
+        lo, hi = (side([x[0] for x in lines], key) for side in (bisect_left, bisect_right))
+        return lines[lo:hi]
 
 
 def look_up(keys: DataFrame, parts: DataFrame) -> DataFrame:
     """Captures and records of keys (key; one row each) from the index whose parts are given, as ``write_index`` returns them.
 
     The list of parts (a row each, with the part's first key) is small: as many as the tasks that wrote the index; it is
-    refused beyond 100,000. Keys are sorted over tasks, so each task opens a few parts, and reads each block once; records are read by
+    refused beyond 100,000. Keys are sorted over tasks, which search the directories; the pairs of key and block that they find are then
+    dealt to tasks anew, so that the captures of a hot key (at most LINES to a pair) are read by many. Records are read by
     range from the archives. Returns key, page_id, record_type, refers_to, payload, payload_digest (of what was
-    read for a response, from its header for a revisit).
+    read for a response, from its header for a revisit). Keys without a capture give no row, repeated keys count once.
     """
     spark = keys.sparkSession
     rows = parts.orderBy("part").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("more than 100,000 index parts")
     names, firsts = [r["part"] for r in rows], [r["first"] for r in rows]
-    arrow_rows(spark, 1024)
+    arrow_rows(spark, 256)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = keys.select("key").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
     types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
     fields = ["key", "page_id", "record_type", "refers_to", "payload", "payload_digest"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, Index] = {}
-        archives: dict[str, pa.NativeFile] = {}
-        got, held = [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), types)], names=fields)
-
         for b in batches:
+            got = []
             for key in b.column(0).to_pylist():
                 at = bisect_right(firsts, key) - 1
                 while at > 0 and firsts[at] == key:
@@ -218,26 +215,43 @@ def look_up(keys: DataFrame, parts: DataFrame) -> DataFrame:
                         for old in [k for k in opened if k < i - 1]:
                             del opened[old]
                         opened[i] = Index(names[i])
-                    for _, page_id, file, offset, length in opened[i].find(key):
-                        if file not in archives:
-                            if len(archives) >= 64:
-                                archives.pop(next(iter(archives))).close()
-                            fs, path = open_file(file)
-                            archives[file] = fs.open_input_file(path)
-                        headers, payload = parse(archives[file].read_at(length, offset))
-                        revisit = headers["WARC-Type"] == "revisit"
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not revisit and digest32(payload) != digest:
-                            raise ValueError(f"page {page_id}: the payload doesn't have its digest")
-                        got.append((key, page_id, "revisit" if revisit else "response", int(headers["WARC-Refers-To-Page-ID"]) if revisit else None, None if revisit else payload, digest))
-                        held += len(payload)
-                        if held > 4 << 20 or len(got) >= 1024:
-                            yield out()
-                            got, held = [], 0
+                    got += [(key, names[i], j) for j in opened[i].holding(key)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got) if got else [()] * 3, (pa.string(), pa.string(), pa.int32()))], names=["key", "part", "block"])
+
+    pairs = asked.mapInArrow(search, "key string, part string, block int").repartition(n, "part", "block").sortWithinPartitions("part", "block", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: tuple[str, Index | None] = ("", None)
+        archives: dict[str, pa.NativeFile] = {}
+        got, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), types)], names=fields)
+
+        for b in batches:
+            for key, part, block in zip(*(c.to_pylist() for c in b.columns)):
+                if index[0] != part:
+                    index = (part, Index(part))
+                for _, page_id, file, offset, length in index[1].find(key, block):
+                    if file not in archives:
+                        if len(archives) >= 64:
+                            archives.pop(next(iter(archives))).close()
+                        fs, path = open_file(file)
+                        archives[file] = fs.open_input_file(path)
+                    headers, payload = parse(archives[file].read_at(length, offset))
+                    revisit = headers["WARC-Type"] == "revisit"
+                    digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if not revisit and digest32(payload) != digest:
+                        raise ValueError(f"page {page_id}: the payload doesn't have its digest")
+                    got.append((key, page_id, "revisit" if revisit else "response", int(headers["WARC-Refers-To-Page-ID"]) if revisit else None, None if revisit else payload, digest))
+                    held += len(payload)
+                    if held > 4 << 20 or len(got) >= 1024:
+                        yield out()
+                        got, held = [], 0
         if got:
             yield out()
 
-    return asked.mapInArrow(run, "key string, page_id long, record_type string, refers_to long, payload binary, payload_digest string")
+    return pairs.mapInArrow(run, "key string, page_id long, record_type string, refers_to long, payload binary, payload_digest string")
 
 
 def store(pages: DataFrame, root: str | None = None, min_revisit_bytes: int = 0) -> tuple[DataFrame, str]:

@@ -16,6 +16,10 @@ ODD = [(1, None, "en", "a", None), (2, "", "en", None, 0), (3, LONG, None, "a",
 PATH = P.path(RANKS)
 
 
+# Names that the operators use inside.
+CLASHES = "_h fp _gone gone id c0 c1 k0 _sha0 _sha sha drop digest t locator part n node label data bits tiles low component_id _u _w _k _b _place _wid size source_size target copies taken _copy _c0 lang_pred score bits_per_byte _text _row ids n_tokens decoded kept keep_id group_size".split()
+
+
 def docs(spark, rows=ODD):
     return spark.createDataFrame(rows, SCHEMA)
 
@@ -166,6 +170,14 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     assert got == {"x": (3, "f2", 2), "y": (2, "f1", 1)}
 
 
+def test_exact_dedup_decides_a_later_arrival_beside_the_earlier_ones(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = exact_dedup.resolve(docs(spark, [(1, "a", None, None, 1), (9, "B", None, None, 1), (2, None, None, None, 1)]), state)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in first.collect()} == {1: (1, 1), 9: (9, 1), 2: (2, 1)}
+    later = exact_dedup.resolve(docs(spark, [(3, "A", None, None, 1), (4, "b", None, None, 1), (5, "c", None, None, 1), (5, "c", None, None, 1)]), state).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in later) == [(3, 3, 2, True), (4, 9, 2, False), (5, 5, 2, True), (5, 5, 2, True)]
+
+
 def test_exact_dedup_checks_bytes(spark, monkeypatch):
     real = F.sha2
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(real(c, n), 1, 0))  # every digest collides
@@ -182,6 +194,13 @@ def test_lower_ascii(spark):
     assert got == [t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for t in rows]
 
 
+def test_mix_deals_any_weights_evenly(spark):
+    for w in (1.0, 2.0, 20_000.0, 1e-6):
+        d = spark.range(4000).select(F.col("id").alias("doc_id"))
+        b = d.select(F.floor(F.log2(-F.log(mixing.uniform(F.col("doc_id"), 0)) / w) * mixing.RANGES).alias("b")).groupBy("b").count()
+        assert b.agg(F.max("count")).first()[0] < 50
+
+
 def test_mix(spark):
     got = mixing.mix(docs(spark).withColumn("target", F.lit("clash"))).collect()
     assert len(got) == len(ODD) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
@@ -204,6 +223,15 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_lookup_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LINES", 16)
+    pages = spark.createDataFrame([(i, "http://hot.example.org/" if i % 3 else None, f"<p>{i}</p>") for i in range(600)], "page_id long, url string, html string")
+    parts, _ = warc.store(pages)
+    got = warc.look_up(spark.createDataFrame([(warc.surt("http://hot.example.org/"),), (")/",), (")/",)], "key string"), parts)
+    assert sorted(r["page_id"] for r in got.collect()) == list(range(600))
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_warc_lookup(spark):
     rows = [(i, f"http://h{i % 7}.example.org/{i % 50}", f"<p>{i}</p>") for i in range(3000)]
     parts, _ = warc.store(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -235,7 +263,16 @@ def test_shards(spark):
         after = store.compact()
         assert after.version >= before.version
     assert store.read().count() == 10 * len(ODD) and len(store.manifest().runs) < 9
+    store.vacuum()
+    assert len(store.versions()) == 2
     assert store.read().exceptAll(docs(spark)).count() == 9 * len(ODD)
+    wide = sharding.ShardStore(spark, shared_dir(spark, "t"), base_bytes=1000, target_bytes=100_000, fan_in=3)
+    rows = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(60)
+    wide.append(rows)
+    before = wide.manifest().runs[0]
+    assert before.bytes > 300_000 and wide.due([before]) == [before]  # larger than any tier, but of small files
+    after = wide.compact()
+    assert all(r.bytes / len(r.files) >= 50_000 for r in after.runs) and wide.read().count() == 20_000
     now = store.manifest()
     store.commit(now.runs, now)
     with pytest.raises(RuntimeError):
@@ -256,8 +293,9 @@ def test_bpe(spark):
 
 def test_stages_on_odd_and_empty_tables(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
-        got = stage(spark, docs(spark).withColumn("_h", F.lit(1)).withColumn("fp", F.lit("clash")), sf)
-        got.count()
+        odd = docs(spark).withColumns({c: F.lit(c) for c in CLASHES})
+        got = stage(spark, odd, sf)
+        rows = got.collect()
         if name != "bpe":
-            assert got.columns == [*docs(spark).columns, "_h", "fp"]
+            assert got.columns == odd.columns and all(r[c] == c for r in rows for c in CLASHES)
         assert stage(spark, empty(spark), sf).count() == 0
