@@ -34,8 +34,8 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Parts in which the rows of one digest are compared, so that a hot one doesn't meet in one task.
-PARTS = 16
+#: Parts to which the rows of one digest are dealt, so that a hot one doesn't meet in one task; those of up to SMALL rows are compared in one.
+PARTS, SMALL = 16, 1_000
 
 
 def arrive(docs: DataFrame, state: str) -> str:
@@ -44,7 +44,7 @@ def arrive(docs: DataFrame, state: str) -> str:
     text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     rows = rows.select("doc_id", "t", F.sha2("t", 256).alias("digest"), F.concat(F.lit(f"{name}#"), F.monotonically_increasing_id().cast("string")).alias("locator"))
-    rows.write.parquet(f"{state}/content/{name}")
+    rows.write.option("compression", "zstd").parquet(f"{state}/content/{name}")
     return f"{state}/content/{name}"
 
 
@@ -94,10 +94,12 @@ def resolve(docs: DataFrame, state: str | None = None) -> DataFrame:
     schema = "doc_id long, t string, digest string, locator string"
     now, _ = written(latest(spark, stream_state(spark, f"{state}/content/*", state)), "dedup-latest")
 
-    hits = now.filter("group_size > 1").select("digest", F.col("locator").alias("kept"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    parts = F.when(F.col("group_size") > SMALL, PARTS).otherwise(1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    hits = now.filter("group_size > 1").select("digest", F.col("locator").alias("kept"), parts.alias("parts"), every(F.lit(PARTS)).alias("part"))
     content = spark.read.schema(schema).parquet(f"{state}/content/*").withColumn("part", F.pmod(F.xxhash64("locator"), F.lit(PARTS)).cast("int"))
-    whole, whole_path = written(content.join(hits, ["digest", "part"]), "dedup-hits")
-    stays = whole.filter(F.col("locator") == F.col("kept")).select("digest", F.col("t").alias("kept_t"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    whole, whole_path = written(content.join(hits, ["digest", "part"]).withColumn("part", F.col("part") % F.col("parts")), "dedup-hits")
+    stays = whole.filter(F.col("locator") == F.col("kept")).select("digest", F.col("t").alias("kept_t"), every(F.col("parts")).alias("part"))
     differ, _ = written(whole.join(stays, ["digest", "part"]).filter(F.col("t") != F.col("kept_t")).select("digest", "doc_id", "t", "locator"), "dedup-differ")
     sizes = differ.groupBy("digest", "t").agg(F.max("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
     own, _ = written(differ.join(sizes, ["digest", "t"]).select("locator", "digest", "own_keep", "own_size"), "dedup-apart")
