@@ -200,3 +200,26 @@ def test_stages_against_brute_force(spark, sf):
 def test_pipeline_runs_through(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.filter(~F.col("round_trip")).isEmpty() and out.count() > 100
+
+
+def test_pipeline_is_that_of_brute_force(spark, duck, sf):
+    """The whole chain: equal texts, similar texts, the mix by SQL over what is left, and the library's ids."""
+    rows = documents(spark, sf)
+    groups = defaultdict(list)
+    for r in rows:
+        if re.search(r"[^\W\d_]", r["text"] or ""):
+            groups[r["text"].translate(LOWER)].append(r)
+    rows = [max(v, key=lambda r: r["doc_id"]) for v in groups.values()]
+    sets = [set(zip(*[t[i:] for i in range(min(5, len(t)))])) for t in (r["text"].translate(LOWER).split() for r in rows)]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    left = smallest(pairs, [r["doc_id"] for r in rows])
+    duck.sql(f"create or replace temp view kept_docs as select * from documents where doc_id in ({', '.join(map(str, left))})")
+    copies = dict(duck.sql("with " + queries._MIX_OF.format(docs="kept_docs") + " select doc_id, copies from m").fetchall())
+    enc = bpe.encoding(public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+    want = []
+    for r in rows:
+        if r["doc_id"] in left:
+            ids = np.array(enc.encode_ordinary(r["text"]), dtype="<u4")
+            want += [(r["doc_id"], r["source"], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), True)] * copies[r["doc_id"]]
+    got = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "source", "n_tokens", "ids_sha256", "round_trip").collect()]
+    assert plain(got) == plain(want) and len(want) > 100
