@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.functions.text import iso_date, month_number, nfkc, norm, norm_id, norm_value
+from inkmark.functions.text import iso_of, month_number, nfkc, norm, norm_id, value_of
 
 REQUIRED = ("docType", "issuer", "holder", "idNumber", "issuedOn")
 TAG, LOOKUP_TAG = "inkmark:content:v1\n", "inkmark:lookup:v1\n"
@@ -19,15 +19,20 @@ def canonical_records(records: DataFrame, unicode_form: bool = False) -> DataFra
     """
     form = nfkc if unicode_form else (lambda c: c)
     rest = [c for c in records.columns if c not in (*REQUIRED, "payload")]
-    clean = {c: form(F.col(c).cast("string")) for c in REQUIRED}
-    blank = lambda c: c.isNull() | (norm(c) == "")
-    missing = F.array_compact(F.array(*[F.when(blank(clean[c]) | ((norm_id(clean[c]) == "") if c == "idNumber" else F.lit(False)), F.lit(c)) for c in REQUIRED]))
-    bad_date = F.when((F.size(missing) == 0) & iso_date(clean["issuedOn"]).isNull(), F.array(F.lit("issuedOn"))).otherwise(F.array().cast("array<string>"))
-    pairs = F.filter(F.map_entries(F.coalesce("payload", F.create_map().cast("map<string,string>"))), lambda e: (norm(e["key"]) != "") & ~blank(e["value"]))
-    named = F.transform(pairs, lambda e: F.struct(F.lower(norm(e["key"])).alias("key"), norm_value(e["value"]).alias("value")))
+    own = next(x for x in ("_" * i for i in range(1, 99)) if not any(c.startswith(x) for c in rest))
+    n = {c: F.col(f"{own}{c}") for c in (*REQUIRED, "payload", "issued")}
+    # Normalised texts are columns first, as everything below reads them several times.
+    entries = F.map_entries(F.coalesce("payload", F.create_map().cast("map<string,string>")))
+    pairs = F.transform(entries, lambda e: F.struct(F.lower(norm(e["key"])).alias("key"), norm(e["value"]).alias("value")))
+    r = records.select(*rest, *[(norm_id if c == "idNumber" else norm)(form(F.col(c).cast("string"))).alias(f"{own}{c}") for c in REQUIRED], pairs.alias(f"{own}payload"))
+    filled = F.filter(n["payload"], lambda e: (e["key"] != "") & (F.coalesce(e["value"], F.lit("")) != ""))
+    named = F.transform(filled, lambda e: F.struct(e["key"].alias("key"), value_of(e["value"]).alias("value")))
+    r = r.withColumn(f"{own}payload", named).withColumn(f"{own}issued", iso_of(n["issuedOn"]))
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(n[c], F.lit("")) == "", F.lit(c)) for c in REQUIRED]))
+    bad_date = F.when((F.size(missing) == 0) & n["issued"].isNull(), F.array(F.lit("issuedOn"))).otherwise(F.array().cast("array<string>"))
     # The last of two keys that become equal wins.
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["key"] == e["key"])) if unicode_form else named
-    out = records.select(*rest, norm(clean["docType"]).alias("docType"), norm(clean["issuer"]).alias("issuer"), norm(clean["holder"]).alias("holder"), norm_id(clean["idNumber"]).alias("idNumber"), iso_date(clean["issuedOn"]).alias("issuedOn"), F.map_from_entries(F.array_sort(last)).alias("payload"), F.concat(missing, bad_date).alias("problems"))
+    last = F.filter(n["payload"], lambda e, i: ~F.exists(F.slice(n["payload"], i + 2, F.size(n["payload"])), lambda o: o["key"] == e["key"])) if unicode_form else n["payload"]
+    out = r.select(*rest, *[n[c].alias(c) for c in REQUIRED[:-1]], n["issued"].alias("issuedOn"), F.map_from_entries(F.array_sort(last)).alias("payload"), F.concat(missing, bad_date).alias("problems"))
     return out.withColumn("payload", F.when(F.size("problems") == 0, F.col("payload")))
 
 
