@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, discard, written
@@ -449,6 +449,21 @@ def _named(prints: DataFrame, apart: DataFrame, edges: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Groups to which the edges of one node are dealt.
+SALTS = 16
+
+
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with m, the smallest v of their u; and (u, m), a row for each group of edges of u.
+
+    A node that a third of all edges hang on comes in SALTS groups, each known by its smallest v before rows meet; both
+    sides of the join are then dealt anew, so that Spark can split a group that is still large.
+    """
+    edges = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    low = edges.groupBy("u", "salt").agg(F.min("v").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return edges.join(low, ["u", "salt"]), low.select("u", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component, by alternating large-star and small-star steps.
 
@@ -466,11 +481,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     while not done():
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(ways.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        near, _ = _least(ways)
+        large = tidy(near.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
         large, large_path = written(large, "components")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        near, low = _least(large)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small, small_path = written(tidy(small), "components")
         discard(spark, path, large_path)
         now, path = small, small_path
