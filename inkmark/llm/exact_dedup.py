@@ -105,17 +105,21 @@ def resolve(docs: DataFrame, state: str | None = None) -> DataFrame:
     own, _ = written(differ.join(sizes, ["digest", "t"]).select("locator", "digest", "own_keep", "own_size"), "dedup-apart")
     discard(spark, whole_path)
 
-    lost = own.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-    now = now.join(lost, "digest", "left").select("digest", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size"))
-    out = spark.read.schema(schema).parquet(path).select("doc_id", "digest", "locator").join(now, "digest").join(own.drop("digest"), "locator", "left")
-    keep = F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("own_size", "group_size").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
+    # The rows meet the state as it is stored, so that Spark can split a hot digest.
+    out = spark.read.schema(schema).parquet(path).select("doc_id", "digest", "locator").join(now.select("digest", "keep_id", "group_size"), "digest")
+    keep, size = F.col("keep_id"), F.col("group_size")
+    if not own.isEmpty():
+        lost = own.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
+        out = out.join(own.drop("digest"), "locator", "left").join(lost, "digest", "left")
+        keep = F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(keep)
+        size = F.coalesce("own_size", size - F.coalesce("lost", F.lit(0)))
+    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def apply_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows that ``resolve`` drops; rows that repeat a kept doc_id and text all stay. Columns are kept whatever their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    dropped = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("drop"), F.col("text_sha256").alias("sha")).distinct()
+    dropped = resolve(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("drop"), F.col("text_sha256").alias("sha"))
     own = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("doc_id").cast("long").alias("id"))
     digest = F.sha2(lower_ascii(F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit(""))), 256)
     # The join is on the id alone, so that only rows with an id that is dropped are hashed again.
