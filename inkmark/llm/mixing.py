@@ -59,16 +59,23 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, c
     text, doc_id, source = (F.col(names[kept.index(c)]) for c in ("text", "doc_id", "source"))
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)])
     d = d.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "source": source, "_u": uniform(doc_id, seed)})
+    range_of = lambda w: F.floor(F.log2(-F.log("_u") / w) * RANGES).cast("int")
+    light = heavy = 1.0
     if weights is not None:
         w = weights.groupBy(F.col("doc_id").alias("_wid")).agg(F.avg("weight").alias("_w"))
-        d = d.join(w, doc_id == F.col("_wid"), "left").drop("_wid").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
-    else:
-        d = d.withColumn("_w", F.lit(1.0))
-    d = d.withColumn("_k", -F.log("_u") / F.col("_w")).withColumn("_b", F.floor(F.log2("_k") * RANGES).cast("int"))
-    d = d.withColumn("_place", F.struct(F.col("_k").alias("k"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("id"), F.col("size").alias("n"))).drop("_u", "_w", "_k")
+        light, heavy = w.agg(F.least(F.min("_w"), F.lit(1.0)), F.greatest(F.max("_w"), F.lit(1.0))).first()
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        if weights is None:
+            rows = rows.withColumn("_w", F.lit(1.0))
+        else:
+            rows = rows.join(w, doc_id == F.col("_wid"), "left").drop("_wid").withColumn("_w", F.coalesce("_w", F.lit(1.0)))
+        rows = rows.withColumn("_b", range_of(F.col("_w")))
+        place = F.struct((-F.log("_u") / F.col("_w")).alias("k"), F.coalesce(doc_id.cast("long"), F.lit(-(2**63))).alias("id"), F.col("size").alias("n"))
+        return rows.withColumn("_place", place).drop("_w")
 
     # Sums per source and key range come first, so no task sees a hot source's documents together.
-    slim, _ = written(d.select("source", "size", "_b", "_place"), "mix-keys")
+    slim, _ = written(keyed(d).select("source", "size", "_b", "_place"), "mix-keys")
     sums = slim.groupBy("source", "_b").agg(F.sum("size").alias("n"))
     sums, _ = written(sums, "mix-sums")
     goal = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, cap)
@@ -88,9 +95,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.5, c
     plan = goal.join(edge.select("_esrc", "_eb"), F.col("_gsrc").eqNullSafe(F.col("_esrc")), "left").join(last, F.col("_gsrc").eqNullSafe(F.col("_lsrc")), "left")
     plan, _ = written(plan.select("_gsrc", "source_size", "target", "epochs", "_eb", "_last"), "mix-plan")
 
+    # Most documents are taken or left whatever their weight is, so only the others' texts move to meet their weights.
     j = d.join(plan, F.col("source").eqNullSafe(F.col("_gsrc")))
+    taken = F.coalesce(range_of(F.lit(light)) < F.col("_eb"), F.lit(False))
+    left = F.coalesce(F.col("_eb").isNull() | (range_of(F.lit(heavy)) > F.col("_eb")), F.lit(False))
     chosen = (F.col("_b") < F.col("_eb")) | ((F.col("_b") == F.col("_eb")) & (F.col("_place") <= F.col("_last")))
-    copies = F.col("epochs") + F.when(chosen, 1).otherwise(0)
+    out = [*names, "size", "source_size", "target", "epochs"]
+    sure = j.filter(taken | left).select(*out, taken.cast("int").alias("_more"))
+    rest = keyed(j.filter(~(taken | left))).select(*out, F.when(chosen, 1).otherwise(0).alias("_more"))
+    j = sure.unionByName(rest)
+    copies = F.col("epochs") + F.col("_more")
     return j.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
