@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, mixing, pii, sharding, simhash, topk, warc
-from .common import shared_dir, table
+from . import bpe, clustering, exact_dedup, html_extract, langid, merkle, mixing, pii, sharding, simhash, topk, url_filter, warc
+from .common import shared_dir, table, written
 
 #: The key of the pseudonyms. In production it comes from a secret store; this one is for the queries and tests.
 PSEUDONYM_KEY = "inkmark-demonstration-key"
@@ -84,8 +84,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A witness of every document; of those that 7 divides (by crc32 of doc_id) one character more is claimed than there is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    forged = F.when(tampered, merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text")))
+    m = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], tree="lang", order="doc_id", forged=forged)
+    m = m.withColumn("folded_root", merkle.folded(F.coalesce("forged", "leaf"), F.col("path")))
+    return m.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, clusters = clustering.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, seed=2, width=64)
+    clusters, _ = written(clusters.select("cluster", "cluster_inertia", clustering.centroid_digest(F.col("centroid")).alias("centroid_sha256")), "cluster-digests")
+    inertia = clusters.agg(F.sum("cluster_inertia")).first()[0]
+    # One row a cluster: 40 at most.
+    return vectors.join(F.broadcast(clusters), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(inertia).cast("long").alias("inertia"), "centroid_sha256")
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label is that of the document of the same number: bad if its quality is 0 or it is toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_language, op3_maxscore, op4_simhash, op5_exact_dedup, op6_mixing, op7_warc, op8_main_text, op9_compaction, op10_bpe)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_language, op3_maxscore, op4_simhash, op5_exact_dedup, op6_mixing, op7_warc, op8_main_text, op9_compaction, op10_bpe, op11_merkle, op12_clusters, op13_url_filter)}
 
 
 _TOPK = """
@@ -140,6 +168,38 @@ with t as (select page_id, url, array_to_string(list_filter(list_transform(strin
 select page_id, url, text, length(text)::bigint as n_chars from t
 """
 
+# Bit by bit: the polynomial of CRC-32, over the eight bits of each character of a decimal number.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, range(0, 8 * len({0}))), lambda c, i: xor(case when i % 8 = 0 then xor(c, ascii({0}[i // 8 + 1])) else c end >> 1, (case when i % 8 = 0 then xor(c, ascii({0}[i // 8 + 1])) else c end & 1) * 3988292384)), 4294967295)"
+_FRAMED = "case when {0} is null then '-' else octet_length(encode(({0})::varchar)) || ':' || ({0})::varchar end"
+_LEAF = "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_LEVELS = """{0}(lvl, tree, idx, h, n) as (select 0, tree, idx, h, n from {1} union all
+   select lvl + 1, tree, idx // 2, sha256(h || coalesce(nxt, '')), (n + 1) // 2 from (select *, lead(h) over (partition by tree order by idx) as nxt from {0} where n > 1) where idx % 2 = 0)"""
+_STEPS = "select a.{2}, {3} as stage, l.lvl, case when s.h is null then 'N' when (a.idx >> l.lvl) % 2 = 1 then 'L' || s.h else 'R' || s.h end as step from {1} a join (select distinct tree, lvl from {0} where n > 1) l using (tree) left join {0} s on s.tree = a.tree and s.lvl = l.lvl and s.idx = xor(a.idx >> l.lvl, 1)"
+_MERKLE = f"""
+with recursive d as (select doc_id, coalesce('=' || lang, '-') as tree, {_LEAF.format("n_chars")} as h, case when {_CRC32.format("(doc_id::varchar)")} % 7 = 0 then {_LEAF.format("n_chars + 1")} end as forged from documents),
+b as (select doc_id, tree, row_number() over (partition by tree order by doc_id) - 1 as idx, h, forged, count(*) over (partition by tree) as n from d), {_LEVELS.format("t", "b")},
+r as (select tree, h as subroot from t where n = 1),
+rb as (select tree as own, '' as tree, row_number() over (order by tree) - 1 as idx, subroot as h, count(*) over () as n from r), {_LEVELS.format("u", "rb")},
+low as ({_STEPS.format("t", "b", "doc_id", 0)}), high as ({_STEPS.format("u", "rb", "own", 1)}),
+p as (select doc_id, list(step order by stage, lvl) as steps from (select * from low union all select b.doc_id, stage, lvl, step from high join b on b.tree = high.own) group by doc_id),
+f as (select b.doc_id, b.h as leaf, r.subroot, (select h from u where n = 1) as root, coalesce(steps, []) as steps, coalesce(forged, b.h) as begin from b join r using (tree) left join p using (doc_id)),
+g as (select *, list_reduce(list_prepend(begin, steps), lambda h, s: sha256(case s[1] when 'L' then s[2:] || h when 'R' then h || s[2:] else h end)) as folded_root from f)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) as proof_sha256, folded_root, folded_root = root as verified from g
+"""
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    parts = [f"""v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 256) as bigint)) as w from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 as c, w from v qualify c < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select v.vec_id, min({{'d': list_sum(list_transform(list_zip(v.w, x.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, 'c': x.c}}) as m from v, c{i} x group by v.vec_id)")
+        if i < rounds:
+            mean = f"(select c, list((s - ((s % n) + n) % n) // n order by i) as w from (select a.m.c as c, i, sum(v.w[i])::bigint as s, count(*) as n from a{i} a join v using (vec_id), range(1, 65) t(i) group by 1, 2) group by c)"
+            parts.append(f"c{i + 1} as materialized (select x.c, coalesce(y.w, x.w) as w from c{i} x left join {mean} y on y.c = x.c)")
+    return f"""with {", ".join(parts)}
+ select vec_id, m.c::int as cluster, m.d as distance, sum(m.d) over (partition by m.c)::bigint as cluster_inertia, sum(m.d) over ()::bigint as inertia, sha256(array_to_string(x.w, ',')) as centroid_sha256 from a{rounds} a join c{rounds} x on x.c = a.m.c"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -149,4 +209,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": _WARC,
         "op8_main_text": _MAIN_TEXT,
         "op9_compaction": _SHARDS,
+        "op11_merkle": _MERKLE,
+        "op12_clusters": _clusters_sql(40, 5),
     }
