@@ -181,3 +181,9 @@ def test_inner_names_are_free(spark):
     got = pii.pseudonymise(df, KEY)
     r = got.first()
     assert got.columns == df.columns and r["n_private"] == 1 and all(r[c] == c for c in ("_f", "_k", "_new", "found", "kinds", "new", "c0", "c1"))
+
+
+def test_an_iban_with_letters_only_is_found_wherever_it_stands(spark):
+    rows = [(1, "pay GB71ABCDEFGHIJKLMNOP"), (2, "pay GB71ABCDEFGHIJKLMNOP ref 123")]
+    got = {r["doc_id"]: (r["text"], r["n_private"]) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1][1] == got[2][1] == 1 and got[2][0] == got[1][0] + " ref 123" and "ABCDEFGHIJKLMNOP" not in got[1][0]
