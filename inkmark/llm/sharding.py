@@ -8,7 +8,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,17 @@ class Run:
     folder: str
     files: list[str]
     bytes: int
+    schema: str  # of its files, as JSON
+
+
+def united(schemas: list[StructType]) -> StructType:
+    """All columns, in the order in which they first came; raises where two differ in type, or in the case of their name alone."""
+    fields: dict[str, StructField] = {}
+    for f in (f for s in schemas for f in s.fields):
+        first = fields.setdefault(f.name.lower(), StructField(f.name, f.dataType, True))
+        if (first.name, first.dataType) != (f.name, f.dataType):
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()} clashes with {first.name} {first.dataType.simpleString()}")
+    return StructType(list(fields.values()))
 
 
 @dataclass(frozen=True)
@@ -29,6 +40,10 @@ class Manifest:
     def files(self) -> list[str]:
         return [f"{r.folder}/{f}" for r in self.runs for f in r.files]
 
+    @property
+    def schema(self) -> StructType:
+        return united([StructType.fromJson(json.loads(r.schema)) for r in self.runs])
+
 
 class ShardStore:
     """A table of immutable Parquet shards.
@@ -41,7 +56,9 @@ class ShardStore:
     last keep_versions versions names them, so a reader has that many commits to finish.
 
     Rows come back as they were appended: nulls, empty and long texts, ties and repeated rows alike; column names are the user's own but for the
-    arrival column, which isn't stored. An empty table adds no run; a store without runs reads as None.
+    arrival column, which isn't stored. An empty table adds no run; a store without runs reads as None. Arrivals may differ in columns: the manifest
+    knows each run's, reads and merges have those of all, and rows of a run without one have null there. An arrival with a column of another type
+    than the store's is refused before anything is written.
     """
 
     def __init__(self, spark: SparkSession, root: str, base_bytes: int = 16 << 20, target_bytes: int = 256 << 20, fan_in: int = 4, keep_versions: int = 2, codec: str = "zstd"):
@@ -87,24 +104,34 @@ class ShardStore:
 
     # Shards ----------------------------------------------------------------------------------------------------
 
-    def _run(self, folder: str) -> Run | None:
+    def _run(self, folder: str, schema: StructType) -> Run | None:
         there = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet") and s.getLen()]
         files = sorted((s.getPath().getName(), s.getLen()) for s in there)
-        return Run(folder, [f for f, _ in files], sum(n for _, n in files)) if files else None
+        return Run(folder, [f for f, _ in files], sum(n for _, n in files), schema.json()) if files else None
+
+    def _publish(self, runs: list[Run], on: Manifest, folder: str) -> Manifest:
+        """Commit runs; what was written for a commit that another writer has forestalled goes."""
+        try:
+            return self.commit(runs, on)
+        except RuntimeError:
+            self._fs.delete(self._path(folder), True)
+            raise
 
     def append(self, df: DataFrame, arrival: str | None = None) -> Manifest:
         """Add df as new shards. With the name of an arrival column, each of its values is a run and a commit."""
         folder = f"{self.root}/shards/{uuid.uuid4().hex[:12]}"
         writer = df.write.option("compression", self.codec)
         m = self.manifest()
+        schema = StructType([StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != arrival])
+        united([m.schema, schema])
         if arrival is None:
             writer.parquet(folder)
-            run = self._run(folder)
-            return self.commit([*m.runs, run], m) if run else m
+            run = self._run(folder, schema)
+            return self._publish([*m.runs, run], m, folder) if run else m
         writer.partitionBy(arrival).parquet(folder)
         parts = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory())
         for part in parts:
-            if run := self._run(f"{folder}/{part}"):
+            if run := self._run(f"{folder}/{part}", schema):
                 m = self.compact(self.commit([*m.runs, run], m))
         return m
 
@@ -131,9 +158,9 @@ class ShardStore:
         while old := self.due(m.runs):
             folder = f"{self.root}/shards/{uuid.uuid4().hex[:12]}"
             n = max(1, int(sum(r.bytes for r in old) / self.target_bytes))
-            merged = self.spark.read.parquet(*[f"{r.folder}/{f}" for r in old for f in r.files])
-            merged.coalesce(n).write.option("compression", self.codec).parquet(folder)
-            m = self.commit([r for r in m.runs if r not in old] + [self._run(folder)], m)
+            part = Manifest(m.version, old)
+            self._read(part).coalesce(n).write.option("compression", self.codec).parquet(folder)
+            m = self._publish([r for r in m.runs if r not in old] + [self._run(folder, part.schema)], m, folder)
             self.vacuum()
         return m
 
@@ -149,5 +176,8 @@ class ShardStore:
             self._fs.delete(self._path(f"{self.root}/manifests/v{v:012d}.json"), False)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        files = self.manifest(version).files
-        return self.spark.read.parquet(*files) if files else None
+        m = self.manifest(version)
+        return self._read(m) if m.files else None
+
+    def _read(self, m: Manifest) -> DataFrame:
+        return self.spark.read.schema(m.schema).parquet(*m.files)
