@@ -178,6 +178,50 @@ def test_exact_dedup_decides_a_later_arrival_beside_the_earlier_ones(spark, tmp_
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in later) == [(3, 3, 2, True), (4, 9, 2, False), (5, 5, 2, True), (5, 5, 2, True)]
 
 
+def test_an_arrival_that_is_given_again_counts_once(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    plain = lambda df: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in df.collect())
+    a = docs(spark, [(1, "x", None, None, 1), (2, "X", None, None, 1), (3, "y", None, None, 1)])
+    b = docs(spark, [(4, "x", None, None, 1), (5, "z", None, None, 1)])
+    first = plain(exact_dedup.resolve(a, state, "day-1"))
+    assert first == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert plain(exact_dedup.resolve(a, state, "day-1")) == first
+    assert plain(exact_dedup.resolve(b, state, "day-2")) == [(4, 4, 3, True), (5, 5, 1, True)]
+    assert plain(exact_dedup.resolve(b, state, "day-2")) == [(4, 4, 3, True), (5, 5, 1, True)]
+    with pytest.raises(ValueError):
+        exact_dedup.resolve(b, state, "a/b")
+
+
+@pytest.mark.parametrize("lost", ["after the texts", "after the state"])
+def test_an_arrival_whose_job_was_lost_is_taken_up(spark, tmp_path, lost):
+    state = f"file://{tmp_path}/state"
+    a = docs(spark, [(1, "x", None, None, 1), (2, "X", None, None, 1)])
+    exact_dedup.arrive(a, state, "day-1")
+    if lost == "after the state":
+        exact_dedup.stream_state(spark, f"{state}/content/*", state, "another")
+    got = exact_dedup.resolve(a, state, "day-1").collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(1, 2, 2), (2, 2, 2)]
+
+
+def test_a_later_arrival_reads_the_folders_of_its_hits_alone(spark, tmp_path):
+    import shutil
+
+    state = f"file://{tmp_path}/state"
+    for k, t in enumerate(["a", "b", "c"]):
+        exact_dedup.resolve(docs(spark, [(k, t, None, None, 1)]), state, f"n{k}").collect()
+    for k in (0, 2):
+        shutil.rmtree(tmp_path / "state/content" / f"n{k}")  # only the second is asked for
+    assert [tuple(r)[:3] for r in exact_dedup.resolve(docs(spark, [(0, "B", None, None, 1)]), state, "n9").collect()] == [(0, 1, 2)]
+
+
+def test_exact_dedup_checks_bytes_across_arrivals(spark, tmp_path, monkeypatch):
+    real, state = F.sha2, f"file://{tmp_path}/state"
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(real(c, n), 1, 0))  # every digest collides
+    exact_dedup.resolve(docs(spark, [(1, "a", None, None, 1), (5, "a", None, None, 1)]), state, "n1").collect()
+    got = exact_dedup.resolve(docs(spark, [(2, "b", None, None, 1), (3, "A", None, None, 1)]), state, "n2").collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == [(2, 2, 1), (3, 5, 3)]
+
+
 def test_exact_dedup_checks_bytes(spark, monkeypatch):
     real = F.sha2
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(real(c, n), 1, 0))  # every digest collides
@@ -279,6 +323,22 @@ def test_shards(spark):
         store.commit(now.runs, now)
 
 
+def test_arrivals_of_other_columns_keep_them(spark):
+    store = sharding.ShardStore(spark, shared_dir(spark, "t"), base_bytes=1 << 20, target_bytes=1 << 22, fan_in=2)
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    store.append(rows("doc_id long, text string", (1, "a")))
+    store.append(rows("text string, doc_id long, extra string", ("b", 2, "kept")))
+    want = [(1, "a", None), (2, "b", "kept")]
+    assert sorted(map(tuple, store.read().collect())) == want
+    assert len(store.compact().runs) == 1 and store.read().columns == ["doc_id", "text", "extra"]
+    assert sorted(map(tuple, store.read().collect())) == want
+    for clash in ("doc_id string", "Text string"):
+        with pytest.raises(ValueError):
+            store.append(rows(clash, ("x",)))
+    store.append(rows("doc_id long, extra string, day int", (3, "c", 7)), "day")
+    assert sorted(map(tuple, store.read().collect())) == [*want, (3, None, "c")]
+
+
 def test_bpe(spark):
     enc = bpe.encoding(PATH, P.PATTERN)
     texts = [None, "", LONG, "a" * 9000 + " b", " " * 9000, "word " * 900 + "x" * 5000 + " yy" * 900, "\n\n  " * 2000 + "don't", "é😀" * 3000, "<|endoftext|>"]

@@ -94,7 +94,7 @@ def test_templates_are_those_of_brute_force(spark, partitions):
     got = judged(spark, urls, labels, partitions)
     assert sorted(got, key=key) == sorted(brute(urls, labels), key=key)
     blocked = {u for (_, u), r in zip(sorted(urls), sorted(got)) if r[4] == "block"}
-    assert len(blocked) > 300 and all("/casino/" in u for u in blocked)
+    assert len(blocked) > 200 and all("/casino/" in u for u in blocked)
     assert sum("|" in r[5] for r in got) > 300  # branches were merged
 
 
