@@ -86,6 +86,16 @@ def replay_lifecycle(moves: DataFrame, key: str = "record_id", start: str = "PEN
     return out.select(key, "s.status", F.col("s.reason").alias("failure_reason"), "s.applied")
 
 
+def silences(changes: DataFrame, waits: tuple[tuple[str, int], ...], until: Column) -> DataFrame:
+    """changes (record_id, ts, seq, status) -> record_id, event, failure_reason, at: each wait (name, seconds) that a PENDING row outlasted before ``until``
+    without a later row of its record, by (ts, seq); a row exactly at the deadline is in time."""
+    later = F.lead("ts").over(Window.partitionBy("record_id").orderBy("ts", "seq"))
+    rows = changes.withColumn("_next", later).filter("status = 'PENDING'")
+    due = F.explode(F.array(*[F.struct(F.lit(n).alias("event"), (F.col("ts") + F.make_dt_interval(secs=F.lit(s))).alias("at")) for n, s in waits]))
+    out = rows.select("record_id", "_next", due.alias("d")).filter((F.col("_next").isNull() | (F.col("_next") > F.col("d.at"))) & (F.col("d.at") < until))
+    return out.select("record_id", "d.event", F.when(F.col("d.event") == "FAILED", "STUCK_PENDING").alias("failure_reason"), "d.at")
+
+
 def resolve_submissions(batch: DataFrame, records: DataFrame, stale_seconds: int = STALE_SECONDS) -> DataFrame:
     """batch (submission_id, sha256, content_hash, ts) against records (sha256, content_hash, status, updated_at) -> outcome.
 
@@ -151,10 +161,10 @@ def confirm_revocation(requests: DataFrame, records: DataFrame, receipts: DataFr
     return j.select("record_id", "state", F.when(moved, F.substring("_c_reason", 1, 500)).alias("reason"), F.when(moved, F.when(F.col("_e_tx") == F.col("tx"), F.col("_e_at")).otherwise(F.col("now"))).alias("revoked_at"))
 
 
-def ledger_drift(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """drift class and count: issued without a ledger row, revoked on one side only, ledger rows without a record, in step."""
+def drifted(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """record_id, content_hash, drift: issued without a ledger row, revoked on one side only, ledger rows without a record (record_id null), in step."""
     g = registry.select("content_hash", F.lit(True).alias("_there"), F.col("revoked").alias("_revoked"))
-    r = records.select("content_hash", "status")
+    r = records.select("record_id", "content_hash", "status")
     j = r.join(g, "content_hash", "full")
     there, revoked = F.coalesce("_there", F.lit(False)), F.coalesce("_revoked", F.lit(False))
     drift = (
@@ -165,7 +175,12 @@ def ledger_drift(records: DataFrame, registry: DataFrame) -> DataFrame:
         .when(~F.col("status").isin("ISSUED", "REVOKED") & there, "ahead_on_ledger")
         .otherwise("in_step")
     )
-    return j.groupBy(drift.alias("drift")).agg(F.count(F.lit(1)).alias("n"))
+    return j.select("record_id", "content_hash", drift.alias("drift"))
+
+
+def ledger_drift(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """How many records and ledger rows there are of each class of drift."""
+    return drifted(records, registry).groupBy("drift").agg(F.count(F.lit(1)).alias("n"))
 
 
 def apply_chain_reports(reports: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,12 +36,18 @@ def threshold_search(cases: DataFrame, grid: DataFrame) -> DataFrame:
     """
     c = cases.groupBy("kind", F.sort_array("cells", asc=False).alias("cells"), "region").agg(F.count(F.lit(1)).alias("n"))
     far = F.size(F.filter("cells", lambda x: x > F.col("cell_far")))
-    review = (far <= F.col("max_cells")) & ((far > 0) | (F.col("region") > F.col("region_far")))
-    hits = lambda kind: F.sum(F.when(review & (F.col("kind") == kind), F.col("n")).otherwise(0))
-    s = c.crossJoin(F.broadcast(grid)).groupBy("cell_far", "region_far", "max_cells").agg(hits("recapture").alias("false_review"), hits("swap").alias("caught"))
+    review = (F.col("far") <= F.col("max_cells")) & ((F.col("far") > 0) | (F.col("region") > F.col("region_far")))
+    j = c.crossJoin(F.broadcast(grid)).withColumn("far", far).withColumn("review", review)
+    hits = lambda kind: F.sum(F.when(F.col("review") & (F.col("kind") == kind), F.col("n")).otherwise(0))
+    s = j.groupBy("cell_far", "region_far", "max_cells").agg(hits("recapture").alias("false_review"), hits("swap").alias("caught"))
     return s.withColumn("rank", F.row_number().over(Window.orderBy("false_review", F.desc("caught"), F.desc("region_far"), F.desc("cell_far"), "max_cells")))
 
 
+def threshold_grid(spark: SparkSession, cell_far, region_far, max_cells) -> DataFrame:
+    """Every combination of the limits, in one partition."""
+    return spark.createDataFrame(list(product(cell_far, region_far, max_cells)), "cell_far int, region_far int, max_cells int").coalesce(1)
+
+
 def best_split(values: DataFrame, group: str, value: str, default: int = 128) -> DataFrame:
     """The threshold t that parts the integer values of each group (<= t, > t) with the greatest variance between the parts; the
     first of equals, and the default for a group of one value."""

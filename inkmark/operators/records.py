@@ -70,10 +70,14 @@ def typed_schema(spark, schemas: dict[str, dict[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "doc_schema string, field string, type string, required boolean")
 
 
-def typed_date(s: Column) -> Column:
+def date_parts(s: Column) -> Column:
+    """The three parts of a date: split at ``-/. ``, or eight digits cut after four and six."""
+    eight = F.array(F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))
+    return F.when(s.rlike(r"^\d{8}$"), eight).otherwise(F.split(s, "[-/. ]"))
+
+
+def typed_date(parts: Column) -> Column:
     """yyyy-MM-dd of year, month and day (or day, month or its name, and year; or eight digits), of which month and day are in range."""
-    eight = s.rlike(r"^\d{8}$")
-    parts = F.when(eight, F.array(F.substring(s, 1, 4), F.substring(s, 5, 2), F.substring(s, 7, 2))).otherwise(F.split(s, "[-/. ]"))
     first = F.length(parts[0]) == 4
     year, day = F.when(first, parts[0]).otherwise(F.get(parts, F.lit(2))), F.when(first, F.get(parts, F.lit(2))).otherwise(parts[0])
     middle = F.get(parts, F.lit(1))
@@ -82,14 +86,23 @@ def typed_date(s: Column) -> Column:
     return F.when(real, F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
 
 
-def typed_value(value: Column, kind: Column) -> Column:
-    """A value in the form of its type: text, alnum, numeric or date; null for a date that can't be read."""
+def typed_forms(value: Column) -> dict[str, Column]:
+    """What the types read of a value: ``base`` (zero-width characters left out, white space made one space, upper case) and ``alnum``."""
     base = F.upper(F.trim(F.regexp_replace(F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}]", ""), r"\s+", " ")))
-    kept = lambda c, what: F.regexp_replace(c, f"[^{what}]", "")
     bare = F.regexp_replace(value, r"[\x{200B}-\x{200D}\x{FEFF}\s\-/.]", "")
-    alnum = kept(F.upper(F.translate(bare, *CONFUSED)), "A-Z0-9")
+    return {"base": base, "alnum": F.regexp_replace(F.upper(F.translate(bare, *CONFUSED)), "[^A-Z0-9]", "")}
+
+
+def typed_of(base: Column, alnum: Column, parts: Column, kind: Column) -> Column:
+    """A value in the form of its type, from its ``typed_forms`` and ``date_parts``: text, alnum, numeric or date; null for a date that can't be read."""
+    kept = lambda c, what: F.regexp_replace(c, f"[^{what}]", "")
     text = F.trim(F.regexp_replace(kept(base, "A-Z0-9 "), " +", " "))
-    return F.when(kind == "alnum", alnum).when(kind == "numeric", kept(alnum, "0-9")).when(kind == "date", typed_date(base)).otherwise(text)
+    return F.when(kind == "alnum", alnum).when(kind == "numeric", kept(alnum, "0-9")).when(kind == "date", typed_date(parts)).otherwise(text)
+
+
+def typed_value(value: Column, kind: Column) -> Column:
+    forms = typed_forms(value)
+    return typed_of(forms["base"], forms["alnum"], date_parts(forms["base"]), kind)
 
 
 def typed_canonical_hash(fields: DataFrame, schema: DataFrame, min_confidence: float = 0.75) -> DataFrame:
@@ -100,9 +113,10 @@ def typed_canonical_hash(fields: DataFrame, schema: DataFrame, min_confidence: f
     """
     docs = fields.select("doc_id", "doc_schema").distinct()
     slots = docs.join(F.broadcast(schema), "doc_schema").join(fields.select("doc_id", "field", "value", "confidence"), ["doc_id", "field"], "left")
-    blank = F.col("value").isNull() | (F.trim(F.col("value")) == "")
-    typed = F.when(blank, "").otherwise(typed_value(F.col("value"), F.col("type")))
-    s = slots.withColumn("typed", typed)
+    # Columns of their own, one on the other, so that no part of the date is spelled out again where it is read.
+    s = slots.withColumn("blank", F.col("value").isNull() | (F.trim(F.col("value")) == "")).withColumns(typed_forms(F.col("value")))
+    s = s.withColumn("parts", date_parts(F.col("base"))).withColumn("typed", F.when(F.col("blank"), "").otherwise(typed_of(F.col("base"), F.col("alnum"), F.col("parts"), F.col("type"))))
+    blank = F.col("blank")
     text = F.coalesce("typed", F.lit(""))
     part = F.concat(F.length("field").cast("string"), F.lit(":"), F.col("field"), F.lit("="), F.length(text).cast("string"), F.lit(":"), text, F.lit(";"))
     names = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("field")))), ",")

@@ -31,37 +31,42 @@ def visual_advice(cells: DataFrame, regions: DataFrame, cell_far: int = CELL_FAR
 
 
 def verdicts(evidence: DataFrame) -> DataFrame:
-    """evidence -> verdict and confidence, one row a capture.
+    """evidence -> verdict, confidence, reason (a code) and reason_fields (the names that the reason is about, or empty), one row a capture.
 
-    Columns read: qr_state (null, UNREADABLE, ELSEWHERE, DIFFERENT, SAME), readable, registered, revoked, byte_match,
-    content_status (MATCH, MISMATCH, INCONCLUSIVE or null), content_confidence, advice (or null), distance (or null), far_cells.
-    A column that is missing counts as null.
+    Columns read: qr_state (null, UNREADABLE, ELSEWHERE, DIFFERENT, SAME), readable, bytes_only (a kind of file that only its bytes
+    can find), registered, revoked, byte_match, content_status (MATCH, MISMATCH, INCONCLUSIVE or null), content_confidence, changed,
+    advice (or null), unreliable_regions, distance (or null), far_cells. A column that is missing counts as null.
     """
-    c = {n: (F.col(n) if n in evidence.columns else F.lit(None)) for n in ("qr_state", "readable", "registered", "revoked", "byte_match", "content_status", "content_confidence", "advice", "distance", "far_cells")}
+    read = ("qr_state", "readable", "bytes_only", "registered", "revoked", "byte_match", "content_status", "content_confidence", "changed", "advice", "unreliable_regions", "distance", "far_cells")
+    c = {n: (F.col(n) if n in evidence.columns else F.lit(None)) for n in read}
     yes = lambda n: F.coalesce(c[n].cast("boolean"), F.lit(False))
     conf = F.coalesce(c["content_confidence"].cast("double"), F.lit(0.0))
-    out = lambda v, k: F.struct(F.lit(v).alias("verdict"), F.lit(k).alias("confidence"))
+    names = {n: F.coalesce(c[n].cast("string"), F.lit("")) for n in ("changed", "unreliable_regions")}
+    out = lambda v, k, why, about=None: F.struct(F.lit(v).alias("verdict"), F.lit(k).alias("confidence"), F.lit(why).alias("reason"), (names[about] if about else F.lit("")).alias("reason_fields"))
     visual = F.coalesce(c["distance"].isNotNull(), F.lit(False)) | c["advice"].isNotNull()
     v = (
-        F.when(c["qr_state"].isin("ELSEWHERE", "DIFFERENT"), out("QR_MISMATCH", "HIGH"))
-        .when(c["qr_state"] == "UNREADABLE", out("INCONCLUSIVE", "LOW"))
-        .when(~F.coalesce(c["readable"].cast("boolean"), F.lit(True)) & ~yes("byte_match"), out("INCONCLUSIVE", "LOW"))
-        .when(~yes("registered"), out("NOT_REGISTERED", "HIGH"))
-        .when(yes("revoked"), out("REVOKED", "HIGH"))
-        .when(yes("byte_match"), out("AUTHENTIC_ORIGINAL", "HIGH"))
-        .when(c["content_status"].isNull() | (c["content_status"] == "INCONCLUSIVE") | (conf < 0.8), out("INCONCLUSIVE", "LOW"))
-        .when((c["content_status"] == "MISMATCH") & (conf >= 0.9), out("TAMPERED_CONTENT", "HIGH"))
-        .when(c["content_status"] == "MISMATCH", out("TAMPERED_CONTENT", "MEDIUM"))
-        .when(~visual, out("INCONCLUSIVE", "LOW"))
-        .when(c["advice"] == "REVIEW", out("TAMPERED_VISUAL", "MEDIUM"))
-        .when(c["advice"] == "UNCLEAR", out("INCONCLUSIVE", "LOW"))
-        .when(c["advice"].isNotNull(), out("AUTHENTIC_COPY", "MEDIUM"))
-        .when((c["distance"] > 10) | (c["far_cells"] > 0), out("TAMPERED_VISUAL", "MEDIUM"))
-        .when(c["distance"] <= 5, out("AUTHENTIC_COPY", "HIGH"))
-        .otherwise(out("AUTHENTIC_COPY", "MEDIUM"))
+        F.when(c["qr_state"] == "ELSEWHERE", out("QR_MISMATCH", "HIGH", "CODE_OF_ANOTHER_REGISTRY"))
+        .when(c["qr_state"] == "DIFFERENT", out("QR_MISMATCH", "HIGH", "CODE_OF_ANOTHER_DOCUMENT"))
+        .when(c["qr_state"] == "UNREADABLE", out("INCONCLUSIVE", "LOW", "CODE_UNREADABLE"))
+        .when(~F.coalesce(c["readable"].cast("boolean"), F.lit(True)) & ~yes("byte_match"), out("INCONCLUSIVE", "LOW", "DOCUMENT_UNREADABLE"))
+        .when(~yes("registered") & yes("bytes_only"), out("NOT_REGISTERED", "HIGH", "FILE_NOT_ANCHORED"))
+        .when(~yes("registered"), out("NOT_REGISTERED", "HIGH", "NO_ANCHOR"))
+        .when(yes("revoked"), out("REVOKED", "HIGH", "ANCHOR_REVOKED"))
+        .when(yes("byte_match"), out("AUTHENTIC_ORIGINAL", "HIGH", "SAME_BYTES"))
+        .when(c["content_status"].isNull() | (c["content_status"] == "INCONCLUSIVE") | (conf < 0.8), out("INCONCLUSIVE", "LOW", "CONTENT_UNREADABLE"))
+        .when((c["content_status"] == "MISMATCH") & (conf >= 0.9), out("TAMPERED_CONTENT", "HIGH", "FIELDS_DIFFER", "changed"))
+        .when(c["content_status"] == "MISMATCH", out("TAMPERED_CONTENT", "MEDIUM", "FIELDS_DIFFER", "changed"))
+        .when(~visual, out("INCONCLUSIVE", "LOW", "LOOKS_NOT_SEEN"))
+        .when(c["advice"] == "REVIEW", out("TAMPERED_VISUAL", "MEDIUM", "REGION_CHANGED"))
+        .when(c["advice"] == "UNCLEAR", out("INCONCLUSIVE", "LOW", "LOOKS_TOO_DIFFERENT"))
+        .when(c["advice"].isNotNull(), out("AUTHENTIC_COPY", "MEDIUM", "NOTHING_STANDS_OUT", "unreliable_regions"))
+        .when((c["distance"] > 10) | (c["far_cells"] > 0), out("TAMPERED_VISUAL", "MEDIUM", "LOOKS_CHANGED"))
+        .when(c["distance"] <= 5, out("AUTHENTIC_COPY", "HIGH", "LOOKS_MATCH"))
+        .otherwise(out("AUTHENTIC_COPY", "MEDIUM", "LOOKS_MATCH"))
     )
-    keep = [x for x in evidence.columns if x not in ("verdict", "confidence")]
-    return evidence.select("*", v.alias("_v")).select(*keep, "_v.verdict", "_v.confidence")
+    made = ("verdict", "confidence", "reason", "reason_fields")
+    keep = [x for x in evidence.columns if x not in made]
+    return evidence.select("*", v.alias("_v")).select(*keep, *[f"_v.{m}" for m in made])
 
 
 # What each verdict is in the audit log.
@@ -74,5 +79,5 @@ AUDIT_OF = (
 def audit_events(decided: DataFrame) -> DataFrame:
     """outcome and reason of each verdict; an unknown verdict counts as inconclusive."""
     m = F.broadcast(decided.sparkSession.createDataFrame(list(AUDIT_OF), "verdict string, outcome string, reason string"))
-    j = decided.join(m, "verdict", "left")
+    j = decided.drop("outcome", "reason").join(m, "verdict", "left")
     return j.withColumn("outcome", F.coalesce("outcome", F.lit("FAILED"))).withColumn("reason", F.coalesce("reason", F.lit("INCONCLUSIVE"))).withColumn("action", F.lit("VERIFY"))

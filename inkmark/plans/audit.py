@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmark.functions.text import mask_ip
+from inkmark.sources.event_log import DayLog
+from inkmark.sources.shared import shared_dir
 
 from .base import query, table
 
@@ -77,6 +79,26 @@ def recent_events(spark, d):
     return recent(audit(spark, d), action="VERIFY", before="2024-01-20", limit=500)
 
 
+def day_log(spark, d):
+    """The audit events by days."""
+    e = audit(spark, d)
+    log = DayLog(spark, shared_dir(spark, "day-log"), e.schema)
+    log.append(e, "all")
+    return log
+
+
+@query(WITH + "select id, action, outcome, document_id, created_at from a where action = 'VERIFY' and created_at < timestamp '2024-01-20' order by created_at desc, id desc limit 200")
+def recent_events_by_day(spark, d):
+    """``recent_events`` on the log, of which the days after the limit aren't read."""
+    return recent(day_log(spark, d).read(before="2024-01-20"), action="VERIFY", limit=500)
+
+
+@query(WITH + "select id, action, created_at from a where document_id = 7 order by created_at desc, id desc limit 100")
+def history_by_day(spark, d):
+    """The newest 100 events of one document: the log's files are sorted by document, so most row groups aren't read."""
+    return day_log(spark, d).of(7).orderBy(F.desc("created_at"), F.desc("id")).limit(100).select("id", "action", "created_at")
+
+
 def limited(requests, window_seconds: int, allowed: int):
     """requests (client, ts, id) with n, the request's number in its client's window, and limited: beyond what is allowed.
 

@@ -45,8 +45,7 @@ CELL_FAR, REGION_FAR, MAX_CELLS = (8, 10, 12, 14, 16, 20, 24, 28), (8, 10, 12, 1
   s as (select cell_far, region_far, max_cells, count(*) filter (kind = 'recapture' and far <= max_cells and (far > 0 or region > region_far)) as false_review, count(*) filter (kind = 'swap' and far <= max_cells and (far > 0 or region > region_far)) as caught from f group by 1, 2, 3)
   select *, row_number() over (order by false_review, caught desc, region_far desc, cell_far desc, max_cells)::int as rank from s""")
 def threshold_search(spark, d):
-    one = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} int")
-    grid = one("cell_far", CELL_FAR).crossJoin(one("region_far", REGION_FAR)).crossJoin(one("max_cells", MAX_CELLS))
+    grid = G.threshold_grid(spark, CELL_FAR, REGION_FAR, MAX_CELLS)
     return G.threshold_search(cases(spark, d).select("kind", F.array("cell", "second", "third").alias("cells"), "region"), grid)
 
 

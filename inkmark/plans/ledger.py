@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmark.operators import lifecycle as L
 from inkmark.operators import matching as M
+from inkmark.sources.shared import shared_dir
+from inkmark.sources.versioned import RECORD, VersionedTable, current, store_absent
+from inkmark.sources.versioned import claim_retry as claims
 
 from .base import query, table
 
@@ -79,6 +83,38 @@ def append_if_absent(spark, d):
     return L.append_if_absent(b, t, "h", "at").groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("already_stored")).alias("stored"))
 
 
+@query("""with seed as (select distinct sha256(p_partkey::varchar) as h, -p_partkey as ref from part where p_size % 2 = 0), b as (select sha256(l_partkey::varchar) as h, l_linenumber % 2 as odd, min(l_orderkey * 100 + l_linenumber) as ref from lineitem group by 1, 2)
+ select h, coalesce(s.ref, x.ref, y.ref) as ref from seed s full join (select h, ref from b where odd = 1) x using (h) full join (select h, ref from b where odd = 0) y using (h)""")
+def append_sink(spark, d):
+    """Files as a sink has them after three batches, of which the second came twice: of each key the row that came first."""
+    key = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("h")
+    ref = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")
+    seed = table(spark, d, "part").filter("p_size % 2 = 0").select(key("p_partkey"), (-F.col("p_partkey")).cast("long").alias("ref"))
+    odd, even = (table(spark, d, "lineitem").filter(f"l_linenumber % 2 = {n}").select(key("l_partkey"), ref.cast("long").alias("ref")) for n in (1, 0))
+    t = VersionedTable(spark, shared_dir(spark, "files"), "h string, ref long")
+    for name, rows in (("seed", seed), ("odd", odd), ("even", even), ("odd", odd)):
+        store_absent(t, rows, "h", ["ref"], name)
+    return t.read()
+
+
+@query(WITH + """, free as (select record_id, status from r where status in ('FAILED', 'PENDING')), c as (select record_id, record_id % 3 <> 0 as a, record_id % 3 = 0 and record_id % 2 = 0 as b from free)
+ select record_id, case when b then 'B' else 'C' end as claimant, case when a then 2 else 1 end::bigint as revision, 'PENDING' as status,
+   timestamp '2002-01-01' + case when b then interval 30 second else interval 75 second end as updated_at from c""")
+def claim_retry(spark, d):
+    """Stuck and failed records that three workers claim: A at midnight all but every third, B 30 s later the even ones, C 75 s after midnight all.
+
+    What A has is fresh for B and stale for C; what B got is fresh for C.
+    """
+    t = VersionedTable(spark, shared_dir(spark, "records"), RECORD)
+    k = F.col("record_id")
+    first = records(spark, d).select("record_id", "status", F.when(F.col("status") == "FAILED", "CHAIN_REVERTED").alias("failure_reason"), F.col("updated_at").cast("timestamp").alias("updated_at"), F.lit(None).cast("string").alias("claimant"), F.lit(0).cast("long").alias("revision"))
+    t.commit(first, "load", t.snapshot())
+    for name, seconds, which in (("A", 0, k % 3 != 0), ("B", 30, k % 2 == 0), ("C", 75, F.lit(True))):
+        at = F.lit(NOW).cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))
+        claims(t, records(spark, d).filter(which).select("record_id", at.alias("at"), F.lit(name).alias("claimant")), f"claims-{name}")
+    return current(t.read()).filter("claimant is not null").select("record_id", "claimant", "revision", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 LOG = """lg as (select user_id as record_id, event_id as seq, case event_type when 'error' then 'FAILED' when 'purchase' then 'STORED' when 'view' then 'PENDING' when 'click' then 'BLOCKCHAIN_PENDING' else 'ISSUED' end as status from events)"""
 EDGES = ", ".join(f"('{a}', '{b}')" for a, b in L.MOVES)
 
@@ -166,13 +202,26 @@ def confirm_revocation(spark, d):
     return L.confirm_revocation(req, rec, rc, calls, rg.select("content_hash", (~F.col("revoked")).alias("revoked")), ev, CONTRACT)
 
 
-@query(WITH + f", {CHAIN}, " + """g as (select content_hash, revoked from rg union all select sha256('only' || c_custkey), false from customer), j as (select r.status, g.content_hash is not null as there, coalesce(g.revoked, false) as revoked from r full join g on g.content_hash = r.content_hash)
- select case when status is null then 'ledger_only' when status in ('ISSUED', 'REVOKED') and not there then 'missing_on_ledger' when status = 'ISSUED' and revoked then 'revoked_on_ledger_only' when status = 'REVOKED' and not revoked then 'revoked_in_record_only'
-   when status not in ('ISSUED', 'REVOKED') and there then 'ahead_on_ledger' else 'in_step' end as drift, count(*) as n from j group by 1""")
-def ledger_drift(spark, d):
+DRIFT = WITH + f", {CHAIN}, " + """g as (select content_hash, revoked from rg union all select sha256('only' || c_custkey), false from customer), j as (select r.record_id, coalesce(r.content_hash, g.content_hash) as content_hash, r.status, g.content_hash is not null as there, coalesce(g.revoked, false) as revoked from r full join g on g.content_hash = r.content_hash),
+ w as (select record_id, content_hash, case when status is null then 'ledger_only' when status in ('ISSUED', 'REVOKED') and not there then 'missing_on_ledger' when status = 'ISSUED' and revoked then 'revoked_on_ledger_only' when status = 'REVOKED' and not revoked then 'revoked_in_record_only'
+   when status not in ('ISSUED', 'REVOKED') and there then 'ahead_on_ledger' else 'in_step' end as drift from j) """
+
+
+def drift_sides(spark, d):
     r, _, _, rg = chain(spark, d)
     only = table(spark, d, "customer").select(F.sha2(F.concat(F.lit("only"), F.col("c_custkey").cast("string")), 256).alias("content_hash"), F.lit(False).alias("revoked"))
-    return L.ledger_drift(r, rg.select("content_hash", "revoked").unionByName(only))
+    return r, rg.select("content_hash", "revoked").unionByName(only)
+
+
+@query(DRIFT + "select drift, count(*) as n from w group by 1")
+def ledger_drift(spark, d):
+    return L.ledger_drift(*drift_sides(spark, d))
+
+
+@query(DRIFT + "select * from w where drift <> 'in_step'")
+def ledger_drift_records(spark, d):
+    """The records and ledger rows that are not in step."""
+    return L.drifted(*drift_sides(spark, d)).filter("drift <> 'in_step'")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_suppkey in (select s_suppkey from supplier where s_suppkey % 3 <> 0) then 'accepted' else 'rejected' end as outcome from lineitem")
@@ -206,13 +255,18 @@ def apply_chain_reports(spark, d):
     return L.apply_chain_reports(rp, records(spark, d).withColumn("tx", F.when(sent, F.col("tx"))))
 
 
-@query(WITH + """, k as (select c_custkey as ask_id, case c_custkey % 5 when 0 then sha256(c_custkey::varchar) when 1 then sha256('c' || c_custkey) when 2 then '0x' || sha256('tx' || c_custkey) when 3 then 'junk' else sha256('none' || c_custkey) end as raw from customer)
- select ask_id, coalesce(a.record_id, b.record_id, c.record_id) as record_id, case when raw = 'junk' then 'bad_parameter' when coalesce(a.record_id, b.record_id, c.record_id) is null then 'not_found' else 'found' end as outcome from k left join r a on a.sha256 = raw left join r b on b.content_hash = raw left join r c on c.tx = raw""")
+UUID = "regexp_replace({0}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}).*$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query(WITH + f""", k as (select c_custkey as ask_id, case c_custkey % 5 when 0 then sha256(c_custkey::varchar) when 1 then sha256('c' || c_custkey) when 2 then '0x' || sha256('tx' || c_custkey) when 3 then case when c_custkey % 2 = 0 then 'junk' else {UUID.format("sha256('id' || c_custkey)")} end else sha256('none' || c_custkey) end as raw from customer),
+ u as (select record_id, {UUID.format("sha256('id' || record_id)")} as uuid from r)
+ select ask_id, coalesce(a.record_id, b.record_id, c.record_id, u.record_id) as record_id, case when raw = 'junk' then 'bad_parameter' when coalesce(a.record_id, b.record_id, c.record_id, u.record_id) is null then 'not_found' else 'found' end as outcome from k left join r a on a.sha256 = raw left join r b on b.content_hash = raw left join r c on c.tx = raw left join u on u.uuid = raw""")
 def bulk_lookup(spark, d):
     k = F.col("c_custkey")
+    uuid = lambda c: F.regexp_replace(F.sha2(F.concat(F.lit("id"), c.cast("string")), 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
     s = lambda p: F.sha2(F.concat(F.lit(p), k.cast("string")), 256)
-    raw = F.when(k % 5 == 0, s("")).when(k % 5 == 1, s("c")).when(k % 5 == 2, F.concat(F.lit("0x"), s("tx"))).when(k % 5 == 3, "junk").otherwise(s("none"))
-    return L.bulk_lookup(table(spark, d, "customer").select(k.alias("ask_id"), raw.alias("raw")), records(spark, d).withColumn("uuid", F.lit(None).cast("string")))
+    raw = F.when(k % 5 == 0, s("")).when(k % 5 == 1, s("c")).when(k % 5 == 2, F.concat(F.lit("0x"), s("tx"))).when(k % 5 == 3, F.when(k % 2 == 0, "junk").otherwise(uuid(k))).otherwise(s("none"))
+    return L.bulk_lookup(table(spark, d, "customer").select(k.alias("ask_id"), raw.alias("raw")), records(spark, d).withColumn("uuid", uuid(F.col("record_id"))))
 
 
 @query("""with i as (select s_suppkey as wallet, timestamp '1992-01-01' as block, 0 as idx, true as listed from supplier where s_suppkey % 3 <> 0 union all select s_suppkey, timestamp '1999-01-01', 1, false from supplier where s_suppkey % 5 = 0),
@@ -252,14 +306,15 @@ def find_stuck(spark, d):
     return stuck(spark, d).select("record_id", "status", "updated_at").orderBy("updated_at", "record_id")
 
 
-RECONCILED = f"w as (select r.record_id, case when r.status = 'PENDING' then 'failed_pending' when nothing then 'still_pending' when why is not null then 'failed' else 'issued' end as outcome from r left join cf using (record_id) where {STUCK})"
+RECONCILED = f"w as (select r.record_id, case when r.status = 'PENDING' then 'failed_pending' when r.record_id % 13 = 0 then 'unverified' when nothing then 'still_pending' when why is not null then 'failed' else 'issued' end as outcome from r left join cf using (record_id) where {STUCK})"
 
 
-@query(CONFIRM + f", {RECONCILED} select outcome, count(*) as n, bit_xor(('0x' || substr(sha256(record_id::varchar), 1, 15))::bigint) as ids_digest from w group by 1")
+@query(CONFIRM + f", {RECONCILED} select outcome, sum(count(*)) over ()::bigint as checked, count(*) as n, bit_xor(('0x' || substr(sha256(record_id::varchar), 1, 15))::bigint) as ids_digest from w group by 1")
 def reconcile_report(spark, d):
-    """How many stuck records have which outcome, and a digest of their ids that doesn't depend on their order."""
+    """How many stuck records were checked, how many have which outcome, and a digest of their ids that doesn't depend on their order."""
     w = reconciled(spark, d)
-    return w.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 15), 16, 10).cast("long")).alias("ids_digest"))
+    out = w.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(F.substring(F.sha2(F.col("record_id").cast("string"), 256), 1, 15), 16, 10).cast("long")).alias("ids_digest"))
+    return out.withColumn("checked", F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row an outcome
 
 
 @query(CONFIRM + f", {RECONCILED} select record_id, outcome from w")
@@ -269,8 +324,9 @@ def reconcile_outcomes(spark, d):
 
 
 def reconciled(spark, d):
-    s = stuck(spark, d).select("record_id", "status").join(confirmed(spark, d), "record_id", "left")
-    o = F.when(F.col("status") == "PENDING", "failed_pending").when(F.col("state") == "pending", "still_pending").otherwise(F.col("state"))
+    # Every thirteenth has no transaction to ask the ledger for.
+    s = stuck(spark, d).select("record_id", "status", F.when(F.col("record_id") % 13 != 0, F.col("tx")).alias("tx")).join(confirmed(spark, d), "record_id", "left")
+    o = F.when(F.col("status") == "PENDING", "failed_pending").when(F.col("tx").isNull(), "unverified").when(F.col("state") == "pending", "still_pending").otherwise(F.col("state"))
     return s.select("record_id", o.alias("outcome"))
 
 

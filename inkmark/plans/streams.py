@@ -6,18 +6,21 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from inkmark.operators.lifecycle import silences
+from inkmark.sources.event_log import DayLog
 from inkmark.sources.shared import shared_dir
 from inkmark.streaming import jobs
 
-from .audit import ACT
+from .audit import ACT, audit
+from .audit import WITH as AUDIT
 from .base import query, table
 from .ledger import EDGES, LOG, status_log
 
 
 @contextmanager
-def rocksdb(spark):
-    before = {k: spark.conf.get(k, None) for k in jobs.ROCKSDB}
-    for k, v in jobs.ROCKSDB.items():
+def rocksdb(spark, settings=jobs.ROCKSDB):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -56,12 +59,50 @@ def lifecycle_stream(spark, d):
     return out.groupBy("record_id").agg(F.max_by("status", "seq").alias("status"), F.count_if("legal").alias("applied"))
 
 
-@query(f"""with {LOG}, l as (select record_id, arg_max(status, ts) as status, max(ts) as last from (select user_id as record_id, ts, case event_type when 'error' then 'FAILED' when 'purchase' then 'STORED' when 'view' then 'PENDING' when 'click' then 'BLOCKCHAIN_PENDING' else 'ISSUED' end as status from events) group by 1)
- select record_id, 'STUCK_PENDING' as failure_reason from l where status = 'PENDING' and last + interval 600 second < (select max(ts) - interval 60 second from events)""")
+SILENT = """n as (select user_id as record_id, ts, case event_type when 'view' then 'PENDING' end as status, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events),
+ w(event, secs, why) as (values ('STALE', 60, null), ('FAILED', 600, 'STUCK_PENDING'))
+ select record_id, event, why as failure_reason, ts + secs * interval 1 second as at from n, w where status = 'PENDING' and (nxt is null or nxt > ts + secs * interval 1 second) and ts + secs * interval 1 second < (select max(ts) - interval 60 second from events)"""
+
+
+def changes(spark, d, rows=None):
+    log = status_log(spark, d, rows, "ts")
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).select("record_id", "ts", "seq", "status")
+
+
+@query("with " + SILENT)
 def stuck_stream(spark, d):
+    """Records whose PENDING was followed by nothing for a minute (they may be taken over) and for ten (they fail)."""
     with rocksdb(spark):
-        log = status_log(spark, d, events(spark, d), "ts").withColumn("ts", F.col("ts").cast("timestamp"))
-        return drained(jobs.stuck_stream(log.select("record_id", "ts", "status")), "stuck")
+        out = drained(jobs.silence_stream(changes(spark, d, events(spark, d))), "stuck")
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("with " + SILENT)
+def stuck_timeout(spark, d):
+    """The batch twin of ``stuck_stream``."""
+    rows = changes(spark, d)
+    until = rows.agg((F.max("ts") - F.make_dt_interval(mins=F.lit(1))).alias("u")).first()["u"]
+    return silences(rows, jobs.WAITS, F.lit(until)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("select user_id as document_id, max(event_id) as newest, count(*) as retained from events group by 1")
+def retention_state(spark, d):
+    """How many events of each document are in the state of a year's retention when all have come."""
+    e = events(spark, d).select(F.col("user_id").alias("document_id"), F.col("event_id").alias("id"))
+    with rocksdb(spark, jobs.ENDING):
+        out = drained(jobs.retention_stream(e, 365 * 86_400), "retention", "update")
+    return out.groupBy("document_id").agg(F.max("newest").alias("newest"), F.max("retained").alias("retained"))
+
+
+@query(AUDIT + "select id, action, created_at from a where created_at >= timestamp '2024-01-31' - interval 10 day")
+def retention_stream(spark, d):
+    """The audit log as a stream writes it by days, and without what is older than ten days."""
+    e = audit(spark, d, events(spark, d))
+    path = shared_dir(spark, "day-log")
+    log = DayLog(spark, f"{path}/log", e.schema)
+    log.stream(e, f"{path}/checkpoint").awaitTermination()
+    log.expire("2024-01-31", 10)
+    return log.retained("2024-01-31", 10).select("id", "action", "created_at")
 
 
 @query("select arg_min(event_id, {'t': ts, 'e': event_id}) as event_id, sha256(user_id || event_type) as sha256 from events group by user_id, event_type")
@@ -88,15 +129,24 @@ def ledger_join_stream(spark, d):
     return found.unionByName(waiting.withColumn("state", F.lit(None).cast("long")))
 
 
+def odd_audit(spark, d):
+    e = audit(spark, d, events(spark, d))
+    odd = F.col("action") == "REVOKE"
+    return e.select("id", F.when(odd, "UNKNOWN").otherwise(F.col("action")).alias("action"), F.when(F.col("document_id") % 10 == 0, F.lit(None)).otherwise(F.col("outcome")).alias("outcome"))
+
+
 @query(f"select event_id as id, case when {ACT} = 'REVOKE' or user_id % 10 = 0 then 'bad' else 'good' end as side from events")
 def audit_feed(spark, d):
     """Audit events to the log, those that break its contract to a side table."""
-    from .audit import audit
-
-    e = audit(spark, d, events(spark, d))
-    odd = F.col("action") == "REVOKE"
-    e = e.select("id", F.when(odd, "UNKNOWN").otherwise(F.col("action")).alias("action"), F.when(F.col("document_id") % 10 == 0, F.lit(None)).otherwise(F.col("outcome")).alias("outcome"))
-    path = shared_dir(spark, "audit")
+    e, path = odd_audit(spark, d), shared_dir(spark, "audit")
     jobs.audit_append(e, f"{path}/good", f"{path}/bad", f"{path}/checkpoint").awaitTermination()
     read = lambda s: spark.read.schema(e.schema).parquet(f"{path}/{s}/batch=*").select("id", F.lit(s).alias("side"))
     return read("good").unionByName(read("bad"))
+
+
+@query(f"select count(*) filter (not b) as good, count(*) filter (b) as bad from (select {ACT} = 'REVOKE' or user_id % 10 = 0 as b from events)")
+def audit_counts(spark, d):
+    """How many events the feed took and how many it set apart, as it counted them."""
+    e, path = odd_audit(spark, d), shared_dir(spark, "audit")
+    jobs.audit_append(e, f"{path}/good", f"{path}/bad", f"{path}/checkpoint", counts=f"{path}/counts").awaitTermination()
+    return spark.read.schema("good long, bad long").parquet(f"{path}/counts/batch=*").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))

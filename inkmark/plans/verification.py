@@ -93,11 +93,12 @@ def compare_to_anchor(spark, d):
 VERDICT = HEAD.replace("with rec as", "with " + ADVICE_CTES + ", rec as", 1) + COMPARED + """, qr as (select doc_id as capture_id, case doc_id % 28 when 0 then h when 7 then sha256('other' || doc_id) when 14 then h else 'junk' end as code, doc_id % 28 = 14 as elsewhere from p where doc_id % 7 = 0),
  q as (select p.doc_id as capture_id, case when qr.code is null then null when qr.code = 'junk' or (p.rs <> 'READ' and not coalesce(st.same_file, false)) then 'UNREADABLE' when qr.elsewhere then 'ELSEWHERE' when qr.code = p.h then 'SAME' else 'DIFFERENT' end as qs from p left join qr on qr.capture_id = p.doc_id left join st on st.capture_id = p.doc_id),
  v as (select st.capture_id, how, case when status = 'MATCH' then '' else coalesce(changed, '') end as changed, case
-   when qs in ('ELSEWHERE', 'DIFFERENT') then 'QR_MISMATCH/HIGH' when qs = 'UNREADABLE' then 'INCONCLUSIVE/LOW'
-   when rs <> 'READ' and not coalesce(same_file, false) then 'INCONCLUSIVE/LOW' when record_id is null then 'NOT_REGISTERED/HIGH' when rec_status = 'REVOKED' then 'REVOKED/HIGH' when same_file then 'AUTHENTIC_ORIGINAL/HIGH'
-   when status = 'INCONCLUSIVE' then 'INCONCLUSIVE/LOW' when status = 'MISMATCH' and worth >= 90 then 'TAMPERED_CONTENT/HIGH' when status = 'MISMATCH' and worth >= 80 then 'TAMPERED_CONTENT/MEDIUM' when status = 'MISMATCH' then 'INCONCLUSIVE/LOW'
-   when ad.kind is null then 'INCONCLUSIVE/LOW' when ad.kind = 'LOCALISED' then 'TAMPERED_VISUAL/MEDIUM' when ad.kind = 'GLOBAL' then 'INCONCLUSIVE/LOW' else 'AUTHENTIC_COPY/MEDIUM' end as vc from st join q on q.capture_id = st.capture_id left join ad on ad.capture_id = st.capture_id),
- w as (select capture_id, how, changed, string_split(vc, '/')[1] as verdict, string_split(vc, '/')[2] as confidence from v) """
+   when qs = 'ELSEWHERE' then 'QR_MISMATCH/HIGH/CODE_OF_ANOTHER_REGISTRY' when qs = 'DIFFERENT' then 'QR_MISMATCH/HIGH/CODE_OF_ANOTHER_DOCUMENT' when qs = 'UNREADABLE' then 'INCONCLUSIVE/LOW/CODE_UNREADABLE'
+   when rs <> 'READ' and not coalesce(same_file, false) then 'INCONCLUSIVE/LOW/DOCUMENT_UNREADABLE' when record_id is null then 'NOT_REGISTERED/HIGH/NO_ANCHOR' when rec_status = 'REVOKED' then 'REVOKED/HIGH/ANCHOR_REVOKED' when same_file then 'AUTHENTIC_ORIGINAL/HIGH/SAME_BYTES'
+   when status = 'INCONCLUSIVE' then 'INCONCLUSIVE/LOW/CONTENT_UNREADABLE' when status = 'MISMATCH' and worth >= 90 then 'TAMPERED_CONTENT/HIGH/FIELDS_DIFFER' when status = 'MISMATCH' and worth >= 80 then 'TAMPERED_CONTENT/MEDIUM/FIELDS_DIFFER' when status = 'MISMATCH' then 'INCONCLUSIVE/LOW/CONTENT_UNREADABLE'
+   when ad.kind is null then 'INCONCLUSIVE/LOW/LOOKS_NOT_SEEN' when ad.kind = 'LOCALISED' then 'TAMPERED_VISUAL/MEDIUM/REGION_CHANGED' when ad.kind = 'GLOBAL' then 'INCONCLUSIVE/LOW/LOOKS_TOO_DIFFERENT' else 'AUTHENTIC_COPY/MEDIUM/NOTHING_STANDS_OUT' end as vc, ad.unreliable_regions from st join q on q.capture_id = st.capture_id left join ad on ad.capture_id = st.capture_id),
+ x as (select capture_id, how, changed, string_split(vc, '/') as vc, unreliable_regions from v),
+ w as (select capture_id, how, changed, vc[1] as verdict, vc[2] as confidence, vc[3] as reason, case vc[3] when 'FIELDS_DIFFER' then changed when 'NOTHING_STANDS_OUT' then unreliable_regions else '' end as reason_fields from x) """
 
 
 def qr_state(code, content_hash, elsewhere, unread):
@@ -111,19 +112,19 @@ def decided(spark, d):
     pairs, status = compared(spark, d)
     e = pairs.join(status.withColumnRenamed("status", "content_status"), "capture_id")
     # Visual evidence: the advice on the pictures that there are (one a vector); codes: on every seventh document.
-    e = e.join(V.visual_advice(*cells_and_regions(spark, d)).select("capture_id", "advice"), "capture_id", "left")
+    e = e.join(V.visual_advice(*cells_and_regions(spark, d)).select("capture_id", "advice", "unreliable_regions"), "capture_id", "left")
     k, n = F.col("capture_id") % 28, F.col("capture_id") % 7
     code = F.when(n == 0, F.when(k.isin(0, 14), F.col("p_hash")).when(k == 7, F.sha2(F.concat(F.lit("other"), F.col("capture_id").cast("string")), 256)).otherwise("junk"))
     unread = (F.col("read_status") != "READ") & ~F.coalesce(F.col("p_file") == F.col("a_file"), F.lit(False))
     e = e.withColumn("qr_state", qr_state(code, F.col("p_hash"), k == 14, unread))
-    e = e.select("capture_id", "how", "changed", "qr_state", "advice", (F.col("read_status") == "READ").alias("readable"), F.col("record_id").isNotNull().alias("registered"), (F.col("status") == "REVOKED").alias("revoked"), (F.col("p_file") == F.col("a_file")).alias("byte_match"), "content_status", F.col("mismatch_confidence").alias("content_confidence"))
+    e = e.select("capture_id", "how", "changed", "qr_state", "advice", "unreliable_regions", (F.col("read_status") == "READ").alias("readable"), F.col("record_id").isNotNull().alias("registered"), (F.col("status") == "REVOKED").alias("revoked"), (F.col("p_file") == F.col("a_file")).alias("byte_match"), "content_status", F.col("mismatch_confidence").alias("content_confidence"))
     return V.verdicts(e)
 
 
 @query(VERDICT + "select * from w")
 def verdicts(spark, d):
-    """One verdict per presented document, with what it was matched by and the fields that changed."""
-    return decided(spark, d).select("capture_id", "how", "changed", "verdict", "confidence")
+    """One verdict per presented document, with what it was matched by, the fields that changed, and the reason."""
+    return decided(spark, d).select("capture_id", "how", "changed", "verdict", "confidence", "reason", "reason_fields")
 
 
 @query(VERDICT + """select capture_id, 'VERIFY' as action, case when verdict in ('AUTHENTIC_ORIGINAL', 'AUTHENTIC_COPY') then 'SUCCESS' else 'FAILED' end as outcome,

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from inkmark.operators.lifecycle import MOVES, STATES
+from inkmark.operators.lifecycle import MOVES, STALE_SECONDS, STATES, STUCK_SECONDS
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+#: For a stream whose state has a time to live and that shall end when its source is read: else it would look for expired state for ever.
+ENDING = {**ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
 
 def rate_limit_stream(requests: DataFrame, window: str, allowed: int, late: str = "10 minutes") -> DataFrame:
     """requests (client, ts) -> client, window_start, n, limited per client and tumbling window; later rows than ``late`` are dropped."""
@@ -53,40 +56,68 @@ def lifecycle_stream(moves: DataFrame) -> DataFrame:
     return known.groupBy("record_id").transformWithStateInPandas(Lifecycle(), "record_id long, seq long, asked string, status string, legal boolean", "Append", "none")
 
 
-class Timeout(StatefulProcessor):
-    """Tells of a document that was PENDING and silent for too long in event time."""
+#: What a PENDING record's silence leads to, and after how many seconds: it may be taken over, then it fails.
+WAITS = (("STALE", STALE_SECONDS), ("FAILED", STUCK_SECONDS))
+CHANGE = StructType([StructField("at", LongType()), StructField("seq", LongType()), StructField("status", StringType())])
+
+
+class Silence(StatefulProcessor):
+    """Tells when a record was PENDING without a later row for too long, in event time.
 
-    def __init__(self, wait_ms: int):
-        self.wait_ms = wait_ms
+    The rows of the last waits are state, with their time and number, and nothing is decided before the watermark has passed a deadline: by then every
+    row up to it that isn't too late is there. So the answer depends neither on micro-batches nor on the order in which rows come.
+    """
+
+    def __init__(self, waits: tuple[tuple[str, int], ...]):
+        self.waits = tuple((name, seconds * 1_000_000) for name, seconds in waits)
+        self.longest = max(w for _, w in self.waits)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("status", StructType([StructField("status", StringType())]))
+        self.rows = handle.getListState("rows", CHANGE)
+
+    def _timer(self, at: int) -> int:
+        return -(-at // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = None
+        timers = set()
         for part in rows:
-            newest = part.loc[part["ts"].idxmax()]
-            last = newest if last is None or newest["ts"] > last["ts"] else last
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.state.update((last["status"],))
-        if last["status"] == "PENDING":
-            self.handle.registerTimer(int(last["ts"].timestamp() * 1000) + self.wait_ms)
-        yield pd.DataFrame({"record_id": pd.Series([], dtype="int64"), "failure_reason": pd.Series([], dtype=object)})
+            for at, seq, status in zip(part["at"].tolist(), part["seq"].tolist(), part["status"].tolist(), strict=True):
+                self.rows.appendValue((int(at), int(seq), status))
+                timers |= {self._timer(int(at) + w) for _, w in self.waits}
+        for at in timers:
+            self.handle.registerTimer(at)
+        yield pd.DataFrame({"record_id": pd.Series([], dtype="int64"), "event": pd.Series([], dtype=object), "failure_reason": pd.Series([], dtype=object), "at": pd.Series([], dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame({"record_id": [key[0]], "failure_reason": ["STUCK_PENDING"]})
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        rows = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
+        out = []
+        for k, (at, _, status) in enumerate(rows):
+            for name, wait in self.waits:
+                silent = k + 1 == len(rows) or rows[k + 1][0] > at + wait
+                if status == "PENDING" and self._timer(at + wait) == now and silent:
+                    out.append((key[0], name, "STUCK_PENDING" if name == "FAILED" else None, at + wait))
+        left = [r for r in rows if self._timer(r[0] + self.longest) > now]
+        if left:
+            self.rows.put(left)
+        else:
+            self.rows.clear()
+        yield pd.DataFrame(out, columns=["record_id", "event", "failure_reason", "at"])
 
     def close(self) -> None:
         pass
 
 
-def stuck_stream(changes: DataFrame, wait_seconds: int = 600, late: str = "1 minute") -> DataFrame:
-    """changes (record_id long, ts, status) -> record_id and failure_reason STUCK_PENDING when the watermark passes the wait."""
-    rows = changes.withWatermark("ts", late)
-    return rows.groupBy("record_id").transformWithStateInPandas(Timeout(wait_seconds * 1000), "record_id long, failure_reason string", "Append", "EventTime")
+def silence_stream(changes: DataFrame, waits: tuple[tuple[str, int], ...] = WAITS, late: str = "1 minute") -> DataFrame:
+    """changes (record_id long, ts timestamp, seq long, status) -> record_id, event (STALE: may be taken over; FAILED), failure_reason, at.
+
+    A row answers the one before it by (ts, seq), also where it comes in an earlier micro-batch; one that is exactly at the deadline is in
+    time. Rows more than ``late`` behind the newest are dropped. Batch twin: ``lifecycle.silences``.
+    """
+    rows = changes.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    out = rows.groupBy("record_id").transformWithStateInPandas(Silence(waits), "record_id long, event string, failure_reason string, at long", "Append", "EventTime")
+    return out.withColumn("at", F.timestamp_micros("at"))
 
 
 class FirstSeen(StatefulProcessor):
@@ -135,12 +166,49 @@ def ledger_join_stream(pending: DataFrame, receipts: DataFrame, wait: str = "1 h
     return p.join(r, near, "left").select("p.record_id", "p.tx", "p.sent_at", "r.state")
 
 
-def audit_append(stream: DataFrame, good: str, bad: str, checkpoint: str, actions: tuple[str, ...] = ("ISSUE", "VERIFY", "REVOKE", "LOGIN")):
-    """Append audit events; rows that break the contract go to a side table and never stop the feed."""
+class Retained(StatefulProcessor):
+    """The events of a key that came within the retention, each with a time to live of its own."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getMapState("events", StructType([StructField("id", LongType())]), StructType([StructField("n", LongType())]), self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ids = sorted({int(i) for part in rows for i in part["id"].tolist()})
+        had = {k[0] for k in self.events.keys()}
+        for i in ids:
+            self.events.updateValue((i,), (1,))
+        yield pd.DataFrame({"document_id": [key[0]], "newest": [max(ids)], "retained": [len(had | set(ids))]})
+
+    def close(self) -> None:
+        pass
+
+
+def retention_stream(events: DataFrame, seconds: int) -> DataFrame:
+    """events (document_id long, id long) -> document_id, newest, retained: after each micro-batch, how many of the document's events are not older
+    than ``seconds`` since they came. Older ones leave the state by themselves (set ENDING on the session, or ROCKSDB for a
+    stream that goes on)."""
+    rows = events.filter("document_id is not null and id is not null")
+    return rows.groupBy("document_id").transformWithStateInPandas(Retained(seconds * 1000), "document_id long, newest long, retained long", "Update", "ProcessingTime")
+
+
+def audit_append(stream: DataFrame, good: str, bad: str, checkpoint: str, actions: tuple[str, ...] = ("ISSUE", "VERIFY", "REVOKE", "LOGIN"), counts: str | None = None):
+    """Append audit events; rows that break the contract go to a side table and never stop the feed.
+
+    counts: a folder for the number of good and bad rows of each micro-batch, which are observed while the good ones are written. A batch that
+    runs again replaces its rows and its numbers.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         ok = F.coalesce(F.col("action").isin(*actions) & F.col("outcome").isin("SUCCESS", "FAILED"), F.lit(False))
-        batch.filter(ok).write.mode("overwrite").parquet(f"{good}/batch={number}")
+        seen = Observation()
+        told = batch.withColumn("_ok", ok).observe(seen, F.count_if("_ok").alias("good"), F.count_if(~F.col("_ok")).alias("bad"))
+        told.filter("_ok").drop("_ok").write.mode("overwrite").parquet(f"{good}/batch={number}")
         batch.filter(~ok).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        if counts:
+            n = seen.get
+            batch.sparkSession.createDataFrame([(n["good"], n["bad"])], "good long, bad long").coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,13 @@
 """Streams give what their batch twins give."""
 
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from inkmark.operators.lifecycle import MOVES
+from inkmark.operators.lifecycle import MOVES, silences
 from inkmark.plans import audit
 from inkmark.streaming import jobs
 
@@ -55,11 +57,62 @@ def test_rate_limit(spark, tmp_path):
     assert {(r[0], int(r[1].timestamp()), r[2], r[3]) for r in got.collect()} == {(r["client"], r["window_start"], r["n"], r["limited"]) for r in twin.collect()}
 
 
+def at(minutes=0, seconds=0):
+    return T0 + timedelta(minutes=minutes, seconds=seconds)
+
+
+def silences_of(spark, batches, tmp_path, name):
+    """What the stream tells, one file a trigger in the order of ``batches``, and what its batch twin does."""
+    schema = "record_id long, ts timestamp, seq long, status string"
+    for k, rows in enumerate(batches):
+        f = spark.createDataFrame(rows, schema).coalesce(1)
+        f.write.parquet(str(tmp_path / f"{name}-{k}"))
+        for part in (tmp_path / f"{name}-{k}").glob("part-*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            part.rename(tmp_path / "in" / f"{k:03d}.parquet")
+            os.utime(tmp_path / "in" / f"{k:03d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = ran(jobs.silence_stream(source), name, tmp_path)
+    rows = spark.createDataFrame([r for b in batches for r in b], schema)
+    twin = silences(rows, jobs.WAITS, F.lit(max(r[1] for b in batches for r in b) - timedelta(minutes=1)))
+    plain = lambda df: sorted((r["record_id"], r["event"], r["failure_reason"] or "", r["at"]) for r in df.collect())
+    return plain(got), plain(twin)
+
+
 def test_stuck(spark, tmp_path, rocksdb):
-    rows = [(1, T0, "PENDING"), (2, T0, "PENDING"), (2, T0 + timedelta(minutes=5), "STORED"), (3, T0 + timedelta(minutes=30), "PENDING")]
-    df = spark.createDataFrame(rows, "record_id long, ts timestamp, status string")
-    got = ran(jobs.stuck_stream(stream(spark, df, tmp_path / "in", 1)), "stuck", tmp_path).collect()
-    assert [tuple(r) for r in got] == [(1, "STUCK_PENDING")]
+    rows = [(1, at(), 1, "PENDING"), (2, at(), 1, "PENDING"), (2, at(5), 2, "STORED"), (4, at(), 1, "PENDING"), (4, at(0, 60), 2, "STORED"), (5, at(), 2, "STORED"), (5, at(), 1, "PENDING"), (6, at(), 1, "PENDING"), (6, at(0, 30), 2, "PENDING"), (3, at(30), 1, "PENDING")]
+    got, twin = silences_of(spark, [rows], tmp_path, "stuck")
+    assert got == twin == [(1, "FAILED", "STUCK_PENDING", at(10)), (1, "STALE", "", at(1)), (2, "STALE", "", at(1)), (6, "FAILED", "STUCK_PENDING", at(10, 30)), (6, "STALE", "", at(1, 30))]
+
+
+def test_rows_that_come_out_of_order_are_answered_in_the_order_of_their_time(spark, tmp_path, rocksdb):
+    """STORED at 200 s comes before PENDING at 150 s, which is within the watermark; and later rows of any kind."""
+    batches = [[(1, at(0, 200), 2, "STORED"), (2, at(0, 200), 1, "PENDING")], [(1, at(0, 150), 1, "PENDING"), (3, at(0, 190), 1, "PENDING")], [(2, at(0, 230), 2, "STORED"), (3, at(0, 190), 2, "STORED")], [(9, at(40), 1, "STORED")]]
+    got, twin = silences_of(spark, batches, tmp_path, "order")
+    assert got == twin == []
+    late = [[(1, at(), 1, "PENDING"), (2, at(), 1, "PENDING")], [(9, at(5), 1, "STORED")], [(1, at(5, 30), 2, "STORED")], [(9, at(30), 2, "STORED")]]
+    got, twin = silences_of(spark, late, tmp_path / "b", "late") if (tmp_path / "b").mkdir() is None else None
+    assert got == twin == [(1, "STALE", "", at(1)), (2, "FAILED", "STUCK_PENDING", at(10)), (2, "STALE", "", at(1))]
+
+
+def test_expired_state_is_gone(spark, tmp_path, rocksdb):
+    quiet = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(quiet, jobs.ENDING[quiet])
+    rows = lambda k: spark.createDataFrame([(7, k)], "document_id long, id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, seconds):
+        s = spark.readStream.schema("document_id long, id long").parquet(str(tmp_path / "in"))
+        out = []
+        keep = lambda b, _: out.extend(r["retained"] for r in b.collect()) and None
+        jobs.retention_stream(s, seconds).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return out
+
+    rows(1)
+    assert run("short", 3) == run("long", 9999) == [1]
+    time.sleep(4)
+    rows(2)
+    assert run("short", 3) == [1] and run("long", 9999) == [2]
+    spark.conf.unset(quiet)
 
 
 def test_dedup_is_idempotent(spark, tmp_path, rocksdb):
@@ -89,6 +142,21 @@ def test_audit_feed(spark, tmp_path):
     assert ids("good") == [1] and ids("bad") == [2, 3]
 
 
+def test_the_feed_counts_what_it_takes_also_when_a_batch_runs_again(spark, tmp_path):
+    import shutil
+
+    df = spark.createDataFrame([(i, "ISSUE" if i % 3 else "NOPE", "SUCCESS") for i in range(30)], "id long, action string, outcome string")
+    s = stream(spark, df, tmp_path / "in", 3)
+    counts = lambda: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/n").select("batch", "good", "bad").collect()))
+    run = lambda: jobs.audit_append(s, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/cp", counts=f"{tmp_path}/n").awaitTermination()
+    run()
+    first = counts()
+    assert sum(n for _, n, _ in first) == 20 and sum(n for *_, n in first) == 10 and len(first) == 3
+    shutil.rmtree(tmp_path / "cp")  # all batches run again
+    run()
+    assert counts() == first and spark.read.parquet(f"{tmp_path}/good").count() == 20
+
+
 def test_ledger_join(spark, tmp_path):
     p = spark.createDataFrame([(1, "a", T0), (2, "b", T0), (3, "z", T0 + timedelta(hours=9))], "record_id long, tx string, sent_at timestamp")
     r = spark.createDataFrame([("a", "success", T0 + timedelta(minutes=5)), ("z9", "success", T0 + timedelta(hours=9))], "tx string, state string, mined_at timestamp")
