@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmark.sources.shared import materialised
+from inkmark.sources.shared import discard, materialised, written
 
 ANCHORED = ("ISSUED", "REVOKED")
 
@@ -89,42 +95,117 @@ def hamming_pairs(anchored: DataFrame, presented: DataFrame, cell: list[str]) ->
     return j.select(*cell, F.when(F.col("ph").isNull(), 64).when(flat & pflat, 0).when(flat | pflat, 64).otherwise(hex_distance(F.col("h"), F.col("ph"))).cast("int").alias("distance"))
 
 
-def near_duplicates(signatures: DataFrame, radius: int = 7) -> DataFrame:
+#: Numbers of bands that signatures may be cut into.
+BANDS = (2, 3, 4, 5, 6, 8)
+
+
+def bands(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of n bands of a signature of 64 bits."""
+    edge = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def work(rows: int, radius: int, n: int) -> tuple[int, float]:
+    """What a signature costs with n bands: the variants that it is asked for by, and the candidates that these meet among so many rows."""
+    variants = [sum(comb(w, k) for k in range(radius // n + 1)) for _, w in bands(n)]
+    return sum(variants), sum(v * rows / 2**w for v, (_, w) in zip(variants, bands(n), strict=True))
+
+
+def bands_for(rows: int, radius: int) -> int:
+    """The number of bands with which a signature costs least: the more rows, the wider the bands and the more variants of each are asked for."""
+    return min(BANDS, key=lambda n: sum(work(rows, radius, n)))
+
+
+def near_duplicates(signatures: DataFrame, radius: int = 7, n_bands: int | None = None) -> DataFrame:
     """Pairs (a, b, distance), a < b, of signatures (id, h: 16 hexadecimal digits) within radius of at most 7 bits, and membership.
 
     Ids of one signature form a class, named by its smallest id: each other member is paired with that at distance 0, and pairs of different
     signatures are between their classes' names. So k copies give k - 1 rows, and every pair of ids follows from the two.
 
-    Of four bands of 16 bits one differs in at most one bit if the whole differs in at most 7. So one side is looked up by its
-    bands, the other by its bands and their 16 one-bit variants, which misses no pair.
+    Of n bands one differs in at most radius / n bits. So one side is looked up by its bands, the other by its bands and their variants of so
+    many bits, which misses no pair. How many bands there are is chosen by the number of signatures (``bands_for``): eight of 8 bits for
+    hundreds, four of 16 bits and one flip for a million, two of 32 bits and three flips from thirty million on, so that the candidates
+    of a signature don't grow in step with the table.
     """
     if not 0 <= radius <= 7:
         raise ValueError("radius must be from 0 to 7")
+    spark = signatures.sparkSession
     named = materialised(signatures.groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
     members = signatures.join(named.filter("n > 1").select("h", F.col("id").alias("a")), "h").filter(F.col("id") != F.col("a"))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.conv(F.substring("h", 4 * i + 1, 4), 16, 10).cast("int").alias("bits")) for i in range(4)])
-    s = named.select("id", "h")
-    left = s.select(F.col("id").alias("a"), F.col("h").alias("ah"), F.explode(bands).alias("k")).select("a", "ah", "k.band", "k.bits")
-    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(16)])
-    right = s.select(F.col("id").alias("b"), F.col("h").alias("bh"), F.explode(bands).alias("k")).select("b", "bh", "k.band", F.explode(F.transform(flips, lambda f: F.col("k.bits").bitwiseXOR(f))).alias("bits"))
-    j = left.join(right, ["band", "bits"]).filter("a < b").withColumn("distance", hex_distance(F.col("ah"), F.col("bh")).cast("int"))
+    n_bands = n_bands or bands_for(named.count(), radius)
+    cut = bands(n_bands)
+    bits = F.conv("h", 16, -10).cast("long")
+    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("x", 64 - at - w).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (at, w) in enumerate(cut)])
+    s = named.select("id", "h", bits.alias("x")).select("id", "x", F.explode(parts).alias("k")).select("id", "x", "k.band", "k.bits")
+    left = s.select(F.col("id").alias("a"), F.col("x").alias("ax"), "band", "bits")
+    # The variants of a band are a table of a size that is fixed by its width: eleven thousand rows at most.
+    flips = [(i, sum(1 << b for b in on)) for i, (_, w) in enumerate(cut) for k in range(radius // n_bands + 1) for on in combinations(range(w), k)]
+    flips = F.broadcast(spark.createDataFrame(flips, "band int, flip long").coalesce(1))
+    right = s.join(flips, "band").select(F.col("id").alias("b"), F.col("x").alias("bx"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    j = left.join(right, ["band", "bits"]).filter("a < b").withColumn("distance", F.bit_count(F.col("ax").bitwiseXOR(F.col("bx"))).cast("int"))
     pairs = j.filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
     return pairs.unionByName(members.select("a", F.col("id").alias("b"), F.lit(0).alias("distance")))
 
 
+#: Pairs whose parts a task finds at once.
+PAIRS = 1 << 20
+
+
+def contracted(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components as pairs (a, b): of each slice of a partition, every node with the smallest of its part.
+
+    It runs where the pairs are, before anything is moved: a slice of any number of pairs over n nodes leaves n, those of the smallest nodes with themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def parts() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            ends = [t.column(k).to_pandas().to_numpy() for k in range(2)]
+            names, at = np.unique(np.concatenate(ends), return_inverse=True)
+            u, v = at[: len(ends[0])], at[len(ends[0]) :]
+            label = np.arange(len(names))
+            while (label[u] != label[v]).any():
+                x, y = label[u], label[v]
+                np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                while (label != label[label]).any():
+                    label = label[label]
+            return pa.RecordBatch.from_arrays([pa.array(names[label], t.column(0).type), pa.array(names, t.column(0).type)], names=["a", "b"])
+
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PAIRS:
+                yield parts()
+                n = 0
+        if held:
+            yield parts()
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id each id of the pairs (a, b) is connected with.
 
-    Rounds of taking the smallest label of the neighbours and then the label's own label, until none changes; every
-    round is written to the shared folder, so a lost executor costs one round at most.
+    Pairs are contracted where they lie first; then rounds of taking the smallest label of the neighbours and the label's own label, until none
+    changes. Every round is written to the shared folder, so a lost executor costs one round at most, and the one before it is
+    deleted.
     """
-    both = materialised(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialised(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("cluster")), "labels")
+    spark = pairs.sparkSession
+    few, few_path = written(contracted(pairs).distinct(), "edges")
+    both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label, path = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("cluster")), "labels")
     while True:
         seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
         step = label.join(seen, "id").select("id", F.least("cluster", "m").alias("l"), F.col("cluster").alias("was"))
         up = step.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        step = materialised(step.join(up, "l").select("id", "was", F.least("l", "ll").alias("cluster")), "labels")
+        step, step_path = written(step.join(up, "l").select("id", "was", F.least("l", "ll").alias("cluster")), "labels")
+        discard(spark, path)
         if step.filter("cluster <> was").isEmpty():
+            discard(spark, few_path)
             return step.select("id", "cluster")
-        label = step.select("id", "cluster")
+        label, path = step.select("id", "cluster"), step_path

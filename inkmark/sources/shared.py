@@ -19,8 +19,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder once and read from there: for tables that several later steps read."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder once and read from there, and where it is."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder once and read from there: for tables that several later steps read."""
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
