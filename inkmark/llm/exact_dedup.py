@@ -134,7 +134,8 @@ def resolve(docs: DataFrame, state: str | None = None, arrival: str | None = Non
     if folders:
         older = spark.read.schema(ROW).parquet(*[f"{state}/content/{f}" for f in folders])
         stays = stays.unionByName(older.join(hits.withColumnRenamed("kept", "locator"), ["digest", "locator"]).select("digest", F.col("t").alias("kept_t")))
-    differ = whole.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest").distinct()
+    # Not made distinct here, which would need a hot digest's rows in one task.
+    differ = whole.join(stays, "digest").filter(F.col("t") != F.col("kept_t")).select("digest")
     with settings(spark, BLOOM):
         differ.write.mode("overwrite").parquet(f"{state}/apart/{name}")
     discard(spark, whole_path)
