@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkmark.operators import lifecycle as L
 from inkmark.operators import matching as M
-from inkmark.sources.shared import shared_dir
+from inkmark.sources.key_index import bulk_lookup as key_lookup
+from inkmark.sources.key_index import filtered, write_index
+from inkmark.sources.shared import materialised, shared_dir
 from inkmark.sources.versioned import RECORD, VersionedTable, current, store_absent
 from inkmark.sources.versioned import claim_retry as claims
 
-from .base import query, table
+from .base import ORACLES, query, table
 
 CONTRACT = "0x" + "ab" * 20
 NOW = "2002-01-01 00:00:00"
@@ -263,10 +267,30 @@ UUID = "regexp_replace({0}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}).*$', '\\
  select ask_id, coalesce(a.record_id, b.record_id, c.record_id, u.record_id) as record_id, case when raw = 'junk' then 'bad_parameter' when coalesce(a.record_id, b.record_id, c.record_id, u.record_id) is null then 'not_found' else 'found' end as outcome from k left join r a on a.sha256 = raw left join r b on b.content_hash = raw left join r c on c.tx = raw left join u on u.uuid = raw""")
 def bulk_lookup(spark, d):
     k = F.col("c_custkey")
-    uuid = lambda c: F.regexp_replace(F.sha2(F.concat(F.lit("id"), c.cast("string")), 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
+    return L.bulk_lookup(table(spark, d, "customer").select(k.alias("ask_id"), asked_key(k).alias("raw")), records(spark, d).withColumn("uuid", uuid_of(F.col("record_id"))))
+
+
+def uuid_of(c):
+    return F.regexp_replace(F.sha2(F.concat(F.lit("id"), c.cast("string")), 256), "^(.{8})(.{4})(.{4})(.{4})(.{12}).*$", "$1-$2-$3-$4-$5")
+
+
+def asked_key(k):
     s = lambda p: F.sha2(F.concat(F.lit(p), k.cast("string")), 256)
-    raw = F.when(k % 5 == 0, s("")).when(k % 5 == 1, s("c")).when(k % 5 == 2, F.concat(F.lit("0x"), s("tx"))).when(k % 5 == 3, F.when(k % 2 == 0, "junk").otherwise(uuid(k))).otherwise(s("none"))
-    return L.bulk_lookup(table(spark, d, "customer").select(k.alias("ask_id"), raw.alias("raw")), records(spark, d).withColumn("uuid", uuid(F.col("record_id"))))
+    return F.when(k % 5 == 0, s("")).when(k % 5 == 1, s("c")).when(k % 5 == 2, F.concat(F.lit("0x"), s("tx"))).when(k % 5 == 3, F.when(k % 2 == 0, "junk").otherwise(uuid_of(k))).otherwise(s("none"))
+
+
+@query(ORACLES["bulk_lookup"])
+def bulk_lookup_indexed(spark, d):
+    """``bulk_lookup`` against the records laid out by their keys."""
+    k = F.col("c_custkey")
+    r = records(spark, d).withColumn("uuid", uuid_of(F.col("record_id")))
+    name = f"records_{uuid.uuid4().hex[:12]}"
+    write_index(r, [("uuid", "uuid"), ("hash", "sha256"), ("hash", "content_hash"), ("tx", "tx")], name, ["status"], ["updated_at"])
+    keys = table(spark, d, "customer").select(k.alias("ask_id"), asked_key(k).alias("raw"))
+    with filtered(spark):
+        out = materialised(key_lookup(keys, name), "found")
+    spark.sql(f"drop table {name}")
+    return out
 
 
 @query("""with i as (select s_suppkey as wallet, timestamp '1992-01-01' as block, 0 as idx, true as listed from supplier where s_suppkey % 3 <> 0 union all select s_suppkey, timestamp '1999-01-01', 1, false from supplier where s_suppkey % 5 = 0),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkmark.operators import matching as M
 from inkmark.operators import records as R
 from inkmark.operators import verdict as V
+from inkmark.sources.key_index import cascade_lookup as key_cascade
+from inkmark.sources.key_index import filtered, write_index
 from inkmark.sources.shared import materialised
 
 from .base import query, table
@@ -31,35 +35,69 @@ COMPARED = FLAT + f""", g as (select capture_id, string_agg(field, ',' order by
    from hit h join p on p.doc_id = h.capture_id left join a on a.doc_id = h.record_id left join g using (capture_id)) """
 
 
-def anchored(spark, d):
-    c = R.lookup_key(R.content_hash(R.canonical_records(field_records(spark, d).filter("doc_id % 10 <> 9"))))
+def edited(records, when):
+    """Records with the edits of their presented copies, where ``when`` holds."""
+    k = F.when(when, F.col("doc_id") % 10)
+    holder = F.when(k == 4, F.concat(F.lit("X"), "holder")).when(k.isin(2, 3), F.concat(F.lit("  "), F.lower("holder"))).otherwise(F.col("holder"))
+    number = F.when(k.isin(2, 3), F.concat(F.lit("-"), "idNumber")).when(k == 6, F.concat("idNumber", F.lit("9"))).otherwise(F.col("idNumber"))
+    payload = F.when(k.isin(5, 7), F.transform_values("payload", lambda _, v: F.concat(F.lit("1"), v))).otherwise(F.col("payload"))
+    return records.withColumns({"holder": holder, "idNumber": number, "payload": payload})
+
+
+def as_anchored(c):
     return c.select("*", F.col("doc_id").alias("record_id"), F.sha2(F.concat(F.lit("file:"), F.col("doc_id").cast("string")), 256).alias("file_hash"), F.when(F.col("doc_id") % 10 == 8, "REVOKED").otherwise("ISSUED").alias("status"), F.col("doc_id").alias("created_at"))
 
 
-def presented(spark, d):
+def as_presented(c):
     k = F.col("doc_id") % 10
-    r = field_records(spark, d)
-    r = r.withColumn("holder", F.when(k == 4, F.concat(F.lit("X"), "holder")).when(k.isin(2, 3), F.concat(F.lit("  "), F.lower("holder"))).otherwise(F.col("holder")))
-    r = r.withColumn("idNumber", F.when(k.isin(2, 3), F.concat(F.lit("-"), "idNumber")).when(k == 6, F.concat("idNumber", F.lit("9"))).otherwise(F.col("idNumber")))
-    r = r.withColumn("payload", F.when(k.isin(5, 7), F.transform_values("payload", lambda _, v: F.concat(F.lit("1"), v))).otherwise(F.col("payload")))
-    c = R.lookup_key(R.content_hash(R.canonical_records(r)))
     file = F.concat(F.when(k.isin(0, 1, 8), "file:").otherwise("copy:"), F.col("doc_id").cast("string"))
     return c.select("*", F.col("doc_id").alias("capture_id"), F.sha2(file, 256).alias("file_hash"), F.when((k == 1) & (F.col("doc_id") % 3 == 0), "UNREADABLE").otherwise("READ").alias("read_status"))
 
 
+def hashed(records):
+    return R.lookup_key(R.content_hash(R.canonical_records(records)))
+
+
+def anchored(spark, d):
+    return as_anchored(hashed(field_records(spark, d).filter("doc_id % 10 <> 9")))
+
+
+def presented(spark, d):
+    return as_presented(hashed(edited(field_records(spark, d), F.lit(True))))
+
+
+def both_sides(spark, d):
+    """Presented and anchored documents, canonicalised in one pass and written once."""
+    r = field_records(spark, d).withColumn("shown", F.explode(F.array(F.lit(True), F.lit(False)))).filter("shown or doc_id % 10 <> 9")
+    c = materialised(hashed(edited(r, F.col("shown"))), "documents")
+    return as_presented(c.filter("shown").drop("shown")), as_anchored(c.filter("not shown").drop("shown"))
+
+
 def looked_up(p, a):
     return M.cascade_lookup(p.select("capture_id", "file_hash", "content_hash", "lookup_key", "read_status"), a.select("record_id", "file_hash", "content_hash", "lookup_key", "status", "created_at"))
 
 
 def matched(spark, d):
     """Presented, anchored, and what the lookup found; each is read several times, so each is written once."""
-    p, a = materialised(presented(spark, d), "presented"), materialised(anchored(spark, d), "anchored")
+    p, a = both_sides(spark, d)
     return p, a, materialised(looked_up(p, a), "hits")
 
 
 @query(HEAD + "select * from hit")
 def cascade_lookup(spark, d):
-    return looked_up(materialised(presented(spark, d), "presented"), materialised(anchored(spark, d), "anchored"))
+    return looked_up(*both_sides(spark, d))
+
+
+@query(HEAD + "select * from hit")
+def cascade_lookup_indexed(spark, d):
+    """``cascade_lookup`` against the anchored records laid out by their keys."""
+    a = anchored(spark, d).filter(F.col("status").isin(*M.ANCHORED))
+    name = f"anchored_{uuid.uuid4().hex[:12]}"
+    write_index(a, [("file", "file_hash"), ("content", "content_hash"), ("identity", "lookup_key")], name, ["status"], ["created_at"])
+    with filtered(spark):
+        out = materialised(key_cascade(presented(spark, d), name), "hits")
+    spark.sql(f"drop table {name}")
+    return out
 
 
 def differences(p, a, hits):

@@ -30,17 +30,20 @@ PAIRS = ALL + f""", cl as (select hi, lo, min(id) as id from u group by 1, 2), p
   union all select cl.id, u.id, 0 from u join cl using (hi, lo) where u.id <> cl.id) """
 
 
-def signatures(spark, d, turned: bool = False):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    if turned:
-        e = e.select("id", F.transform("x", lambda v, i: F.when((i * 7 + F.col("id")) % 13 == 0, -v).otherwise(v)).alias("x"))
+def union(spark, d):
+    """Signatures of the vectors (2 * id) and of their turned copies (2 * id + 1)."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") * 2).alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    turned = e.withColumn("x", F.transform("x", lambda v, i: F.when((i * 7 + F.col("id") / 2) % 13 == 0, -v).otherwise(v)))
     # Written once: later steps use a signature many times, and it would be computed anew in each place.
-    return materialised(G.median_signature(e, "id", "x"), "signatures")
+    return materialised(G.median_signature(e.unionByName(turned.withColumn("id", F.col("id") + 1)), "id", "x"), "signatures")
 
 
-def union(spark, d):
-    a, b = signatures(spark, d), signatures(spark, d, True)
-    return a.select((F.col("id") * 2).alias("id"), "h").unionByName(b.select((F.col("id") * 2 + 1).alias("id"), "h"))
+def one_side(both, turned: bool = False):
+    return both.filter(F.col("id") % 2 == int(turned)).select(F.floor(F.col("id") / 2).alias("id"), "h")
+
+
+def signatures(spark, d, turned: bool = False):
+    return one_side(union(spark, d), turned)
 
 
 @query(BOTH + f"select id as vec_id, {HEX} as h from s")
@@ -52,8 +55,9 @@ def median_signature(spark, d):
 def hamming_pairs(spark, d):
     """Distances of each signature to its re-capture; every 17th is flat, every fifth re-capture is missing."""
     flat = F.col("id") % 17 == 0
-    a = signatures(spark, d).withColumn("flat", flat)
-    b = signatures(spark, d, True).filter("id % 5 <> 0").withColumn("flat", flat & (F.col("id") % 2 == 0))
+    both = union(spark, d)
+    a = one_side(both).withColumn("flat", flat)
+    b = one_side(both, True).filter("id % 5 <> 0").withColumn("flat", flat & (F.col("id") % 2 == 0))
     return M.hamming_pairs(a, b, ["id"])
 
 
@@ -77,7 +81,8 @@ ADVICE = CELLS + """, ca as (select capture_id, count(*) filter (distance > 12):
 
 def cells_and_regions(spark, d):
     """The 64 bits as a grid of 16 cells of 4 bits, and as two regions of 32, with distances scaled to 16 and 128."""
-    a, b = signatures(spark, d), signatures(spark, d, True).withColumnRenamed("h", "ph")
+    both = union(spark, d)
+    a, b = one_side(both), one_side(both, True).withColumnRenamed("h", "ph")
     j = a.join(b, "id").withColumnRenamed("id", "capture_id")
     digit = lambda c, k: F.conv(F.substring(F.col(c), k + 1, F.lit(1)), 16, 10).cast("long")
     c = j.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15))))

@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from inkmark.operators import matching as M
+from inkmark.sources import key_index
 from inkmark.sources.event_log import DayLog
-from inkmark.sources.shared import shared_dir
+from inkmark.sources.shared import materialised, shared_dir
 from inkmark.sources.versioned import RECORD, Moved, VersionedTable, claim_retry, current, store_absent, store_stream
 
 T0 = datetime(2024, 1, 1)
@@ -120,3 +122,48 @@ def test_expired_days_go_as_folders(spark):
     kept = {r["id"] for r in log.retained("2024-01-15 12:00:00", 10).collect()}
     assert kept == {r["id"] for r in df.filter(F.col("created_at") >= F.lit("2024-01-05 12:00:00").cast("timestamp_ntz")).collect()}
     assert log.expire("2024-01-15 12:00:00", 10) == []
+
+
+def keyed(spark, name, buckets=8):
+    rows = [(i, "ISSUED", T0 + timedelta(hours=i), f"{i % 50:064x}", None if i % 7 == 0 else f"{1000 + i:064x}", f"k{i % 3}") for i in range(300)]
+    r = spark.createDataFrame(rows, "record_id long, status string, created_at timestamp, file_hash string, content_hash string, lookup_key string")
+    key_index.write_index(r, [("file", "file_hash"), ("hash", "file_hash"), ("content", "content_hash"), ("identity", "lookup_key")], name, ["status"], ["created_at"], buckets)
+    return r
+
+
+def moved(df):
+    """What stands below each exchange of a plan, as text."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line], plan
+
+
+def test_lookups_do_not_move_the_records(spark):
+    keyed(spark, "recs_plan")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # so few questions would be broadcast
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        asks = spark.range(40).select(F.concat(F.lit("file:"), F.lpad(F.hex("id"), 64, "0")).alias("lookup"))
+        asks = materialised(asks, "asks")
+        with key_index.filtered(spark):
+            exchanges, plan = moved(key_index.found(asks, "recs_plan"))
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
+    assert "SortMergeJoin" in plan and "SelectedBucketsCount: 8 out of 8" in plan
+    # What is moved by a key are the questions alone, and of these what the index may hold: a Bloom filter of its keys comes first.
+    assert len([x for x in exchanges if "hashpartitioning" in x]) == 1 and "might_contain" in plan
+    spark.sql("drop table recs_plan")
+
+
+def test_lookups_by_key(spark):
+    r = keyed(spark, "recs")
+    asks = spark.createDataFrame([(1, f"{5:064x}"), (2, f"{77:064x}"), (3, "junk"), (None, f"{6:064x}"), (4, None), (5, "12345678-1234-1234-1234-123456789012")], "ask_id long, raw string")
+    got = {r["ask_id"]: (r["record_id"], r["outcome"]) for r in key_index.bulk_lookup(asks, "recs").collect()}
+    assert got == {1: (5, "found"), 2: (None, "not_found"), 3: (None, "bad_parameter"), None: (6, "found"), 4: (None, "bad_parameter"), 5: (None, "not_found")}
+    rows = [(1, f"{7:064x}", f"{1001:064x}", "k0", "READ"), (2, "x", f"{1001:064x}", "k0", "READ"), (3, "x", "y", "k1", "READ"), (4, "x", f"{1001:064x}", "k1", "UNREADABLE"), (5, None, None, None, None)]
+    p = spark.createDataFrame(rows, "capture_id long, file_hash string, content_hash string, lookup_key string, read_status string")
+    got = sorted(map(tuple, key_index.cascade_lookup(p, "recs").collect()))
+    assert got == [(1, 7, "file"), (2, 1, "content"), (3, 298, "identity"), (4, None, None), (5, None, None)]
+    assert got == sorted(map(tuple, M.cascade_lookup(p, r).select("capture_id", "record_id", "how").collect()))
+    spark.sql("drop table recs")
