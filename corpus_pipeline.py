@@ -32,8 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8, over whole texts) the row with the smallest doc_id.
 
-    Texts without a word are near copies of their like only; rows without an id stay where their group has none with one; rows that repeat
-    the id that stays all stay. An empty table stays empty; all columns are kept, whatever their names.
+    Texts without a word are near copies of their like only; rows without an id go as soon as one of them is a near copy of a row with one; rows
+    that repeat the id that stays all stay. An empty table stays empty; all columns are kept, whatever their names.
     """
     return simhash.apply_near_dedup(docs)
 
