@@ -154,6 +154,10 @@ def resolve(docs: DataFrame, state: str | None = None, arrival: str | None = Non
     return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+#: Dropped rows that are broadcast at most.
+SENT = 500_000
+
+
 def apply_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows that ``resolve`` drops; rows that repeat a kept doc_id and text all stay. Columns are kept whatever their names."""
     names, spark = [f"c{i}" for i in range(len(docs.columns))], docs.sparkSession
@@ -162,6 +166,9 @@ def apply_dedup(docs: DataFrame) -> DataFrame:
     discard(spark, state)  # the state and the copy of the texts end with the decision
     own = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], F.col("doc_id").cast("long").alias("id"))
     digest = F.sha2(lower_ascii(F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit(""))), 256)
-    # The join is on the id alone, so that only rows with an id that is dropped are hashed again.
+    # The join is on the id alone, so that only rows with an id that is dropped are hashed again. Up to SENT dropped rows (some 100 bytes each) are sent to all
+    # tasks, so that no document is moved; more are met by a shuffle.
+    if dropped.count() <= SENT:
+        dropped = F.broadcast(dropped)
     left = own.join(dropped, F.col("id").eqNullSafe(F.col("drop")) & (digest <= F.col("sha")) & (digest >= F.col("sha")), "left_anti")
     return left.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
