@@ -71,12 +71,23 @@ def joins(heads: list[list[int]], tails: list[list[int]]) -> list[int | None]:
     return [min(set(t) & set(h), default=None) for t, h in zip(tails[:-1], heads[1:], strict=True)]
 
 
+#: Chunks up to which the table of seams (24 bytes for each) is sent to every task instead of moving the chunks to meet it.
+SEAMS = 1_000_000
+
+
 def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int, with_decoded: bool) -> DataFrame:
-    """_row, ids, n_tokens and decoded of each row (_row unique, _text longer than chunk)."""
-    n = F.ceil(F.length("_text") / chunk).cast("int")
-    chunks = long.select("_row", "_text", F.explode(F.sequence(F.lit(0), n - 1)).alias("_no"))
-    chunks = chunks.select("_row", "_no", F.substring("_text", F.col("_no") * chunk + 1, F.lit(chunk + overlap)).alias("_text"))
-    chunks = chunks.repartition("_row", "_no")
+    """The rows of long (_row, which is unique, _text, longer than chunk, and others) without _text, with ids, n_tokens and decoded."""
+    names = [c for c in long.columns if c not in ("_row", "_text")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1)):
+                t = text.as_py()
+                parts = [t[at : at + chunk + overlap] for at in range(0, len(t), chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["_row", "_no", "_text"])
+
+    # Written, as both passes over the chunks read them where they lie.
+    chunks, _ = written(long.select("_row", "_text").mapInArrow(cut, "_row long, _no int, _text string").repartition("_row", "_no"), "bpe-chunks")
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -92,6 +103,8 @@ def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap:
         return pd.DataFrame({"_row": pdf["_row"], "_no": pdf["_no"], "begin": [0, *at], "end": [*end, chunk]})
 
     seams = chunks.mapInPandas(starts, "_row long, _no int, head array<int>, tail array<int>").groupBy("_row").applyInPandas(cuts, "_row long, _no int, begin int, end int")
+    if chunks.count() <= SEAMS:
+        seams = F.broadcast(seams)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The ids of a piece that is cut on both sides, the text of any other."""
@@ -105,11 +118,11 @@ def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap:
                 texts.append(None if whole else piece)
             yield pd.DataFrame({"_row": pdf["_row"], "_no": pdf["_no"], "ids": ids, "piece": texts, "open": pdf["end"] < 0})
 
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+    def together(t: pa.Table) -> pa.Table:
         enc = encoding(path, pattern)
         out, run = [], []
-        pdf = pdf.sort_values("_no")
-        for ids, piece, goes_on in zip(pdf["ids"], pdf["piece"], pdf["open"], strict=True):
+        t = t.take(pa.array(np.argsort(t.column("_no").to_numpy())))
+        for ids, piece, goes_on in zip(*(t.column(c).to_pylist()[1:] for c in ("ids", "piece", "open")), strict=True):
             if ids is not None:
                 out.append(ids)
                 continue
@@ -119,13 +132,16 @@ def _encode_long(long: DataFrame, path: str, pattern: str, chunk: int, overlap:
                 run = []
         ids = b"".join(out)
         back = decode(ids, token_bytes(path, pattern)) if with_decoded else None
-        return pd.DataFrame({"_row": [pdf["_row"].iloc[0]], "ids": [ids], "n_tokens": [len(ids) // 4], "decoded": [back]})
+        made = [pa.array([ids], pa.binary()), pa.array([len(ids) // 4], pa.int64()), pa.array([back], pa.binary())]
+        return pa.Table.from_arrays([*t.slice(0, 1).select(names).columns, *made], names=[*names, "ids", "n_tokens", "decoded"])
 
     done = chunks.join(seams, ["_row", "_no"]).mapInPandas(pieces, "_row long, _no int, ids binary, piece string, open boolean")
-    return done.groupBy("_row").applyInPandas(together, "_row long, ids binary, n_tokens long, decoded binary")
+    # The row's other columns come to its pieces as one more, before the first: so ids are moved once.
+    both = done.unionByName(long.drop("_text").withColumn("_no", F.lit(-1)), allowMissingColumns=True)
+    return both.groupBy("_row").applyInArrow(together, long.select(*names).schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, with_decoded: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, with_decoded: bool = False, with_text: bool = True) -> DataFrame:
     """docs with ids (binary: little-endian unsigned 32-bit) and n_tokens added; columns of these names are replaced.
 
     Each match of the pattern is encoded separately, without special tokens; null counts as empty (no ids). Texts up
@@ -135,10 +151,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overla
     overlap), the pieces on both sides are encoded as one when the text's ids are put together. Long rows are numbered
     before they are cut, so repeated rows and ids don't matter. An empty table gives an empty result; other columns are kept whatever their names.
 
-    with_decoded: also decode the ids, in the same pass, to the column ``decoded`` (binary).
+    with_decoded: also decode the ids, in the same pass, to the column ``decoded`` (binary). with_text: keep the column text; without it, long texts aren't
+    moved beside their chunks.
     """
     arrow_rows(docs.sparkSession, 512)
-    added = ["ids", "n_tokens", *(["decoded"] if with_decoded else [])]
+    added = ["ids", "n_tokens", *(["decoded"] if with_decoded else []), *([] if with_text else ["text"])]
     keep = [c for c in docs.columns if c not in added]
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
@@ -154,9 +171,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overla
     short = rows.filter(F.length("_text") <= chunk)
     short = short.mapInArrow(whole, rows.drop("_text").schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "binary"))
     long, _ = written(rows.filter(F.length("_text") > chunk).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
-    ids = _encode_long(long.select("_row", "_text"), path, pattern, chunk, overlap, with_decoded)
-    both = short.unionByName(long.drop("_text").join(ids, "_row").drop("_row"))
-    return both.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *added)
+    both = short.unionByName(_encode_long(long, path, pattern, chunk, overlap, with_decoded))
+    return both.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *[a for a in added if a != "text"])
 
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:

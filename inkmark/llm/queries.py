@@ -80,7 +80,7 @@ def op9_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    out = bpe.encoded(docs, path, pattern, with_decoded=True)
+    out = bpe.encoded(docs, path, pattern, with_decoded=True, with_text=False)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
