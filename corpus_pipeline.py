@@ -55,7 +55,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     rows = docs.select("doc_id", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("was"))
-    out = bpe.encoded(rows, path, pattern, with_decoded=True)
+    out = bpe.encoded(rows, path, pattern, with_decoded=True, with_text=False)
     return out.select("doc_id", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("was")).alias("round_trip"))
 
 
