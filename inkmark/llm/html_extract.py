@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, discard, written
 
 #: A run of MIN_TOKENS tokens, or a whole block of fewer, on at least MIN_PAGES distinct pages of a host is boilerplate.
 MIN_TOKENS, MIN_PAGES = 6, 3
@@ -57,6 +57,7 @@ class Block:
     inside: bool  # in an article or main element
     beside: bool  # in an element that is not part of the article by its name or marks
     doubt: bool = False  # in an element whose name may mean either
+    prose: bool = False  # in a paragraph, heading, list item or the like (TEXT)
 
 
 SURE, PERHAPS, NOT = 2, 1, 0
@@ -98,17 +99,17 @@ def blocks(page: str) -> list[Block]:
     An inline end tag doesn't close a block-level element. Time grows with the page's length alone.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool, int]] = []  # name, beside, inside, silent, in doubt, block-level elements up to here
+    stack: list[tuple[str, bool, bool, bool, bool, bool, int]] = []  # name, beside, inside, silent, in doubt, prose, block-level elements up to here
     places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack a name is
     piece: list[str] = []
-    beside = inside = silent = doubt = False
+    beside = inside = silent = doubt = prose = False
 
     def flush() -> None:
         if piece:
             text = " ".join(html.unescape("".join(piece)).split())
             piece.clear()
             if text and not silent:
-                out.append(Block(text, inside, beside, doubt))
+                out.append(Block(text, inside, beside, doubt, prose))
 
     def close(k: int) -> None:
         while len(stack) > k:
@@ -132,7 +133,7 @@ def blocks(page: str) -> list[Block]:
         if end:
             if places[name]:
                 k = places[name][-1]
-                if name in _INLINE and stack[-1][5] > stack[k][5]:
+                if name in _INLINE and stack[-1][6] > stack[k][6]:
                     continue
                 close(k)
         elif name in _VOID or name == "svg" and m[4].endswith("/"):
@@ -141,59 +142,65 @@ def blocks(page: str) -> list[Block]:
             if name not in _INLINE:
                 while stack and (stack[-1][0] == CLOSED_BY_BLOCK or stack[-1][0] in _INLINE and places[CLOSED_BY_BLOCK]):
                     close(len(stack) - 1)
-            was_beside, was_inside, was_silent, was_doubt, level = stack[-1][1:] if stack else (False, False, False, False, 0)
-            mark = _is_beside(name, m[4], was_inside or name in ("article", "main"))
+            was_beside, was_inside, was_silent, was_doubt, was_prose, level = stack[-1][1:] if stack else (False, False, False, False, False, 0)
+            frame = name in ("article", "main")
+            mark = _is_beside(name, m[4], was_inside or frame)
             if mark and name in _INLINE:
                 flush()
             places[name].append(len(stack))
-            stack.append((name, was_beside or mark == SURE, was_inside or name in ("article", "main"), was_silent or name in _SILENT and name != "head", was_doubt or mark == PERHAPS, level + (name not in _INLINE)))
-        new = stack[-1][1:5] if stack else (False, False, False, False)
-        if new != (beside, inside, silent, doubt):
+            stack.append((name, was_beside or mark == SURE, was_inside or frame, was_silent or name in _SILENT and name != "head", was_doubt or mark == PERHAPS, name in _TEXT or was_prose and not frame, level + (name not in _INLINE)))
+        new = stack[-1][1:6] if stack else (False, False, False, False, False)
+        if new != (beside, inside, silent, doubt, prose):
             flush()
-            beside, inside, silent, doubt = new
+            beside, inside, silent, doubt, prose = new
     if at < len(page) and not silent:
         piece.append(page[at:])
     flush()
     return out
 
 
-#: What a block is to the decision: boilerplate by its marks, open to what the host repeats, in the page's article, or there with a doubtful mark.
-MARKED, OPEN, FRAME, DOUBT = 0, 1, 2, 3
+#: What a block is to the decision: boilerplate by its marks, open to what the host repeats, prose of the page's article, there with a doubtful mark, there outside prose.
+MARKED, OPEN, FRAME, DOUBT, BARE = 0, 1, 2, 3, 4
 
 
 def sorted_out(page: str) -> tuple[str | None, list[str], list[int]]:
-    """(text, blocks, kinds) of a page: the text if the structure alone decides it, else None and all blocks.
-
-    It decides where an article or main element holds text, none of it with a doubtful mark, and all other text is marked as beside it. The blocks of a page that is
-    decided are those that it lends to its host: all but the article.
-    """
+    """(text, blocks, kinds) of a page: all its blocks, and what the structure makes of each. It decides no page that has a block: text is None, or empty where there is none."""
     cut = blocks(page)
-    kinds = [MARKED if b.beside else DOUBT if b.doubt and b.inside else FRAME if b.inside else OPEN for b in cut]
-    if FRAME in kinds and OPEN not in kinds and DOUBT not in kinds or not cut:
-        return "\n".join(b.text for b, k in zip(cut, kinds) if k == FRAME), [b.text for b, k in zip(cut, kinds) if k != FRAME], [MARKED] * kinds.count(MARKED)
-    return None, [b.text for b in cut], kinds
-
+    kinds = [MARKED if b.beside else OPEN if not b.inside else DOUBT if b.doubt else FRAME if b.prose else BARE for b in cut]
+    return None if cut else "", [b.text for b in cut], kinds
 
-def unique_runs(texts: list[str], kinds: list[int], marks: list[int], min_tokens: int, known: bool = True) -> str:
-    """The text of a page that its structure doesn't decide.
 
-    marks: where in its stream (the tokens of all blocks but the article's) a repeated run begins; -1 - i for the i-th block of the
-    stream if it is a repeated whole. Blocks in doubt or open that are covered by repeated runs go, others stay whole. Where
-    there is an article, what stays beside it counts only if it is longer than the article (which then is a teaser), and the host is ``known``, that
-    is, has so many pages that it would show what it repeats.
-    """
+def uncovered(texts: list[str], kinds: list[int], marks: list[int], min_tokens: int) -> set[int]:
+    """Of a stream's blocks those that no mark of their own and nothing the host repeats takes away. A short whole says nothing about an article's bare block."""
     sizes = [t.count(" ") + 1 for t in texts]
-    stream = [i for i, k in enumerate(kinds) if k != FRAME]
-    start = np.zeros(sum(sizes[i] for i in stream) + 1, dtype=np.int64)
+    start = np.zeros(sum(sizes) + 1, dtype=np.int64)
     runs = np.array([x for x in marks if x >= 0], dtype=np.int64)
     np.add.at(start, runs, 1)
     np.add.at(start, np.minimum(runs + min_tokens, len(start) - 1), -1)
-    covered, whole, at, kept = np.cumsum(start[:-1]) > 0, {-1 - x for x in marks if x < 0}, 0, set()
-    for n, i in enumerate(stream):
-        if kinds[i] in (OPEN, DOUBT) and n not in whole and not covered[at : at + sizes[i]].all():
-            kept.add(i)
-        at += sizes[i]
-    frame = {i for i, k in enumerate(kinds) if k == FRAME or k == DOUBT and i in kept}
+    covered, whole, at, out = np.cumsum(start[:-1]) > 0, {-1 - x for x in marks if x < 0}, 0, set()
+    for n, (k, size) in enumerate(zip(kinds, sizes)):
+        if k != MARKED and (n not in whole or k == BARE) and not covered[at : at + size].all():
+            out.add(n)
+        at += size
+    return out
+
+
+def unique_runs(texts: list[str], kinds: list[int], marks: list[int] | None, min_tokens: int, known: bool = True) -> str:
+    """The text of a page: the blocks that its host doesn't repeat, checked against the page's structure.
+
+    marks: where in its stream (the tokens of all blocks but the article's prose) a repeated run begins; -1 - i for the i-th block of the
+    stream if it is a repeated whole; None if all blocks without a mark of their own are covered. Blocks in doubt, open or bare that are covered by repeated
+    runs go, others stay whole. The check: marked blocks go, an article's prose stays; bare blocks stay as well if the covered ones are more than half of the article's
+    tokens (which then is a copy). Where there is an article, what stays beside it counts only if it is longer than the article (which then is a teaser), and the
+    host is ``known``, that is, has so many pages that it would show what it repeats.
+    """
+    sizes = [t.count(" ") + 1 for t in texts]
+    stream = [i for i, k in enumerate(kinds) if k != FRAME]
+    kept = set() if marks is None else {stream[n] for n in uncovered([texts[i] for i in stream], [kinds[i] for i in stream], marks, min_tokens)}
+    frame = {i for i, k in enumerate(kinds) if k == FRAME or i in kept and k in (DOUBT, BARE)}
+    covered = {i for i, k in enumerate(kinds) if k == BARE and i not in kept}
+    if sum(sizes[i] for i in covered) > sum(sizes[i] for i in frame):
+        frame |= covered
     beside = {i for i in kept if kinds[i] == OPEN}
     if frame and (not known or sum(sizes[i] for i in beside) <= sum(sizes[i] for i in frame)):
         beside = set()
@@ -206,16 +213,17 @@ def host(url) -> Column:
 
 
 def suffix_array(streams: DataFrame, depth: int) -> DataFrame:
-    """The suffix array of each host's concatenated streams (row, host, texts) to a depth in tokens: (host, key, row, at), in its order.
+    """The suffix array of each host's concatenated streams (row, host, texts, and pages: how many pages have it, else 1) to a depth in tokens: (host, key, row, at, pages), in its order.
 
-    A stream is the tokens of a page; pages are apart, so a suffix that is shorter than ``depth`` within its page isn't in. Tokens are hashed to
+    A stream is the tokens of a page, given once however many pages have the same; pages are apart, so a suffix that is shorter than ``depth`` within its page isn't in. Tokens are hashed to
     64 bits, whose order is that of the alphabet. Suffixes are sorted by ranges of (host, key, row), so a host of any share of all pages, and a
     menu that is on each of them, lie in many partitions, one after the other; a page's places of one key lie in one.
     """
     codes = F.transform(F.split(F.array_join("texts", " "), " "), lambda t: F.xxhash64(t))
     n = F.size("codes") - depth
     places = F.transform(F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.slice("codes", i + 1, depth).alias("key"), i.alias("at")))
-    rows = streams.withColumn("codes", codes).select("row", "host", F.explode(places).alias("p")).select("host", "p.key", "row", "p.at")
+    pages = F.col("pages") if "pages" in streams.columns else F.lit(1)
+    rows = streams.select("row", "host", pages.cast("long").alias("pages"), codes.alias("codes")).select("row", "host", "pages", F.explode(places).alias("p")).select("host", "p.key", "row", "p.at", "pages")
     array, _ = written(rows.repartitionByRange("host", "key", "row").sortWithinPartitions("host", "key", "row", "at"), "html-suffixes")
     return array
 
@@ -236,17 +244,17 @@ def intervals(array: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in filter(len, batches):
-            hosts, rows = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            hosts, rows, weights = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(4).to_numpy()
             keys = b.column(1).flatten().to_numpy().reshape(b.num_rows, depth)
             if last is not None:
-                hosts, keys, rows = np.concatenate(([last[0]], hosts)), np.concatenate((last[1][None], keys)), np.concatenate(([last[2]], rows))
+                hosts, keys, rows, weights = np.concatenate(([last[0]], hosts)), np.concatenate((last[1][None], keys)), np.concatenate(([last[2]], rows)), np.concatenate(([0], weights))
             same = np.concatenate(([False], hosts[1:] == hosts[:-1]))
             first = prefixes(keys, same) < depth
             page = first | np.concatenate(([True], rows[1:] != rows[:-1]))
             if last is not None:
                 page[0] = False  # it was counted with the batch before
             begin = np.flatnonzero(first)
-            pages = np.add.reduceat(page.astype(np.int64), begin)
+            pages = np.add.reduceat(np.where(page, weights, 0), begin)
             on = begin[pages > 0]
             last = hosts[-1], keys[-1], rows[-1]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(on) + 1) * depth, depth), pa.int32()), pa.array(keys[on].reshape(-1)))
@@ -257,8 +265,8 @@ def intervals(array: DataFrame, depth: int) -> DataFrame:
 
 
 def repeated(streams: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(row, marks) of each page: where runs of min_tokens tokens begin that at least min_pages distinct pages of its host hold, and blocks of
-    fewer tokens that are wholes on so many (as -1 - their number). streams: row, host, texts of distinct pages.
+    """(row, marks) of each stream: where runs of min_tokens tokens begin that at least min_pages distinct pages of its host hold, and blocks of
+    fewer tokens that are wholes on so many (as -1 - their number). streams: row, host, texts of distinct streams, pages (how many distinct pages have it).
 
     The runs are the intervals of the host's suffix array with that common prefix; longer repeated substrings are chains of them, so what they cover is
     covered. Counts are added up before they are shuffled, so neither a hot host nor a menu that is on all its pages meets in one task, and
@@ -269,8 +277,8 @@ def repeated(streams: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int =
     runs, _ = written(runs, "html-runs")
     long = array.join(runs, ["host", "key"]).select("row", "at")
     short = F.transform("texts", lambda t, i: F.struct(F.xxhash64("host", t).alias("run"), (-1 - i).alias("at"), F.size(F.split(t, " ")).alias("n")))
-    wholes = streams.select("row", F.explode(F.filter(short, lambda x: x["n"] < min_tokens)).alias("x")).select("row", "x.run", "x.at")
-    often = wholes.select("row", "run").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("run")
+    wholes = streams.select("row", "pages", F.explode(F.filter(short, lambda x: x["n"] < min_tokens)).alias("x")).select("row", "pages", "x.run", "x.at")
+    often = wholes.select("row", "pages", "run").distinct().groupBy("run").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= min_pages).select("run")
     often, _ = written(often, "html-wholes")
     return long.unionByName(wholes.join(often, "run").select("row", "at")).groupBy("row").agg(F.collect_list("at").alias("marks"))
 
@@ -281,10 +289,12 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
     Null, empty and blank html: empty text; null url: pages of one host without a name; repeated rows come out as often as they
     came in; an empty table gives an empty result; whole pages are read, however long.
 
-    The structure sorts a page's blocks (``sorted_out``). Blocks that are in no article and not marked as beside it, and those with a doubtful mark,
-    are decided by what their host repeats: in the suffix array of the token streams of all its pages, but for their articles,
-    runs are found that stand on several distinct pages (``repeated``); blocks that such runs cover go, unique ones stay
-    (``unique_runs``). A host with fewer pages than that shows nothing: there an article is the text, and without one all open blocks are. The result doesn't depend on the number of partitions or the order of rows.
+    Every page goes the same way. Its blocks, but for its article's prose, are its stream (``sorted_out``). In the suffix array of the token streams of all pages of
+    its host, runs are found that stand on several distinct pages (``repeated``): blocks that such runs cover go, unique ones are checked
+    against the structure (``unique_runs``). A host with fewer pages than that shows nothing: there an article is the text, and without one all
+    open blocks are. The result doesn't depend on the number of partitions or the order of rows.
+
+    Equal streams of a host are one in the array, with the number of their pages. The blocks themselves are moved only if streams that keep something are too many to broadcast.
     """
     spark = pages.sparkSession
     arrow_rows(spark, 256)
@@ -292,28 +302,35 @@ def main_text(pages: DataFrame, min_tokens: int = MIN_TOKENS, min_pages: int = M
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, texts, kinds = zip(*map(sorted_out, b.column(2).to_pylist())) if len(b) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=["page_id", "url", "text", "texts", "kinds"])
+            _, texts, kinds = zip(*map(sorted_out, b.column(2).to_pylist())) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32()))], names=["page_id", "url", "texts", "kinds"])
+
+    def uncovers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(uncovered(t, k, m, min_tokens)) for t, k, m in zip(*(b.column(c).to_pylist() for c in ("texts", "kinds", "marks")))], pa.bool_()))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = [unique_runs(t, k, m, min_tokens, w) for t, k, m, w in zip(*(c.to_pylist() for c in b.columns[2:]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    def digest(texts: Column | str, kinds: Column | str) -> Column:  # no block holds a line feed
+        return F.unhex(F.sha2(F.concat(F.array_join(kinds, ","), F.lit("\n"), F.array_join(texts, "\n")), 256))
 
-    done = rows.mapInArrow(cut, "page_id long, url string, text string, texts array<string>, kinds array<int>")
+    done = rows.mapInArrow(cut, "page_id long, url string, texts array<string>, kinds array<int>")
     done, _ = written(done.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host(F.col("url"))), "html-blocks")
-    decided, asks = done.filter("text is not null").select("page_id", "url", "text"), done.filter("text is null")
-    if not asks.isEmpty():
-        stream = F.transform(F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] != FRAME), lambda x: x["texts"])
-        # Of the hosts that ask, pages of equal blocks are one page, named by its smallest row.
-        page = F.sha2(F.to_json(F.struct("text", "texts")), 256)
-        of = done.join(asks.select("host").distinct(), "host", "left_semi").select("row", "host", stream.alias("texts"), page.alias("digest"))
-        pages, _ = written(of.groupBy("host", "digest").agg(F.min("row").alias("first")), "html-pages")
-        distinct, _ = written(of.join(pages.select(F.col("first").alias("row")), "row", "left_semi").filter(F.size("texts") > 0).select("row", "host", "texts"), "html-streams")
-        marks, _ = written(repeated(distinct, min_tokens, min_pages), "html-marks")
-        sizes = pages.groupBy("host").agg((F.count(F.lit(1)) >= min_pages).alias("known"))
-        asks = asks.withColumn("digest", page).join(pages, ["host", "digest"]).join(marks.withColumnRenamed("row", "first"), "first", "left").join(sizes, "host")
-        asks = asks.select("page_id", "url", "texts", "kinds", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"), "known")
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = [unique_runs(t, k, m, min_tokens, w) for t, k, m, w in zip(*(c.to_pylist() for c in b.columns[2:]))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
-
-        decided = decided.unionByName(asks.mapInArrow(choose, "page_id long, url string, text string"))
-    return decided.withColumn("n_chars", F.length("text").cast("long"))
+    stream = F.filter(F.arrays_zip("texts", "kinds"), lambda x: x["kinds"] != FRAME)
+    stream = F.transform(stream, lambda x: x["texts"]), F.transform(stream, lambda x: x["kinds"])
+    # Pages of a host that are equal in their blocks are one page; streams are named by their smallest row.
+    of = done.select("row", "host", stream[0].alias("texts"), stream[1].alias("kinds"), digest("texts", "kinds").alias("page"))
+    of = of.withColumn("digest", digest("texts", "kinds"))
+    apart = of.groupBy("host", "digest", "page").agg(F.min("row").alias("row")).groupBy("host", "digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("pages"))
+    apart, apart_path = written(apart, "html-pages")
+    streams, streams_path = written(of.select("row", "texts", "kinds").filter(F.size("texts") > 0).join(apart, "row"), "html-streams")
+    marks, marks_path = written(repeated(streams, min_tokens, min_pages), "html-marks")
+    sizes = apart.groupBy("host").agg((F.sum("pages") >= min_pages).alias("known"))
+    asks = streams.join(marks, "row", "left").join(sizes, "host").select("host", "digest", "texts", "kinds", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"), "known")
+    kept, _ = written(asks.mapInArrow(uncovers, asks.schema).select("host", "digest", "marks", "known"), "html-kept")
+    discard(spark, apart_path, streams_path, marks_path)
+    texts = done.withColumn("digest", digest(*stream)).join(kept, ["host", "digest"], "left").select("page_id", "url", "texts", "kinds", "marks", F.coalesce("known", F.lit(True)))
+    return texts.mapInArrow(choose, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

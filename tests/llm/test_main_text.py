@@ -1,12 +1,14 @@
 """Main text: structure, and runs that a host repeats, against brute force."""
 
+import os
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
-from inkmark.llm import html_extract
+from inkmark.llm import html_extract, queries
 
 PAGES = "page_id long, url string, html string"
 SITE = "http://a.example.org/"
@@ -88,6 +90,56 @@ def test_prefixes_of_neighbours():
     assert html_extract.prefixes(keys, np.array([False, True, True, True, False])).tolist() == [0, 2, 3, 0, 0]
 
 
+def test_every_given_page_goes_through_the_array_of_its_host(spark, sf, monkeypatch):
+    sf, seen = os.path.join(os.path.dirname(sf), "sf0.01"), {}  # the smallest tables' hosts repeat nothing
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+
+    def spied(streams, *args, whole=html_extract.repeated):
+        marks = whole(streams, *args).localCheckpoint()
+        seen["streams"], seen["marks"] = streams.collect(), {r["row"]: sorted(r["marks"]) for r in marks.collect()}
+        return marks
+
+    monkeypatch.setattr(html_extract, "repeated", spied)
+    got = {r["page_id"]: r["text"] for r in queries.op8_main_text(spark, sf).collect()}
+    pages = {}  # host and stream: its distinct pages
+    for url, page in duck.sql("select url, html from pages").fetchall():
+        _, texts, kinds = html_extract.sorted_out(page)
+        stream = tuple(t for t, k in zip(texts, kinds) if k != html_extract.FRAME)
+        pages.setdefault((url.split("://")[1].split("/")[0].lower(), stream), set()).add(tuple(texts))
+    assert {(r["host"], tuple(r["texts"])): r["pages"] for r in seen["streams"]} == {k: len(v) for k, v in pages.items()}
+    need, on = html_extract.MIN_TOKENS, {}
+    for (host, stream), held in pages.items():
+        t = " ".join(stream).split(" ")
+        for x in {tuple(t[i : i + need]) for i in range(len(t) - need + 1)} | {b for b in stream if len(b.split(" ")) < need}:
+            on[host, x] = on.get((host, x), 0) + len(held)
+    for r in seen["streams"]:
+        t = " ".join(r["texts"]).split(" ")
+        want = [i for i in range(len(t) - need + 1) if on[r["host"], tuple(t[i : i + need])] >= 3]
+        want += [-1 - i for i, b in enumerate(r["texts"]) if len(b.split(" ")) < need and on[r["host"], b] >= 3]
+        assert seen["marks"].get(r["row"], []) == sorted(want)
+    assert seen["marks"] and got == dict(duck.sql(f"select page_id, text from ({queries.oracle_sql()['op8_main_text']})").fetchall())
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_a_notice_in_the_article_goes_where_the_host_repeats_it(spark, partitions):
+    page = "<article><p>%s</p><div class=x7>%s</div></article><nav>Home</nav>"
+    notice, story = "Get all of our stories in one letter", [f"Story {i} is told here, and it is told at some length" for i in range(4)]
+    assert texts(spark, [page % (t, notice) for t in story], partitions) == story
+    assert texts(spark, [page % (t, notice) for t in story[:2]], partitions) == [f"{t}\n{notice}" for t in story[:2]]  # the host doesn't show it
+    said = [f"{t}\nEach one has another end, which is number {i}" for i, t in enumerate(story)]
+    assert texts(spark, [page % tuple(t.split("\n")) for t in said], partitions) == said
+    prose = "<article><p>%s</p><p>Get all of our stories in one letter</p></article>"
+    assert texts(spark, [prose % t for t in story], partitions) == [f"{t}\n{notice}" for t in story]
+
+
+def test_copies_of_an_article_without_paragraphs_stay_whole(spark):
+    page = "<article><div>One story that was put up many times over</div><div>It has an end that all of its copies have</div>%s</article><div>Page %d of this site</div>"
+    whole = "One story that was put up many times over\nIt has an end that all of its copies have"
+    assert texts(spark, [page % ("", i) for i in range(5)]) == [whole] * 5
+    assert texts(spark, [page % (f"<p>Copy {i}</p>", i) for i in range(5)]) == [f"{whole}\nCopy {i}" for i in range(5)]
+
+
 def test_what_is_in_doubt_goes_where_the_host_repeats_it(spark):
     page = "<article><p>Story number %d is told here</p><div class=share>%s</div></article>"
     shared = "Tell all of your friends about this story"
