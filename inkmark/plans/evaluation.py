@@ -75,7 +75,7 @@ def flat_filter(spark, d):
   b as (select l_suppkey, v, case when w > w0 then w0 * (w - w0) * (s0::double / w0 - (s - s0)::double / (w - w0)) * (s0::double / w0 - (s - s0)::double / (w - w0)) end as b from w)
   select l_suppkey, coalesce((select min(v) from b x where x.l_suppkey = y.l_suppkey and x.b >= y.m * (1 - 1e-12) and y.m > 0), 128) as threshold from (select l_suppkey, max(b) as m from b group by 1) y""")
 def best_split(spark, d):
-    return G.best_split(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
+    return G.best_split(table(spark, d, "lineitem").select("l_suppkey", F.rint("l_quantity").alias("l_quantity")), "l_suppkey", "l_quantity")
 
 
 @query("""with h as (select l_suppkey as g, l_quantity as v, count(*) as n from lineitem group by 1, 2),
