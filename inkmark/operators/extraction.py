@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.functions.text import norm, repair_id
+from inkmark.sources.shared import materialised
 
 MIN_CONFIDENCE = 75.0
 
@@ -62,17 +63,28 @@ def extract_by_patterns(texts: DataFrame, patterns: dict[str, list[str]], column
     return texts.select("*", *[found(ps).alias(name) for name, ps in patterns.items()])
 
 
-def vote_readings(readings: DataFrame) -> DataFrame:
+def vote_readings(readings: DataFrame, order: str = "seq") -> DataFrame:
     """readings (doc_id, field, seq, text, confidence) -> text, votes, agreement, confidence of the winner of each field.
 
-    Readings are grouped by upper-case text with single spaces; most votes win, then the highest mean confidence, then the first.
+    Readings are grouped by upper-case text with single spaces; most votes win, then the highest mean confidence, then the first. The last bits of a sum
+    of doubles depend on the order of its terms, so means that are equal but for these are taken again from the terms in the order of
+    ``order``: how rows are dealt to tasks decides nothing. Empty readings, and those without a document or field, count in the total alone.
     """
-    key = norm(F.col("text"))
-    total = readings.groupBy("doc_id", "field").agg(F.count(F.lit(1)).alias("total"))
-    g = readings.filter(F.coalesce("text", F.lit("")) != "").groupBy("doc_id", "field", key.alias("key")).agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("mean"), F.min("seq").alias("first"), F.min_by("text", "seq").alias("text"))
-    best = g.groupBy("doc_id", "field").agg(F.max_by(F.struct("text", "votes", "mean"), F.struct("votes", "mean", -F.col("first"))).alias("w"))
+    ids = ["doc_id", "field", "key"]
+    r = readings.withColumn("key", F.when((F.col("text") != "") & F.col("doc_id").isNotNull() & F.col("field").isNotNull(), norm(F.col("text"))))
+    g = r.groupBy(*ids).agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("mean"), F.min("seq").alias("first"), F.min_by("text", "seq").alias("text"))
+    # The sum of two doesn't depend on their order. Means that lie close together share a step of one of the two scales. Few are left; if they are
+    # few by the size of what is written, they are broadcast.
+    steps = F.posexplode(F.array(F.floor(F.col("mean") * 1e9), F.floor(F.col("mean") * 1e9 + 0.5))).alias("scale", "step")
+    near = g.filter("key is not null and votes > 2").select(*ids, "votes", steps)
+    near = near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "field", "votes", "scale", "step"))).filter("_n > 1").select(*ids).distinct()
+    upto = Window.partitionBy(*ids).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = r.select(*ids, order, "confidence").join(materialised(near, "near-means"), ids).withColumn("_mean", F.sum("confidence").over(upto) / F.count("confidence").over(upto))
+    g = g.join(summed.groupBy(*ids).agg(F.max_by("_mean", order).alias("_mean")), ids, "left").withColumn("mean", F.coalesce("_mean", "mean"))
+    read = lambda c: F.when(F.col("key").isNotNull(), c)
+    best = g.groupBy("doc_id", "field").agg(F.sum("votes").alias("total"), F.max_by(F.struct("text", "votes", "mean"), read(F.struct("votes", "mean", -F.col("first")))).alias("w"))
     agreement = F.coalesce(F.col("w.votes") / F.col("total"), F.lit(0.0))
-    return total.join(best, ["doc_id", "field"], "left").select("doc_id", "field", F.coalesce("w.text", F.lit("")).alias("text"), F.coalesce("w.votes", F.lit(0)).alias("votes"), agreement.alias("agreement"), F.coalesce(F.least(F.lit(1.0), F.col("w.mean") * (0.6 + 0.4 * agreement)), F.lit(0.0)).alias("confidence"))
+    return best.select("doc_id", "field", F.coalesce("w.text", F.lit("")).alias("text"), F.coalesce("w.votes", F.lit(0)).alias("votes"), agreement.alias("agreement"), F.coalesce(F.least(F.lit(1.0), F.col("w.mean") * (0.6 + 0.4 * agreement)), F.lit(0.0)).alias("confidence"))
 
 
 def fill_gaps(entered: DataFrame, read: DataFrame, required: list[str], key: str = "doc_id") -> DataFrame:

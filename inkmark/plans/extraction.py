@@ -75,9 +75,10 @@ def extract_by_patterns(spark, d):
   w as (select *, row_number() over (partition by doc_id, field order by votes desc, mean desc, f) as n from g)
   select t.doc_id, t.field, coalesce(w.text, '') as text, coalesce(w.votes, 0) as votes, coalesce(w.votes / t.total, 0.0) as agreement, coalesce(least(1.0, w.mean * (0.6 + 0.4 * (w.votes / t.total))), 0.0) as confidence from t left join w on w.doc_id = t.doc_id and w.field = t.field and w.n = 1""")
 def vote_readings(spark, d):
+    """Readings of lines; means that only their last bits tell apart are summed in the table's order, as the SQL does that reads it in one piece."""
     t = F.when(F.col("l_quantity") > 45, "").otherwise(F.element_at(F.array(F.lit("a b"), F.lit(" A  B"), F.lit("c")), (F.col("l_suppkey") % 3 + 1).cast("int")))
-    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("field"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("seq"), t.alias("text"), F.col("l_discount").alias("confidence"))
-    return X.vote_readings(r)
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("field"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("seq"), t.alias("text"), F.col("l_discount").alias("confidence"), F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    return X.vote_readings(r, "at")
 
 
 @query("""with c as (select c_custkey as doc_id, case when c_custkey % 3 = 0 then '  ' else c_name end as h, case when c_custkey % 4 = 0 then null else c_mktsegment end as t, case when c_custkey % 5 = 0 then null else c_name end as rh, case when c_custkey % 6 = 0 then null else 'read' end as rt, c_custkey % 7 <> 0 as has from customer),
