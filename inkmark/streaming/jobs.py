@@ -58,66 +58,22 @@ def lifecycle_stream(moves: DataFrame) -> DataFrame:
 
 #: What a PENDING record's silence leads to, and after how many seconds: it may be taken over, then it fails.
 WAITS = (("STALE", STALE_SECONDS), ("FAILED", STUCK_SECONDS))
-CHANGE = StructType([StructField("at", LongType()), StructField("seq", LongType()), StructField("status", StringType())])
-
-
-class Silence(StatefulProcessor):
-    """Tells when a record was PENDING without a later row for too long, in event time.
-
-    The rows of the last waits are state, with their time and number, and nothing is decided before the watermark has passed a deadline: by then every
-    row up to it that isn't too late is there. So the answer depends neither on micro-batches nor on the order in which rows come.
-    """
-
-    def __init__(self, waits: tuple[tuple[str, int], ...]):
-        self.waits = tuple((name, seconds * 1_000_000) for name, seconds in waits)
-        self.longest = max(w for _, w in self.waits)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", CHANGE)
-
-    def _timer(self, at: int) -> int:
-        return -(-at // 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        timers = set()
-        for part in rows:
-            for at, seq, status in zip(part["at"].tolist(), part["seq"].tolist(), part["status"].tolist(), strict=True):
-                self.rows.appendValue((int(at), int(seq), status))
-                timers |= {self._timer(int(at) + w) for _, w in self.waits}
-        for at in timers:
-            self.handle.registerTimer(at)
-        yield pd.DataFrame({"record_id": pd.Series([], dtype="int64"), "event": pd.Series([], dtype=object), "failure_reason": pd.Series([], dtype=object), "at": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        rows = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
-        out = []
-        for k, (at, _, status) in enumerate(rows):
-            for name, wait in self.waits:
-                silent = k + 1 == len(rows) or rows[k + 1][0] > at + wait
-                if status == "PENDING" and self._timer(at + wait) == now and silent:
-                    out.append((key[0], name, "STUCK_PENDING" if name == "FAILED" else None, at + wait))
-        left = [r for r in rows if self._timer(r[0] + self.longest) > now]
-        if left:
-            self.rows.put(left)
-        else:
-            self.rows.clear()
-        yield pd.DataFrame(out, columns=["record_id", "event", "failure_reason", "at"])
-
-    def close(self) -> None:
-        pass
 
 
 def silence_stream(changes: DataFrame, waits: tuple[tuple[str, int], ...] = WAITS, late: str = "1 minute") -> DataFrame:
     """changes (record_id long, ts timestamp, seq long, status) -> record_id, event (STALE: may be taken over; FAILED), failure_reason, at.
 
     A row answers the one before it by (ts, seq), also where it comes in an earlier micro-batch; one that is exactly at the deadline is in
-    time. Rows more than ``late`` behind the newest are dropped. Batch twin: ``lifecycle.silences``.
+    time. So rows of a record that follow each other within a wait are one session of it, and what is silent is a session's last row: it is told when the
+    watermark, ``late`` behind the newest row, has passed its deadline by a millisecond. State is a row for each session that is open. A row that comes
+    when its own deadline has passed so is dropped for that wait. Batch twin: ``lifecycle.silences``.
     """
-    rows = changes.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    out = rows.groupBy("record_id").transformWithStateInPandas(Silence(waits), "record_id long, event string, failure_reason string, at long", "Append", "EventTime")
-    return out.withColumn("at", F.timestamp_micros("at"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("event"), F.lit(s).alias("secs"), F.lit(f"{s} seconds").alias("gap")) for name, s in waits]))
+    # A session ends when the watermark reaches its end, but a row may still come that is exactly there: hence the millisecond.
+    rows = changes.withWatermark("ts", f"{late} 1 millisecond").select("record_id", "ts", "seq", "status", each.alias("w"))
+    last = rows.groupBy("record_id", "w.event", "w.secs", F.session_window("ts", F.col("w.gap"))).agg(F.max(F.struct("ts", "seq", "status")).alias("last"))
+    why = F.when(F.col("event") == "FAILED", "STUCK_PENDING").alias("failure_reason")
+    return last.filter("last.status = 'PENDING'").select("record_id", "event", why, (F.col("last.ts") + F.make_dt_interval(secs=F.col("secs"))).alias("at"))
 
 
 class FirstSeen(StatefulProcessor):
