@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmark.sources.shared import materialised, tidied
+
 # The states, the moves between them, and the codes of rejected moves.
 STATES = ("PENDING", "STORED", "BLOCKCHAIN_PENDING", "ISSUED", "REVOKED", "FAILED")
 MOVES = (
@@ -96,30 +98,44 @@ def silences(changes: DataFrame, waits: tuple[tuple[str, int], ...], until: Colu
     return out.select("record_id", "d.event", F.when(F.col("d.event") == "FAILED", "STUCK_PENDING").alias("failure_reason"), "d.at")
 
 
+def _packed(c: Column) -> Column:
+    """A hash of 64 hexadecimal digits as its 32 bytes, any other text as its own and 33 more: other texts are other bytes, in half the room."""
+    return F.when(c.rlike("^[0-9a-f]{64}$"), F.unhex(c)).otherwise(F.concat(c.cast("binary"), F.lit(bytes(33))))
+
+
 def resolve_submissions(batch: DataFrame, records: DataFrame, stale_seconds: int = STALE_SECONDS) -> DataFrame:
-    """batch (submission_id, sha256, content_hash, ts) against records (sha256, content_hash, status, updated_at) -> outcome.
+    """batch (submission_id, which tells its rows apart, sha256, content_hash, ts) against records (sha256, content_hash, status, updated_at) -> outcome.
 
     Same file: duplicate_file in a duplicate state, retry if FAILED or stale, else in_progress. Same content: duplicate_content,
     in_progress if freshly PENDING, else conflict. Neither: new, for the first of the batch; later ones are in_progress.
+
+    Files and contents are decided one after the other, each by one shuffle of its packed hash, which is gone when what it says is written: so the
+    batch is read twice, and no row moves with both hashes.
     """
-    by_file = records.groupBy("sha256").agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "status")).alias("f"))
-    by_content = records.filter("content_hash is not null").groupBy("content_hash").agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", "status")).alias("c"))
-    j = batch.join(by_file, "sha256", "left").join(by_content, "content_hash", "left")
-    fresh = lambda c: F.unix_timestamp("ts") - F.unix_timestamp(c) < stale_seconds
-    known = (
-        F.when(F.col("f.status").isin(*DUPLICATE), "duplicate_file")
-        .when((F.col("f.status") == "FAILED") | ((F.col("f.status") == "PENDING") & ~fresh("f.updated_at")), "retry")
-        .when(F.col("f.status").isNotNull(), "in_progress")
-        .when(F.col("c.status").isin(*DUPLICATE), "duplicate_content")
-        .when((F.col("c.status") == "PENDING") & fresh("c.updated_at"), "in_progress")
-        .when(F.col("c.status").isNotNull(), "conflict")
+    fresh = F.unix_timestamp("ts") - F.unix_timestamp("r.updated_at") < stale_seconds
+    by_file = (
+        F.when(F.col("r.status").isin(*DUPLICATE), "duplicate_file")
+        .when((F.col("r.status") == "FAILED") | ((F.col("r.status") == "PENDING") & ~fresh), "retry")
+        .when(F.col("r.status").isNotNull(), "in_progress")
     )
-    j = j.select("submission_id", "sha256", "content_hash", "ts", known.alias("known"))
-    order = ["ts", "submission_id"]
-    n_file = F.row_number().over(Window.partitionBy("sha256").orderBy(*order))
-    n_content = F.row_number().over(Window.partitionBy(F.coalesce("content_hash", "sha256")).orderBy(*order))
-    first = (n_file == 1) & (n_content == 1)
-    return j.withColumn("_first", first).select("submission_id", F.when(F.col("known").isin("duplicate_file", "duplicate_content", "conflict"), F.col("known")).when(~F.col("_first"), "in_progress").otherwise(F.coalesce("known", F.lit("new"))).alias("outcome"))
+    by_content = F.when(F.col("r.status").isin(*DUPLICATE), "duplicate_content").when((F.col("r.status") == "PENDING") & fresh, "in_progress").when(F.col("r.status").isNotNull(), "conflict")
+
+    def told(kind: str, key: Column, same: Column, known: Column) -> DataFrame:
+        """Of each submission what the newest record of its key says, and whether it is the first of those that are the same."""
+        there = records.filter(F.col(kind).isNotNull()).groupBy(_packed(F.col(kind)).alias("_key")).agg(F.max(F.struct("updated_at", "status")).alias("r"))
+        rows = batch.select("submission_id", "ts", _packed(same).alias("_same"), key.isNotNull().alias("_asks"))
+        first = F.row_number().over(Window.partitionBy("_same").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("submission_id"))) == 1
+        j = rows.join(there, (F.col("_same") == F.col("_key")) & F.col("_asks"), "left")
+        with tidied(batch.sparkSession):
+            return materialised(j.select("submission_id", known.alias(f"_{kind}"), first.alias(f"_{kind}_first")), f"by-{kind}")
+
+    sha256, content = F.col("sha256"), F.col("content_hash")
+    f = told("sha256", sha256, sha256, by_file)
+    c = told("content_hash", content, F.coalesce(content, sha256), by_content).withColumnRenamed("submission_id", "_id")
+    j = f.join(c, F.col("submission_id").eqNullSafe(F.col("_id")))
+    known = F.coalesce("_sha256", "_content_hash")
+    first = F.col("_sha256_first") & F.col("_content_hash_first")
+    return j.select("submission_id", F.when(known.isin("duplicate_file", "duplicate_content", "conflict"), known).when(~first, "in_progress").otherwise(F.coalesce(known, F.lit("new"))).alias("outcome"))
 
 
 def _same(a: str, b: str) -> Column:
