@@ -103,6 +103,14 @@ def _packed(c: Column) -> Column:
     return F.when(c.rlike("^[0-9a-f]{64}$"), F.unhex(c)).otherwise(F.concat(c.cast("binary"), F.lit(bytes(33))))
 
 
+TX = "^0x[a-f0-9]{64}$"
+
+
+def _packed_tx(c: Column) -> Column:
+    """A transaction of 0x and 64 hexadecimal digits as its 32 bytes, any other text as its own and 33 more."""
+    return F.when(c.rlike(TX), F.unhex(F.substring(c, 3, 64))).otherwise(F.concat(c.cast("binary"), F.lit(bytes(33))))
+
+
 def resolve_submissions(batch: DataFrame, records: DataFrame, stale_seconds: int = STALE_SECONDS) -> DataFrame:
     """batch (submission_id, which tells its rows apart, sha256, content_hash, ts) against records (sha256, content_hash, status, updated_at) -> outcome.
 
@@ -203,30 +211,36 @@ def apply_chain_reports(reports: DataFrame, records: DataFrame) -> DataFrame:
     """reports (report_id, record_id, kind pending/failed, tx, reason, ts) -> outcome and the record's new status.
 
     The first report of a document wins; a transaction belongs to the first document that names it.
+
+    Reports meet their records first and what is known then is written; only pending ones with a well-formed transaction move once more, by its packed hash.
     """
-    rec = records.select("record_id", "status", "content_hash", F.col("tx").alias("_tx"))
-    used = records.filter("tx is not null").select(F.lower("tx").alias("_used"), F.col("record_id").alias("_owner"))
-    j = reports.withColumn("tx", F.lower("tx")).join(rec, "record_id", "left").join(used, F.col("tx") == F.col("_used"), "left")
-    per_doc = F.row_number().over(Window.partitionBy("record_id").orderBy("ts", "report_id"))
-    pending = F.col("kind") == "pending"
-    # Only pending reports claim a transaction; all others, whose tx is mostly null, are put apart by their own id.
-    claim = F.when(pending & F.col("tx").isNotNull(), F.col("tx")).otherwise(F.concat(F.lit("report "), F.col("report_id").cast("string")))
-    per_tx = F.row_number().over(Window.partitionBy(claim).orderBy("ts", "report_id"))
-    j = j.withColumn("_n", per_doc).withColumn("_m", per_tx)
-    outcome = (
+    spark, pending = reports.sparkSession, F.col("kind") == "pending"
+    rec = records.select("record_id", "status", F.col("content_hash").isNotNull().alias("_content"), _packed_tx(F.col("tx")).alias("_tx"))
+    tx = F.lower("tx")
+    r = reports.select("report_id", "record_id", "kind", "ts", "reason", F.when(pending, _packed_tx(tx)).alias("_asked"), (pending & tx.rlike(TX)).alias("_formed"), (pending & ~tx.rlike(TX)).alias("_bad"))
+    per_doc = F.row_number().over(Window.partitionBy("record_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("report_id")))
+    before = (
         F.when(F.col("status").isNull(), "not_found")
-        .when(pending & ~F.col("tx").rlike("^0x[a-f0-9]{64}$"), "bad_parameter")
-        .when(pending & F.col("status").isin("BLOCKCHAIN_PENDING", "ISSUED") & F.col("_tx").eqNullSafe(F.col("tx")), "unchanged")
-        .when(pending & F.col("content_hash").isNull(), "refused")
-        .when(pending & ((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("record_id"))) | (F.col("_m") > 1)), "conflict")
-        .when(F.col("_n") > 1, "superseded")
-        .when(pending & (F.col("status") != "STORED"), "refused")
-        .when(~pending & ~F.col("status").isin("STORED", "BLOCKCHAIN_PENDING"), "refused")
-        .otherwise("moved")
+        .when(F.col("_bad"), "bad_parameter")
+        .when(pending & F.col("status").isin("BLOCKCHAIN_PENDING", "ISSUED") & F.col("_tx").eqNullSafe(F.col("_asked")), "unchanged")
+        .when(pending & ~F.col("_content"), "refused")
     )
-    j = j.withColumn("outcome", outcome)
+    after = F.when(F.col("_n") > 1, "superseded").when(pending & (F.col("status") != "STORED"), "refused").when(~pending & ~F.col("status").isin("STORED", "BLOCKCHAIN_PENDING"), "refused").otherwise("moved")
+    j = r.join(rec, "record_id", "left").withColumn("_n", per_doc)
+    claims = F.coalesce("_formed", F.lit(False))
+    j = j.select("report_id", "record_id", "kind", "ts", "status", (F.col("reason") == "USER_REJECTED").alias("_user"), F.when(claims, F.col("_asked")).alias("_claim"), before.alias("_before"), after.alias("_after"))
+    with tidied(spark):
+        j = materialised(j, "reports")
+    used = records.filter("tx is not null").select(_packed_tx(F.lower("tx")).alias("_used"), F.col("record_id").alias("_owner"))
+    per_tx = F.row_number().over(Window.partitionBy("_claim").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("report_id")))
+    c = j.filter("_claim is not null").join(used, F.col("_claim") == F.col("_used"), "left").withColumn("_m", per_tx)
+    taken = (F.col("_owner").isNotNull() & (F.col("_owner") != F.col("record_id"))) | (F.col("_m") > 1)
+    c = c.withColumn("outcome", F.coalesce("_before", F.when(taken, "conflict"), "_after"))
+    rest = j.filter("_claim is null").withColumn("outcome", F.coalesce("_before", "_after"))
+    kept = ["report_id", "record_id", "kind", "status", "_user", "outcome"]
+    j = c.select(*kept).unionByName(rest.select(*kept))
     moved = F.col("outcome") == "moved"
-    why = F.when(moved & ~pending, F.when(F.col("reason") == "USER_REJECTED", "USER_REJECTED").otherwise("CLIENT_ERROR"))
+    why = F.when(moved & ~pending, F.when(F.col("_user"), "USER_REJECTED").otherwise("CLIENT_ERROR"))
     return j.select("report_id", "record_id", "outcome", F.when(moved & pending, "BLOCKCHAIN_PENDING").when(moved, "FAILED").otherwise(F.col("status")).alias("status"), why.alias("failure_reason"))
 
 

@@ -255,10 +255,13 @@ def register_issuers(spark, d):
    when kind = 'pending' and (owner <> record_id or m > 1) then 'conflict' when n > 1 then 'superseded' when kind = 'pending' and status <> 'STORED' then 'refused' when kind = 'failed' and status not in ('STORED', 'BLOCKCHAIN_PENDING') then 'refused' else 'moved' end as outcome from j)
  select report_id, record_id, outcome, case when outcome = 'moved' then case kind when 'pending' then 'BLOCKCHAIN_PENDING' else 'FAILED' end else status end as status, case when outcome = 'moved' and kind = 'failed' then case reason when 'USER_REJECTED' then 'USER_REJECTED' else 'CLIENT_ERROR' end end as failure_reason from k""")
 def apply_chain_reports(spark, d):
-    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    k, n, last = F.col("l_orderkey"), F.col("l_linenumber"), F.lit(2**63 - 1)
+    # The first line of a report, nulls last; what is said of it is made after it has moved.
+    l = table(spark, d, "lineitem").select((k * 10 + n).alias("report_id"), F.struct(F.coalesce("l_suppkey", last).alias("s"), F.coalesce("l_partkey", last), k, n).alias("x"))
+    with tidied(spark):
+        l = materialised(l.groupBy("report_id").agg(F.min("x").alias("x")).select("report_id", "x.l_orderkey", "x.l_linenumber", (F.col("x.s") % 2 == 0).alias("even")), "lines")
     tx = F.when(n % 5 == 4, "bad").otherwise(F.concat(F.lit("0x"), F.sha2(F.concat(F.lit("tx"), F.when(n % 2 == 0, k + 1).otherwise(k).cast("string")), 256)))
-    rp = table(spark, d, "lineitem").select((k * 10 + n).alias("report_id"), k.alias("record_id"), F.when(n % 4 == 3, "failed").otherwise("pending").alias("kind"), tx.alias("tx"), F.when(F.col("l_suppkey") % 2 == 0, "USER_REJECTED").otherwise("other").alias("reason"), n.alias("ts"), "l_suppkey", "l_partkey")
-    rp = rp.groupBy("report_id").agg(F.min_by(F.struct("record_id", "kind", "tx", "reason", "ts"), F.struct("l_suppkey", "l_partkey")).alias("x")).select("report_id", "x.*")
+    rp = l.select("report_id", k.alias("record_id"), F.when(n % 4 == 3, "failed").otherwise("pending").alias("kind"), tx.alias("tx"), F.when(F.col("even"), "USER_REJECTED").otherwise("other").alias("reason"), n.alias("ts"))
     sent = F.col("status").isin("BLOCKCHAIN_PENDING", "ISSUED", "REVOKED")
     return L.apply_chain_reports(rp, records(spark, d).withColumn("tx", F.when(sent, F.col("tx"))))
 
